@@ -61,7 +61,7 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1
 
     A tuning figure only: no result depends on it.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 1 << 56:  # no statistics
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return int(min(most, max(least, -(-size // bytes_each))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontamination")
+MODULES = ("sharding", "decontamination", "substring_dedup")
 
 
 def _loaded():
