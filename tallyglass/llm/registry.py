@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontamination", "substring_dedup")
+MODULES = ("sharding", "decontamination", "substring_dedup", "simhash")
 
 
 def _loaded():
