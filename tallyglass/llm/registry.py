@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontamination", "substring_dedup", "simhash")
+MODULES = ("packing", "substring_dedup", "simhash", "sharding", "decontamination")
 
 
 def _loaded():
