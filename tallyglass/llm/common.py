@@ -65,3 +65,23 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1
     if size > 1 << 56:  # no statistics
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return int(min(most, max(least, -(-size // bytes_each))))
+
+
+#: Removes the shuffle files of a finished SQL execution at once instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def released(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Like :func:`stored`, and the shuffles that made the table are removed as soon as it is written.
+
+    For large intermediate shuffles that nothing else reads. The session's setting is put back.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        path = scratch(spark, name)
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
