@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, drop_path, partitions_for, scratch
+from tallyglass.llm.common import doc_columns, drop_path, partitions_for, scratch, stored
 
 WIDTH = 35
 #: Words in a block of documents (positions in a block take three bytes), and text bytes a bucket is meant to serve.
@@ -305,10 +305,41 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([v], t) for (k, t), v in zip(columns.items(), row, strict=True)})
 
 
+FILTER_BITS = 26
+
+
+def _key_filter(ranges: DataFrame):
+    """A Bloom filter of the keys of ``ranges`` as a UDF on ``key``: 2**26 bits, 8 MB whatever the input.
+
+    The set bits are gathered as 64-bit words, so the driver gets 2**20 rows at most. With more keys than
+    it can tell apart the filter lets more rows through to the join; no result depends on it.
+    """
+    spots = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(k)), 64 - FILTER_BITS) for k in (1, 2)]))
+    words = ranges.select(spots.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bits_b = ranges.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(first: pa.Array, second: pa.Array) -> pa.Array:
+        out = True
+        for p in (first.to_numpy(zero_copy_only=False), second.to_numpy(zero_copy_only=False)):
+            out = out & (bits_b.value[p >> 6] >> (p & 63) & 1).astype(bool)
+        return pa.array(out, pa.bool_())
+
+    return maybe(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(k)), 64 - FILTER_BITS) for k in (1, 2)])
+
+
 def _joined_ranges(docs: DataFrame, index: FingerprintIndex, block_words: int) -> DataFrame:
-    """Keyed documents with ``ranges`` (array<struct<a,b>>, null where nothing repeats)."""
+    """Keyed documents with ``ranges`` (array<struct<a,b>>, null where nothing repeats).
+
+    Only texts that may lose something are shuffled to their ranges; the others pass by.
+    """
     keyed = _keyed(docs)
-    return keyed.join(index.repeated(keyed, block_words).hint("shuffle_hash"), "key", "left")
+    ranges = stored(index.repeated(keyed, block_words), "repeated-ranges")
+    marked = keyed.withColumn("maybe", _key_filter(ranges))
+    joined = marked.where("maybe").drop("maybe").join(ranges.hint("shuffle_hash"), "key", "left")
+    return marked.where("NOT maybe").drop("maybe").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)).unionByName(joined)
 
 
 _DIGEST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
