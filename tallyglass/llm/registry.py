@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "substring_dedup", "token_ids", "simhash", "sharding", "decontamination")
+MODULES = ("packing", "substring_dedup", "quality_rules", "token_ids", "simhash", "sharding", "decontamination")
 
 
 def _loaded():
