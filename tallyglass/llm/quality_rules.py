@@ -32,8 +32,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 #: to a statistic, so that up to half of a group may be junk without moving its limit.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", None, 4.0, 0.02),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", None, 4.0, 0.08),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", None, 4.0, 0.20),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", None, 4.0, 0.28),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", None, 4.0, 0.50),
     "word_length": ("word_chars / greatest(n_words, 1)", 4.0, 4.0, 1.0),
 }
 #: A group of fewer documents that pass the base rules takes the thresholds of the level above.
