@@ -29,7 +29,7 @@ from tallyglass.llm import textcore as tc
 from tallyglass.llm.common import doc_columns, partitions_for, released, scratch
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 PART_BYTES = 8 << 20
 
 

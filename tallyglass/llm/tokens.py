@@ -17,30 +17,43 @@ import re
 
 import numpy as np
 
-#: Pieces and pre-tokens held by a worker; the older half is forgotten when a generation is full.
-PIECES, PRETOKENS = 250_000, 300_000
+#: Pieces and pre-tokens held by a worker in each of two generations; the older one is forgotten when the younger is full.
+PIECES, PRETOKENS = 400_000, 400_000
 #: White space other than the ASCII kinds, and control characters that Python and Unicode class differently.
-_ODD = re.compile(r"  |[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PLAIN = re.compile(r"( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+#: A run of ASCII punctuation is one pre-token of both kinds; the apostrophe is left out, it begins contractions.
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+#: Letters and perhaps marks, and perhaps the same again after one line end.
+_PLAIN = re.compile(rf"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
 
-class _Memo(dict):
-    """A dict that computes missing values and forgets in two generations."""
+class _Memo:
+    """Values by key, computed when missing, forgotten in two generations."""
 
     def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most = make, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
+    def get(self, key: str) -> bytes:
+        value = self.young.get(key)
         if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+            value = self.old.get(key)
+            if value is None:
+                value = self.make(key)
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
         return value
 
+    def joined(self, keys: list[str]) -> bytes:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            get = self.get
+            found = [get(k) if v is None else v for k, v in zip(keys, found, strict=True)]
+        return b"".join(found)
+
 
 class TextEncoder:
     """Ids of whole texts as little-endian bytes of ``dtype``, equal to ``encode(text, add_special_tokens=False)``.
@@ -64,38 +77,60 @@ class TextEncoder:
         self._spaced = self._cuts and self._normalizer is None
         self._lower = self._normalizer is not None
         self._table = _byte_letters()
+        self._space = self._table[32] if self._spaced else ""
         self._pretokens = _Memo(self._tokenize, PRETOKENS)
-        self._pieces = _Memo(self._piece, PIECES)
+        self._pieces = _Memo(self._after_space if self._spaced else self._piece, PIECES)
 
     def _tokenize(self, mapped: str) -> bytes:
         return np.array([t.id for t in self._model.tokenize(mapped)], self.dtype).tobytes()
 
+    def _word(self, word: str) -> str:
+        """A run of letters as the model reads it."""
+        if self._lower:
+            word = word.lower()
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self._table)
+
+    def _plain(self, space: str, plain: re.Match) -> bytes:
+        """Letters and marks: the pre-tokens are known by inspection."""
+        word, stop, word2, stop2 = plain.groups()
+        get = self._pretokens.get
+        out = get(space + self._word(word))
+        if stop:
+            out += get(stop)
+        if word2:
+            out += (get(self._table[10]) if self._spaced else b"") + get(self._word(word2))
+            if stop2:
+                out += get(stop2)
+        return out
+
+    def _after_space(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        return self._plain(self._space, plain) if plain is not None else self._any(" " + piece)
+
     def _piece(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
-        if plain is not None:  # letters, and perhaps a full stop or comma: pre-tokens by inspection
-            space, word, stop = plain.groups()
-            if self._spaced:
-                word = space + word
-            if self._lower:
-                word = word.lower()
-            found = self._pretokens[word.encode().decode("latin-1").translate(self._table)]
-            return found + self._pretokens[stop] if stop else found
+        return self._plain("", plain) if plain is not None else self._any(piece)
+
+    def _any(self, piece: str) -> bytes:
         text = self._normalizer.normalize_str(piece) if self._normalizer is not None else piece
-        return b"".join([self._pretokens[p] for p, _ in self._pre.pre_tokenize_str(text)])
+        return b"".join([self._pretokens.get(p) for p, _ in self._pre.pre_tokenize_str(text)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    @staticmethod
+    def _odd(text: str) -> bool:
+        return any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _ODD.search(text) is not None
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self._cuts or _ODD.search(text) or any(s in text for s in self._special):
+        if not self._cuts or "  " in text or self._odd(text) or any(s in text for s in self._special):
             return self.whole(text)
         parts = text.split(" ")
         if self._spaced:
-            get = self._pieces.__getitem__
-            return self._piece(parts[0]) + b"".join([get(" " + p) for p in parts[1:]])
-        return b"".join(map(self._pieces.__getitem__, parts))
+            return self._piece(parts[0]) + self._pieces.joined(parts[1:])
+        return self._pieces.joined(parts)
 
 
 def _byte_letters() -> dict[int, str]:
