@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packing", "substring_dedup", "quality_rules", "token_ids", "language_id", "simhash", "sharding", "decontamination", "quality_classifier")
+MODULES = ("packing", "substring_dedup", "quality_rules", "license_scan", "token_ids", "language_id", "simhash", "sharding", "decontamination", "quality_classifier", "pipeline")
 
 
 def _loaded():
