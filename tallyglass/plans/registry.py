@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tallyglass.plans import vectors  # noqa: F401
+    from tallyglass.plans import chunks, scans, vectors  # noqa: F401
