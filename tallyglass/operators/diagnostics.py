@@ -29,7 +29,7 @@ def settle(events: DataFrame, quiet: float, total: float) -> DataFrame:
     (one ordered pass), then by their length.
     """
     w = Window.partitionBy("uri").orderBy("ts", "event_id")
-    t = F.col("ts").cast("double")
+    t = F.col("ts").cast("timestamp").cast("double")
     gap = t - F.lag(t).over(w)
     silent = F.sum(F.when(gap.isNull() | (gap > quiet), 1).otherwise(0)).over(w)
     runs = events.withColumn("__run", silent).withColumn("__t", t)

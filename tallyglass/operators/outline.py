@@ -49,7 +49,7 @@ def expanded(ranked_members: DataFrame, budget: int) -> DataFrame:
 
 def remaining(ranked_members: DataFrame, shown: DataFrame) -> DataFrame:
     """The first members that aren't shown in full, by line."""
-    left = ranked_members.join(shown.select("owner", "name", "line"), ["owner", "name", "line"], "left_anti")
+    left = ranked_members.join(shown.select("owner", "rank"), ["owner", "rank"], "left_anti")
     w = Window.partitionBy("owner").orderBy("line", "name")
     return left.withColumn("position", F.row_number().over(w)).where(F.col("position") <= MAX_REMAINING)
 
