@@ -109,7 +109,7 @@ class Codec:
         sums = np.add.reduceat(value, first)  # codes do not overlap, so adding is or-ing
         out = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
         out[word[first]] = sums >> np.uint64(32)
-        np.add.at(out, word[first] + 1, sums & np.uint64(0xFFFFFFFF))
+        out[word[first] + 1] += sums & np.uint64(0xFFFFFFFF)  # each word once
         payload = out.astype(">u4").tobytes()[: int(end[-1] + 7) // 8]
         points = begin[::check].astype("<u4")
         return _HEAD.pack(MAGIC, len(ids), len(points), len(payload)) + points.tobytes() + payload

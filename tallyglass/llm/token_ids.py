@@ -42,13 +42,13 @@ def _block_schema(kind: T.DataType) -> T.StructType:
     )
 
 
-def _id_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_ids: int) -> DataFrame:
-    """Blocks of plain ids (32-bit) of sorted documents; block -1 of a part: its counts by id (64-bit)."""
+def _id_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_ids: int, dtype: str) -> DataFrame:
+    """Blocks of plain ids (``dtype``) of sorted documents; block -1 of a part: its counts by id (64-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER)).encode
-        end = np.array([end_id], "<u4").tobytes()
+        encode = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER), dtype).encode
+        end = np.array([end_id], dtype).tobytes()
         counts = np.zeros(0, np.int64)
         block = start = held = 0
         owners, sizes, texts = [], [], []
@@ -65,12 +65,12 @@ def _id_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_ids: i
             for d, text in enumerate(tc.as_bytes(batch.column("text"))):
                 ids = encode(text.decode() if text else "") + end
                 owners.append(column.slice(d, 1))
-                sizes.append(len(ids) // 4)
+                sizes.append(len(ids) // len(end))
                 texts.append(ids)
                 held += sizes[-1]
                 if held >= block_ids:
                     payload = b"".join(texts)
-                    more = np.bincount(np.frombuffer(payload, "<u4"), minlength=len(counts))
+                    more = np.bincount(np.frombuffer(payload, dtype), minlength=len(counts))
                     more[: len(counts)] += counts
                     counts = more
                     yield row(block, owners, sizes, payload)
@@ -78,7 +78,7 @@ def _id_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_ids: i
                     owners, sizes, texts = [], [], []
         if texts:
             payload = b"".join(texts)
-            more = np.bincount(np.frombuffer(payload, "<u4"), minlength=len(counts))
+            more = np.bincount(np.frombuffer(payload, dtype), minlength=len(counts))
             more[: len(counts)] += counts
             counts = more
             yield row(block, owners, sizes, payload)
@@ -119,18 +119,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     tie = F.xxhash64("text")
     parts = partitions_for(docs, PART_BYTES, least=2)
     ranged = docs.repartitionByRange(parts, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    plain = released(_id_blocks(ranged, tokenizer, end_id, block_ids), "plain-ids", compression="zstd")
+    dtype = tokens.id_type(tokenizer or tokens.public_path(TOKENIZER))
+    plain = released(_id_blocks(ranged, tokenizer, end_id, block_ids, dtype), "plain-ids", compression="zstd")
     codec = huffman.limited(_counts(plain), max_bits)
     lengths = [(i, int(n)) for i, n in enumerate(codec.lengths) if n]
     spark.createDataFrame(lengths, "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     lengths_b = spark.sparkContext.broadcast(codec.lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         coder = huffman.Codec(lengths_b.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.slice(i, 1)
-                coded = coder.encode(np.frombuffer(own.column("payload")[0].as_py(), "<u4"))
+                coded = coder.encode(np.frombuffer(own.column("payload")[0].as_py(), dtype))
                 yield pa.RecordBatch.from_arrays([*own.columns[:5], pa.array([coded], pa.binary())], own.schema.names)
 
     plain.where("block >= 0").mapInArrow(run, plain.schema).write.option("compression", "none").parquet(f"{path}/blocks")
@@ -154,6 +156,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         coder = huffman.Codec(lengths_b.value)
         for batch in batches:
             for i in range(batch.num_rows):

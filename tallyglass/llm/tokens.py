@@ -18,7 +18,7 @@ import re
 import numpy as np
 
 #: Pieces and pre-tokens held by a worker in each of two generations; the older one is forgotten when the younger is full.
-PIECES, PRETOKENS = 400_000, 400_000
+PIECES, PRETOKENS = 200_000, 300_000
 #: White space other than the ASCII kinds, and control characters that Python and Unicode class differently.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
@@ -78,7 +78,9 @@ class TextEncoder:
         self._lower = self._normalizer is not None
         self._table = _byte_letters()
         self._space = self._table[32] if self._spaced else ""
-        self._pretokens = _Memo(self._tokenize, PRETOKENS)
+        self._pretokens = _Memo(self._tokenize, PRETOKENS // 4)
+        self._words = _Memo(lambda w: self._tokenize(self._word(w)), PRETOKENS if not self._spaced else PRETOKENS // 4)
+        self._spaced_words = _Memo(lambda w: self._tokenize(self._space + self._word(w)), PRETOKENS)
         self._pieces = _Memo(self._after_space if self._spaced else self._piece, PIECES)
 
     def _tokenize(self, mapped: str) -> bytes:
@@ -90,26 +92,26 @@ class TextEncoder:
             word = word.lower()
         return word if word.isascii() else word.encode().decode("latin-1").translate(self._table)
 
-    def _plain(self, space: str, plain: re.Match) -> bytes:
-        """Letters and marks: the pre-tokens are known by inspection."""
+    def _plain(self, first: _Memo, plain: re.Match) -> bytes:
+        """Letters and marks: the pre-tokens are known by inspection. Keys are plain words, which take the least memory."""
         word, stop, word2, stop2 = plain.groups()
         get = self._pretokens.get
-        out = get(space + self._word(word))
+        out = first.get(word)
         if stop:
             out += get(stop)
         if word2:
-            out += (get(self._table[10]) if self._spaced else b"") + get(self._word(word2))
+            out += (get(self._table[10]) if self._spaced else b"") + self._words.get(word2)
             if stop2:
                 out += get(stop2)
         return out
 
     def _after_space(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
-        return self._plain(self._space, plain) if plain is not None else self._any(" " + piece)
+        return self._plain(self._spaced_words, plain) if plain is not None else self._any(" " + piece)
 
     def _piece(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
-        return self._plain("", plain) if plain is not None else self._any(piece)
+        return self._plain(self._words, plain) if plain is not None else self._any(piece)
 
     def _any(self, piece: str) -> bytes:
         text = self._normalizer.normalize_str(piece) if self._normalizer is not None else piece
@@ -127,12 +129,22 @@ class TextEncoder:
             return b""
         if not self._cuts or "  " in text or self._odd(text) or any(s in text for s in self._special):
             return self.whole(text)
+        if self._lower and _latin(text):
+            text = text.lower()  # what the normalizer does to these characters, and fewer pieces to know
         parts = text.split(" ")
         if self._spaced:
             return self._piece(parts[0]) + self._pieces.joined(parts[1:])
         return self._pieces.joined(parts)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -150,6 +162,18 @@ def encoder(path: str, dtype: str = "<u4") -> TextEncoder:
     return _ENCODERS[path, dtype]
 
 
+def forget() -> None:
+    """Free the memos, in stages that don't tokenize."""
+    _ENCODERS.clear()
+
+
+def id_type(path: str) -> str:
+    """The least type that holds a tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def public_path(name: str) -> str:
     """The place of a public tokenizer's file on this machine (executors have the same package)."""
     import public_tokenizers
