@@ -256,9 +256,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, s
     return rows.join(labels, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """``docs`` (all columns) with one row of each component: the one of least doc_id (then text hash)."""
-    groups = near_groups(docs, shingle, radius, seed)
+def near_dedup(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``docs`` (all columns) with one row of each group: the one of least doc_id (then text hash).
+
+    ``groups`` (doc_id, text_hash, root) are those of :func:`near_groups` unless given.
+    """
+    groups = near_groups(docs) if groups is None else stored(groups, "near-groups")
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     keep = stored(keep, "near-dedup-kept")
     pairs = docs.withColumn("__hash", F.xxhash64("text"))

@@ -37,8 +37,8 @@ from tallyglass.llm.common import doc_columns, drop_path, partitions_for, scratc
 
 WIDTH = 35
 #: Words in a block of documents (positions in a block take three bytes), and text bytes a bucket is meant to serve.
-BLOCK_WORDS = 1 << 21
-BUCKET_BYTES = 8 << 20
+BLOCK_WORDS = 1 << 20
+BUCKET_BYTES = 4 << 20
 #: A stop in a block's position space between documents.
 _GAP = 1
 
@@ -330,16 +330,15 @@ def _key_filter(ranges: DataFrame):
     return maybe(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(k)), 64 - FILTER_BITS) for k in (1, 2)])
 
 
-def _joined_ranges(docs: DataFrame, index: FingerprintIndex, block_words: int) -> DataFrame:
-    """Keyed documents with ``ranges`` (array<struct<a,b>>, null where nothing repeats).
+def _judged(docs: DataFrame, index: FingerprintIndex, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Keyed documents that lose nothing for sure, and the others with ``ranges`` (array<struct<a,b>> or null).
 
     Only texts that may lose something are shuffled to their ranges; the others pass by.
     """
     keyed = _keyed(docs)
     ranges = stored(index.repeated(keyed, block_words), "repeated-ranges")
     marked = keyed.withColumn("maybe", _key_filter(ranges))
-    joined = marked.where("maybe").drop("maybe").join(ranges.hint("shuffle_hash"), "key", "left")
-    return marked.where("NOT maybe").drop("maybe").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)).unionByName(joined)
+    return marked.where("NOT maybe").drop("maybe"), marked.where("maybe").drop("maybe").join(ranges.hint("shuffle_hash"), "key", "left")
 
 
 _DIGEST = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -381,14 +380,16 @@ def removal_digests(docs: DataFrame, index: FingerprintIndex | None = None, bloc
     * An empty table gives no rows; other columns are ignored.
     """
     docs = doc_columns(docs)
-    joined = _joined_ranges(docs, index or FingerprintIndex(docs.sparkSession), block_words)
+    whole, joined = _judged(docs, index or FingerprintIndex(docs.sparkSession), block_words)
+    joined = whole.withColumn("ranges", F.lit(None).cast(joined.schema["ranges"].dataType)).unionByName(joined)
     return joined.select("doc_id", "ranges", _digest("text", "ranges").alias("__d")).select("doc_id", "__d.*", "ranges")
 
 
 def dedup(docs: DataFrame, index: FingerprintIndex | None = None, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut from ``text_col``; a text that loses nothing stays as it is, byte for byte."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col(text_col).alias("text"))
-    joined = _joined_ranges(whole, index or FingerprintIndex(docs.sparkSession), block_words).withColumn("text", _kept_text("text", "ranges"))
+    same, joined = _judged(whole, index or FingerprintIndex(docs.sparkSession), block_words)
+    joined = joined.withColumn("text", _kept_text("text", "ranges")).drop("ranges").unionByName(same)
     return joined.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

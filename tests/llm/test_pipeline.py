@@ -4,7 +4,7 @@ from tallyglass.llm import packing as pk
 from tallyglass.llm import quality_classifier as qc
 from tallyglass.llm import substring_dedup as sd
 from tests.llm.test_packing import _check
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_near_similar import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,9 +23,9 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     after = {r.doc_id: r for r in tables[0].collect()}
     assert set(after) == {i for i, s in scores.items() if s >= 0.3} and all(after[i] == before[i] for i in after)
     ids = sorted(after)
-    kept = {ids[c] for c in brute_components([brute_fp(after[i].text) for i in ids])}
+    kept = {ids[c] for c in brute_groups([after[i].text for i in ids])}
     before, after = after, {r.doc_id: r for r in tables[1].collect()}
-    assert set(after) <= kept and all(after[i] == before[i] for i in after)
+    assert set(after) == kept and all(after[i] == before[i] for i in after)
     before, after = after, {r.doc_id: r for r in tables[2].collect()}
     ids = sorted(before)
     assert set(after) == set(before)
