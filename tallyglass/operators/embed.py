@@ -35,8 +35,9 @@ def keyword_vector(content: Column) -> Column:
             n = n + F.floor((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w))
         counts.append(n.cast("double"))
     raw = F.array(*counts, F.lit(0.01))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    # each step binds the one before to a variable, so that counts and norm are computed once for a text
+    normed = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return F.transform(normed, lambda s: F.transform(s["r"], lambda x: x / s["n"]))[0]
 
 
 def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
