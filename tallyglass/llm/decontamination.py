@@ -238,3 +238,19 @@ def brute(text: str | None, items: list[tuple[object, str | None]]) -> tuple[int
 
 
 QUERIES = {"op9_benchmark_decontamination": op9}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES = {
+    "op9_benchmark_decontamination": f"""
+WITH items AS (SELECT item_id, ws, least(13, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+item_starts AS (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM items),
+item_windows AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS t FROM item_starts),
+docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+doc_starts AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items)),
+found AS (SELECT d.doc_id, d.i, d.k, w.item_id FROM (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS t FROM doc_starts) d JOIN item_windows w USING (k, t)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+}
