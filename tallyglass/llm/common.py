@@ -50,6 +50,11 @@ def doc_columns(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in more])
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one struct, to carry rows past an operator's own columns whatever they are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def id_crc(id_col: Column | str = "doc_id") -> Column:
     """crc32 of the id written in decimal (null ids: of the empty string)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

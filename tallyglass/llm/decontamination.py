@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns
+from tallyglass.llm.common import doc_columns, whole_rows
 
 WIDTH = 13
 MAX_SLICE_BYTES = 16 << 20
@@ -206,12 +206,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
-    scanned = scan_documents(docs, benchmark, width).withColumn("__hit", _n_hit(F.col("__scan").hits))
+    rows = docs.select(whole_rows(docs).alias("row"), "text")
+    scanned = scan_documents(rows, benchmark, width).withColumn("__hit", _n_hit(F.col("__scan").hits))
     bad = (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__scan").n_words)
     if mode == "documents":
-        return scanned.where(~bad).select(*docs.columns)
-    cut = F.when(bad, _without(F.col("text"), F.col("__scan").hits)).otherwise(F.col("text"))
-    return scanned.withColumn("text", cut).select(*docs.columns)
+        return scanned.where(~bad).select("row.*")
+    cut = F.when(bad, _without(F.col("text"), F.col("__scan").hits)).otherwise(F.col("text")).alias("text")
+    return scanned.select(*[cut if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, d: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, stored
+from tallyglass.llm.common import doc_columns, stored, whole_rows
 from tallyglass.llm.graph import components
 from tallyglass.llm.xx64 import xxh64
 
@@ -264,12 +264,12 @@ def near_dedup(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     groups = near_groups(docs) if groups is None else stored(groups, "near-groups")
     keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
     keep = stored(keep, "near-dedup-kept")
-    pairs = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = pairs.join(keep.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")), (F.col("__hash") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    kept = rows.join(keep.select(F.col("doc_id").alias("ki"), F.col("text_hash").alias("kh")), (F.col("h") == F.col("kh")) & F.col("i").eqNullSafe(F.col("ki")), "left_semi")
     repeats = groups.join(keep, (groups.text_hash == keep.text_hash) & groups.doc_id.eqNullSafe(keep.doc_id), "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if repeats:  # rows that are equal in id and text: one stays
-        kept = kept.dropDuplicates(["doc_id", "__hash"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["i", "h"])
+    return kept.select("row.*")
 
 
 def op7(spark: SparkSession, d: str) -> DataFrame:

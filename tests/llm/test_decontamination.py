@@ -58,3 +58,11 @@ def test_spans_and_documents(spark):
     assert spans[1].text == "Hello, ; bye." and spans[2].text == "clean text" and spans[3].text is None
     with pytest.raises(ValueError):
         dc.decontaminate(docs, bench, "words")
+
+
+def test_rows_pass_whole(spark):
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "two", 5, "x", 7), (2, "one", 5, "x", 7)], "doc_id long, text string, __scan int, row string, `a.b` int")
+    for mode in ("documents", "spans"):
+        out = dc.decontaminate(docs, bench, mode)
+        assert out.columns == docs.columns and out.collect()[0] == docs.collect()[0]

@@ -93,3 +93,9 @@ def test_repeated_rows_and_null_ids(spark):
     assert sh.near_groups(docs).count() == 4
     assert sorted((r.doc_id or -1) for r in sh.near_dedup(docs).collect()) == [-1, -1, 1]
     assert sh.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_rows_pass_whole(spark):
+    docs = spark.createDataFrame([(1, "two", 5, "x", 7), (2, "two", 5, "x", 7)], "doc_id long, text string, __hash int, row string, `a.b` int")
+    out = sh.near_dedup(docs)
+    assert out.columns == docs.columns and out.collect() == docs.collect()[:1]
