@@ -105,8 +105,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -30, 30)))
 
 
-def fit(texts: list[bytes | None], labels: np.ndarray, rank: int = RANK, epochs: int | None = None, seed: int = 10, buckets: int = WORD_BUCKETS) -> Machine:
-    """Logistic loss, AdaGrad in small batches, a fixed seed; one class alone, or no rows, gives a constant score."""
+Inputs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit(rows: list[Inputs], labels: np.ndarray, rank: int = RANK, epochs: int | None = None, seed: int = 10, buckets: int = WORD_BUCKETS) -> Machine:
+    """A machine from the :func:`inputs` of some texts: logistic loss, AdaGrad in small batches, a fixed seed.
+
+    One class alone, or no rows, gives a constant score.
+    """
     n = N_STRUCTURE + buckets
     rng = np.random.default_rng(seed)
     machine = Machine(np.zeros(N_STRUCTURE, np.float32), np.ones(N_STRUCTURE, np.float32), 0.0, np.zeros(n, np.float32), rng.normal(0, 0.05, (n, rank)).astype(np.float32))
@@ -117,7 +123,7 @@ def fit(texts: list[bytes | None], labels: np.ndarray, rank: int = RANK, epochs:
     if len(set(labels.tolist())) < 2:
         machine.factor[:] = 0
         return machine
-    forms, at, value = zip(*(inputs(t, buckets) for t in texts), strict=True)
+    forms, at, value = zip(*rows, strict=True)
     forms = np.array(forms)
     machine.mean = forms.mean(axis=0)
     machine.scale = forms.std(axis=0) + 1e-3
@@ -144,21 +150,29 @@ def fit(texts: list[bytes | None], labels: np.ndarray, rank: int = RANK, epochs:
     return machine
 
 
+@F.arrow_udf(T.StructType([T.StructField("form", T.ArrayType(T.FloatType())), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]))
+def _inputs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in batches:
+        rows = [inputs(t) for t in tc.as_bytes(column)]
+        columns = [pa.array([r[k].tolist() for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.float32(), pa.int32(), pa.float32()))]
+        yield pa.StructArray.from_arrays(columns, names=["form", "at", "value"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 10) -> Machine:
     """A machine from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0/1).
 
-    About ``rows`` labelled rows, chosen by a hash of the id, come to the driver; the documents themselves aren't shuffled,
-    since the chosen ids are few and go to them. A document labelled twice takes the lower label.
+    The inputs of about ``rows`` labelled rows, chosen by a hash of the id, come to the driver: 32 kB each at most, however
+    long the texts. The documents themselves aren't shuffled, since the chosen ids are few and go to them.
+    A document labelled twice takes the lower label.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
     chosen = stored(chosen.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "quality-labels")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()
-    order = np.lexsort((np.array([len(t or "") for t in sample.column("text").to_pylist()]), np.array(sample.column("doc_id").to_pylist()))) if sample.num_rows else np.zeros(0, np.int64)
-    texts = tc.as_bytes(sample.column("text")) if sample.num_rows else []
-    quality = np.array(sample.column("quality").to_pylist(), np.float32)
-    return fit([texts[i] for i in order], quality[order] if len(order) else quality)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("x", _inputs("text")).select("doc_id", F.octet_length("text").alias("n"), "quality", "x.*").toPandas()
+    sample = sample.sort_values(["doc_id", "n"], kind="stable")
+    found = [tuple(np.asarray(v, kind) for v, kind in zip(r, (np.float32, np.int32, np.float32), strict=True)) for r in zip(sample["form"], sample["at"], sample["value"], strict=True)]
+    return fit(found, sample["quality"].to_numpy(np.float32))
 
 
 def scorer(spark: SparkSession, machine: Machine):
