@@ -17,6 +17,13 @@ def grep(all_lines: DataFrame, term: str) -> DataFrame:
     return all_lines.where(F.col("snippet").contains(term)).select("path", "line", one_line(F.col("snippet")).alias("snippet")).dropDuplicates(["path", "line", "snippet"])
 
 
+def find(files: DataFrame, term: str) -> DataFrame:
+    """:func:`grep` over whole files: those without the term are dropped before they are cut into lines."""
+    from tallyglass.sources.files import lines
+
+    return grep(lines(files.where(F.col("content").contains(term))), term)
+
+
 def by_path(refs: DataFrame) -> DataFrame:
     """References per path, and their lines in order."""
     return refs.groupBy("path").agg(F.count("*").alias("n_refs"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("lines"))

@@ -25,7 +25,7 @@ scored AS (SELECT path, line, snippet, round(CASE WHEN contains(snippet, '(') TH
 
 
 def _refs(spark, d):
-    return refs.grep(v.lines(spark, d), TERM)
+    return refs.find(v.files(spark, d), TERM).withColumn("line", F.col("line").cast("long"))
 
 
 def _definition(found) -> str:

@@ -17,7 +17,7 @@ from tallyglass.functions.routing import budget as budget_columns
 from tallyglass.functions.routing import most_items
 from tallyglass.operators import extract, outline, refs
 from tallyglass.functions.symbols import visibility
-from tallyglass.sources.files import guards, lines
+from tallyglass.sources.files import guards
 
 # fixed values: confidence of the ways an answer is found
 CONFIDENCE = {"symbol": 0.85, "text": 0.50, "semantic": 0.40}
@@ -110,7 +110,7 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
         return extract.sliced(span).collect()
 
     def references() -> list[Row]:
-        found = refs.grep(lines(files), first["name"])
+        found = refs.find(files, first["name"])
         declared = spark.createDataFrame([(first["path"], int(first["start_line"]))], "path string, line int")
         return refs.top(refs.score(refs.cross_check(found, declared), first["path"]), row["n_refs"]).collect()
 
@@ -131,7 +131,7 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
 
 
 def _text(answer: Answer, files: DataFrame, question: str, k: int, search) -> None:
-    found = refs.top(refs.score(refs.grep(lines(files), question), ""), k).collect()
+    found = refs.top(refs.score(refs.find(files, question), ""), k).collect()
     if found:
         answer.sections["References"], answer.confidence = found, CONFIDENCE["text"]
         return
