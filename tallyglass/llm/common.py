@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,27 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths given out inside :func:`temporary`, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/tallyglass/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark).rstrip('/')}/tallyglass/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end; what must last is stored after it, or under a path made before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -76,7 +96,7 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def released(df: DataFrame, name: str, **options: str) -> DataFrame:
+def released(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Like :func:`stored`, and the shuffles that made the table are removed as soon as it is written.
 
     For large intermediate shuffles that nothing else reads. The session's setting is put back.
@@ -85,7 +105,7 @@ def released(df: DataFrame, name: str, **options: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        path = scratch(spark, name)
+        path = path or scratch(spark, name)
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)

@@ -14,7 +14,7 @@ fingerprints is cut into chunks, and pairs of chunks are compared in tasks of th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, stored, whole_rows
+from tallyglass.llm.common import doc_columns, scratch, stored, temporary, whole_rows
 from tallyglass.llm.graph import components
 from tallyglass.llm.xx64 import xxh64
 
@@ -256,18 +256,25 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, s
     return rows.join(labels, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` (all columns) with one row of each group: the one of least doc_id (then text hash).
 
-    ``groups`` (doc_id, text_hash, root) are those of :func:`near_groups` unless given.
+    ``grouped`` gives doc_id, text_hash and root of the rows; :func:`near_groups` unless named. What it stores on the
+    way is removed once it is known which rows stay.
     """
-    groups = near_groups(docs) if groups is None else stored(groups, "near-groups")
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
-    keep = stored(keep, "near-dedup-kept")
+    spark = docs.sparkSession
+    path = scratch(spark, "near-dedup-kept")
+    with temporary(spark):
+        groups = (grouped or near_groups)(docs)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
+        sizes = stored(groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "near-groups")
+        best = sizes.groupBy("root").agg(first).select("root", "k.doc_id", "k.text_hash")
+        same = [sizes.root == best.root, sizes.text_hash == best.text_hash, sizes.doc_id.eqNullSafe(best.doc_id)]
+        sizes.join(best, same[0] & same[1] & same[2], "left_semi").select("doc_id", "text_hash", "n").write.parquet(path)
+    keep = spark.read.parquet(path)
     rows = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     kept = rows.join(keep.select(F.col("doc_id").alias("ki"), F.col("text_hash").alias("kh")), (F.col("h") == F.col("kh")) & F.col("i").eqNullSafe(F.col("ki")), "left_semi")
-    repeats = groups.join(keep, (groups.text_hash == keep.text_hash) & groups.doc_id.eqNullSafe(keep.doc_id), "left_semi").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    if repeats:  # rows that are equal in id and text: one stays
+    if not keep.where("n > 1").isEmpty():  # rows that are equal in id and text: one stays
         kept = kept.dropDuplicates(["i", "h"])
     return kept.select("row.*")
 

@@ -387,7 +387,8 @@ def removal_digests(docs: DataFrame, index: FingerprintIndex | None = None, bloc
 
 def dedup(docs: DataFrame, index: FingerprintIndex | None = None, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut from ``text_col``; a text that loses nothing stays as it is, byte for byte."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col(text_col).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(*others).alias("row"), F.col("doc_id"), F.col(text_col).alias("text"))  # the text itself travels once
     same, joined = _judged(whole, index or FingerprintIndex(docs.sparkSession), block_words)
     joined = joined.withColumn("text", _kept_text("text", "ranges")).drop("ranges").unionByName(same)
     return joined.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -58,7 +58,7 @@ def test_groups_match_brute_force(spark, monkeypatch):
     for i, w in enumerate(want):
         groups.setdefault(w, set()).add(got[i])
     assert all(len(g) == 1 for g in groups.values()) and len(set(got.values())) == len(groups)
-    kept = simhash.near_dedup(docs, ns.near_groups(docs))
+    kept = simhash.near_dedup(docs, ns.near_groups)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
 
 
