@@ -39,7 +39,7 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
     return [n] if n <= capacity else [first] + [capacity] * ((n - first) // capacity)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, memo: float = 1.0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ``ids``, little-endian 32-bit) for each piece of each row of ``docs``.
 
     A null text is an empty one: its only token is the end id.
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         schema = schema.add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER)).encode
+        encode = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER), share=memo).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in tc.slices(batches):
             owner, columns, held = [], ([], [], [], []), []
@@ -189,12 +189,12 @@ def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None
     return placed.select(*pieces.columns, F.col("__p.sequence_id"), F.col("__p.offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, memo: float = 1.0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of ``docs``.
 
-    Repeated rows are packed one by one; other columns are ignored.
+    Repeated rows are packed one by one; other columns are ignored. ``memo`` scales the tokenizer's memo in each worker.
     """
-    pieces = stored(token_pieces(doc_columns(docs), tokenizer, end_id, capacity, with_ids), "pieces")
+    pieces = stored(token_pieces(doc_columns(docs), tokenizer, end_id, capacity, with_ids, memo), "pieces")
     return pack(pieces, order=["doc_id", "piece", "start", "ids_crc32"], capacity=capacity)
 
 

@@ -61,7 +61,7 @@ class TextEncoder:
     Strings of special tokens count as ordinary text.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", share: float = 1.0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,10 +78,11 @@ class TextEncoder:
         self._lower = self._normalizer is not None
         self._table = _byte_letters()
         self._space = self._table[32] if self._spaced else ""
-        self._pretokens = _Memo(self._tokenize, PRETOKENS // 4)
-        self._words = _Memo(lambda w: self._tokenize(self._word(w)), PRETOKENS if not self._spaced else PRETOKENS // 4)
-        self._spaced_words = _Memo(lambda w: self._tokenize(self._space + self._word(w)), PRETOKENS)
-        self._pieces = _Memo(self._after_space if self._spaced else self._piece, PIECES)
+        pieces, most = max(1000, int(PIECES * share)), max(1000, int(PRETOKENS * share))
+        self._pretokens = _Memo(self._tokenize, most // 4)
+        self._words = _Memo(lambda w: self._tokenize(self._word(w)), most if not self._spaced else most // 4)
+        self._spaced_words = _Memo(lambda w: self._tokenize(self._space + self._word(w)), most)
+        self._pieces = _Memo(self._after_space if self._spaced else self._piece, pieces)
 
     def _tokenize(self, mapped: str) -> bytes:
         return np.array([t.id for t in self._model.tokenize(mapped)], self.dtype).tobytes()
@@ -152,14 +153,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str, float], TextEncoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> TextEncoder:
-    """The process's encoder for a tokenizer file: its memo lives as long as the worker."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = TextEncoder(path, dtype)
-    return _ENCODERS[path, dtype]
+def encoder(path: str, dtype: str = "<u4", share: float = 1.0) -> TextEncoder:
+    """The process's encoder for a tokenizer file: its memo lives as long as the worker.
+
+    ``share`` scales the memo (about 170 MB when full): less memory for more work, the ids are the same.
+    """
+    if (path, dtype, share) not in _ENCODERS:
+        _ENCODERS[path, dtype, share] = TextEncoder(path, dtype, share)
+    return _ENCODERS[path, dtype, share]
 
 
 def forget() -> None:
