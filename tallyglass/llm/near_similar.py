@@ -11,6 +11,8 @@ if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 3. Candidates are verified exactly, on the sets. Nodes try their nearest candidate outside
    their own component first, so a group of n near copies takes about n checks and not
    n squared; the last round checks every candidate that still joins two components.
+4. Large keys that still hold more than one component are gone through whole: sets travel
+   to pairs of chunks, where every pair across components is verified, in the first key it shares.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ U = np.uint64
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, RADIUS = 20, 4, 24
 SMALL_KEY, NEAREST, HOT_KEY = 32, 8, 2048
+WHOLE_KEY = 512
+SET = np.uint32  # of the hashes that sets are verified on
 NEAREST_ROUNDS = 2
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -82,7 +86,7 @@ def _features(words: int):
                 node.append(int(tc.mix(np.array([s.sum(dtype=np.uint64) ^ U(len(s))])).view(np.int64)[0]))
                 fp.append(int(majority(s, np.array([len(s)])).view(np.int64)[0]))
                 keys.append(band_keys(s).view(np.int64).tolist() if len(s) else [])
-                sets.append(np.unique((s >> U(32)).astype(np.uint32)).tobytes())
+                sets.append(np.unique((s >> U(32)).astype(SET)).tobytes())
             columns = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.StructArray.from_arrays(columns, names=_FEATURES.fieldNames())
 
@@ -158,7 +162,7 @@ def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, hot_key: int = HOT_K
 
 @F.arrow_udf(T.DoubleType())
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return pa.array([similarity(np.frombuffer(x, SET), np.frombuffer(y, SET)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -168,6 +172,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", (_similarity("x", "y") >= least).alias("linked"))
 
 
+def _bucket_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, earlier: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links that join the components of one bucket: every pair across components is compared.
+
+    Pairs of one ``side`` other than 0 belong to another bucket, as do pairs that share one of the ``earlier`` keys.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    label = np.unique(root, return_inverse=True)[1]
+    marked = np.zeros(len(ids), np.uint8)
+    for i in range(1, len(node)):
+        open_ = (label[:i] != label[i]) & ((side[:i] != side[i]) | (side[i] == 0))
+        open_ &= np.minimum(sizes[:i], sizes[i]) / np.maximum(sizes[:i], sizes[i]) >= least  # no similarity is above this
+        others = np.flatnonzero(open_)
+        others = others[~(earlier[others] == earlier[i]).any(axis=1)]
+        if not len(others):
+            continue
+        marked[own[i]] = 1
+        n = sizes[others]
+        common = np.add.reduceat(marked[np.concatenate([own[j] for j in others])], np.cumsum(n) - n, dtype=np.int64)
+        marked[own[i]] = 0
+        for j in others[common / (n + sizes[i] - common) >= least].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield int(node[j]), int(node[i])
+
+
+def _whole_links(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+
+        def out():
+            node, root, side, earlier, sets = (list(c) for c in zip(*held, strict=True))
+            keys = np.array(earlier, np.int64).reshape(len(node), -1)
+            found = list(_bucket_links(np.array(node), np.array(root), np.array(side), keys, [np.frombuffer(x, SET) for x in sets], least))
+            if found:
+                a, b = np.sort(np.array(found, np.int64), axis=1).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for key, c, d, *row in zip(*(batch.column(x).to_pylist() for x in ("key", "c", "d", "node", "root", "side", "earlier", "shingles")), strict=True):
+                if bucket != (key, c, d):
+                    if len(held) > 1:
+                        yield from out()
+                    held, bucket = [], (key, c, d)
+                held.append(row)
+        if len(held) > 1:
+            yield from out()
+
+    return run
+
+
+def whole_key_links(nodes: DataFrame, labels: DataFrame, least: float = SIMILARITY, whole_key: int = WHOLE_KEY) -> DataFrame:
+    """a < b, linked, joining components of ``labels`` within keys of more than ``SMALL_KEY`` of ``nodes`` (node, keys, shingles).
+
+    With these, all pairs that share such a key and are linked are in one component; nothing is left out by distance or rank.
+    """
+    keyed = nodes.select("node", "keys", F.posexplode("keys").alias("band", "key"))
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY)
+    rows = keyed.join(large, "key").join(labels, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"), F.expr("slice(keys, 1, band)").alias("earlier"))
+    rows = released(rows, "large-keys")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = rows.join(mixed, "key").withColumn("chunks", F.ceil(F.col("n") / whole_key).cast("int")).join(nodes.select("node", "shingles"), "node")
+    chunked = open_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = chunked.select("key", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "node", "root", side.alias("side"), "earlier", "shingles")
+    dealt = dealt.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "node")
+    return released(dealt.mapInArrow(_whole_links(least), "a long, b long").distinct(), "whole-key-links")
+
+
 def similar_components(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node, root for every node (node, fp, keys, shingles) that is linked to another."""
     spark = nodes.sparkSession
@@ -191,6 +265,10 @@ def similar_components(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame
         judged = now if judged is None else judged.unionByName(now)
         links = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = components(links)
+    more = whole_key_links(nodes.select("node", "keys", "shingles"), labels, least)
+    if not more.isEmpty():
+        more = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = components(more if links is None else links.unionByName(more))
     return labels
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tallyglass.llm import near_similar as ns
 from tallyglass.llm import simhash
 
@@ -74,3 +76,75 @@ def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert len({r.root for r in ns.near_groups(docs).collect()}) == 2
     assert ns.near_groups(docs.limit(0)).count() == 0
+
+
+def _set(values):
+    return bytes(np.unique(np.array(list(values), ns.SET)).tobytes())
+
+
+def _brute_links(nodes, least=0.8):
+    """The components of (node, set), as a set of frozensets of two nodes or more."""
+    root = {n: n for n, _ in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (n, x) in enumerate(nodes):
+        for m, y in nodes[:i]:
+            if len(x & y) >= least * len(x | y):
+                root[find(n)] = find(m)
+    groups = {}
+    for n, _ in nodes:
+        groups.setdefault(find(n), set()).add(n)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def _found(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.root, set()).add(r.node)
+    return {frozenset(g) for g in groups.values()}
+
+
+_NODE = "node long, fp long, keys array<long>, shingles binary"
+
+
+def test_linked_pair_in_a_hot_key_of_nearer_but_unlike_texts(spark):
+    nodes = [(i, set(range(100 * i, 100 * i + 10))) for i in range(1, 60)]
+    nodes += [(98, set(range(9))), (99, set(range(10)))]
+    rows = [(n, 15 if n == 99 else 0, [7], _set(s)) for n, s in nodes]
+    got = _found(ns.similar_components(spark.createDataFrame(rows, _NODE)).collect())
+    assert got == _brute_links(nodes) == {frozenset({98, 99})}
+
+
+def test_hot_keys_match_brute_force_in_any_chunks(spark):
+    rnd = random.Random(4)
+    nodes = []
+    for i in range(150):  # near the limit on both sides, of three templates
+        base = i % 3 * 1000
+        nodes.append((i + 1, (set(range(base, base + 60)) - set(rnd.sample(range(base, base + 60), rnd.randint(0, 9)))) | {rnd.randrange(10**6, 10**7) for _ in range(rnd.randint(0, 6))}))
+    rows = [(n, rnd.getrandbits(5), [5, 100 + n % 3, 200 + n % 40], _set(s)) for n, s in nodes]
+    frame = spark.createDataFrame(rows, _NODE).repartition(3)
+    want = _brute_links(nodes)
+    assert _found(ns.similar_components(frame).collect()) == want
+    none = spark.createDataFrame([], "node long, root long")
+    for chunk in (20, 512):
+        links = ns.whole_key_links(frame, none, whole_key=chunk)
+        assert _found(ns.components(links.toDF("u", "v")).collect()) == want
+
+
+def test_template_texts_match_brute_force(spark):
+    rnd = random.Random(5)
+    base = [f"t{i}" for i in range(220)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for at in rnd.sample(range(220), rnd.randint(2, 6)):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    want = brute_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.root for r in ns.near_groups(docs).collect()}
+    assert len(set(got.values())) == len(set(want)) and len({(got[i], w) for i, w in enumerate(want)}) == len(set(want))
