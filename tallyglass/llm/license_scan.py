@@ -78,12 +78,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0-name",)),
     ("Unlicense", ("public-domain",)),
 )
-#: Other sentences that may stand between two of a rule, and pieces of text that a wrapped sentence may be cut into.
-MAX_GAP, MAX_PIECES = 3, 12
+#: Other sentences that may stand between two of a rule.
+MAX_GAP = 3
 
 _WORD = re.compile(r"[0-9a-z]+(?:[.+-][0-9a-z]+)*|[^\x00-\x7f]+")
 _CUT = re.compile(r"(?<=[.!?;:])[ \t]+|[\r\n]+")
-_TRIGGER = re.compile(r"licen[sc]e|permission|redistribut|notice|waive|public domain|warrant|free software|software is provided|endorse", re.I)
+_TRIGGER = re.compile(r"licen[sc]e|permission|redistribut|notice|waive|public[^0-9a-z]+domain|warrant|free[^0-9a-z]+software|software[^0-9a-z]+is[^0-9a-z]+provided|endorse", re.I)
 
 
 def normalise(sentence: str) -> str:
@@ -111,7 +111,7 @@ def recognise(text: str | None) -> list[tuple[int, str]]:
     while i < len(pieces):
         if pieces[i].split(" ", 1)[0] in _FIRST:
             joined, best = "", None
-            for j in range(i, min(i + MAX_PIECES, len(pieces))):
+            for j in range(i, len(pieces)):
                 joined = f"{joined} {pieces[j]}" if joined else pieces[j]
                 if len(joined) > _LONGEST:
                     break

@@ -48,3 +48,12 @@ def test_edges(spark):
     out = sorted((r.doc_id, list(r.sentences), list(r.licences)) for r in ls.scan(docs).collect())
     assert out == [(1, [], []), (2, [], []), (3, [], []), (4, ["mit-name"], ["MIT"]), (4, ["mit-name"], ["MIT"])]
     assert ls.scan(docs.limit(0)).count() == 0
+
+
+def test_sentences_wrapped_anywhere_are_found():
+    for name, forms in ls.SENTENCES.items():
+        for form in forms:
+            words = form.split()
+            for n in (1, 2, 3, 5):
+                wrapped = "\n".join(" * " + " ".join(words[i : i + n]) for i in range(0, len(words), n))
+                assert [x for _, x in ls.recognise(f"Before.\n{wrapped}\nAfter.")] == [name], wrapped
