@@ -44,6 +44,12 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl2-name": ("SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GNU General Public License, version 2."),
     "gpl2-grant": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
     "gpl-warranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",),
+    "lgpl21-grant": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "lgpl3-grant": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "lgpl21-name": ("SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    "lgpl3-name": ("SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "Licensed under the GNU Lesser General Public License, version 3."),
+    "agpl3-grant": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "agpl3-name": ("SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License, version 3."),
     "mpl-name": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "cc-by-name": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-nc-name": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
@@ -60,12 +66,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("apache-name", "apache-comply", "apache-as-is")),
+    ("AGPL-3.0", ("agpl3-grant",)),
+    ("LGPL-3.0", ("lgpl3-grant",)),
+    ("LGPL-2.1", ("lgpl21-grant",)),
     ("GPL-3.0", ("gpl3-grant", "gpl-warranty")),
     ("GPL-2.0", ("gpl2-grant", "gpl-warranty")),
     ("GPL-3.0", ("gpl3-grant",)),
     ("GPL-2.0", ("gpl2-grant",)),
     ("GPL-3.0", ("gpl3-name",)),
     ("GPL-2.0", ("gpl2-name",)),
+    ("AGPL-3.0", ("agpl3-name",)),
+    ("LGPL-3.0", ("lgpl3-name",)),
+    ("LGPL-2.1", ("lgpl21-name",)),
     ("MIT", ("mit-name",)),
     ("ISC", ("isc-name",)),
     ("BSD-2-Clause", ("bsd2-name",)),
@@ -98,6 +110,16 @@ for _id, _forms in SENTENCES.items():
 _FIRST = {k.split(" ", 1)[0] for k in _KNOWN}
 _LONGEST = max(map(len, _KNOWN))
 
+#: The endorsement clause with the name of any holder.
+_ENDORSE = re.compile(r"neither the name of (?:\S+ ){1,20}nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission")
+
+
+def _known(sentence: str) -> str | None:
+    """The identifier of a normalised sentence."""
+    if sentence.startswith("neither the name of ") and _ENDORSE.fullmatch(sentence):
+        return "bsd-endorse"
+    return _KNOWN.get(sentence)
+
 
 def recognise(text: str | None) -> list[tuple[int, str]]:
     """(place among the text's pieces, identifier) of the known sentences, in order.
@@ -115,9 +137,8 @@ def recognise(text: str | None) -> list[tuple[int, str]]:
                 joined = f"{joined} {pieces[j]}" if joined else pieces[j]
                 if len(joined) > _LONGEST:
                     break
-                if joined in _KNOWN:
-                    best = j
-                    name = _KNOWN[joined]
+                if (known := _known(joined)) is not None:
+                    best, name = j, known
             if best is not None:
                 found.append((i, best, name))
                 i = best + 1

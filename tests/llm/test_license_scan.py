@@ -57,3 +57,13 @@ def test_sentences_wrapped_anywhere_are_found():
             for n in (1, 2, 3, 5):
                 wrapped = "\n".join(" * " + " ".join(words[i : i + n]) for i in range(0, len(words), n))
                 assert [x for _, x in ls.recognise(f"Before.\n{wrapped}\nAfter.")] == [name], wrapped
+
+
+def test_more_families_and_named_holders():
+    s = {k: v[0] for k, v in ls.SENTENCES.items()}
+    bsd = [s[k] for k in ("bsd-redistribution", "bsd-source", "bsd-binary")]
+    for holder in ("Example Corp.", "the University of Somewhere"):
+        clause = f"Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        assert ls.match(ls.recognise("\n".join([*bsd, clause]))) == ["BSD-3-Clause"]
+    for name, text in (("AGPL-3.0", s["agpl3-grant"]), ("LGPL-2.1", s["lgpl21-grant"]), ("LGPL-3.0", s["lgpl3-grant"]), ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later")):
+        assert ls.match(ls.recognise(text)) == [name]
