@@ -5,9 +5,9 @@ if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 
 1. Each text gets its shingle set, a SimHash of it, and the keys of ``BANDS`` bands of
    four minimum hashes each; a pair of similarity 0.8 misses all bands once in 30,000.
-2. Equal sets are one node. Within a band's key, SimHashes are compared bit-sliced, and
-   pairs within ``RADIUS`` bits are candidates: all of them in a small key, the nearest
-   ``NEAREST`` of each node in a large one.
+2. Equal sets are one node. All pairs of a small band key are candidates; in a large one
+   SimHashes are compared bit-sliced, and each node proposes the nearest ``NEAREST``
+   within ``RADIUS`` bits to begin with.
 3. Candidates are verified exactly, on the sets. Nodes try their nearest candidate outside
    their own component first, so a group of n near copies takes about n checks and not
    n squared; the last round checks every candidate that still joins two components.
@@ -35,7 +35,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, RADIUS = 20, 4, 24
 SMALL_KEY, NEAREST, HOT_KEY = 32, 8, 2048
 WHOLE_KEY = 512
-SET = np.uint32  # of the hashes that sets are verified on
+SET = np.uint64  # of the hashes that sets are verified on
 NEAREST_ROUNDS = 2
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -86,7 +86,7 @@ def _features(words: int):
                 node.append(int(tc.mix(np.array([s.sum(dtype=np.uint64) ^ U(len(s))])).view(np.int64)[0]))
                 fp.append(int(majority(s, np.array([len(s)])).view(np.int64)[0]))
                 keys.append(band_keys(s).view(np.int64).tolist() if len(s) else [])
-                sets.append(np.unique((s >> U(32)).astype(SET)).tobytes())
+                sets.append(s.astype(SET).tobytes())
             columns = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.StructArray.from_arrays(columns, names=_FEATURES.fieldNames())
 
@@ -96,6 +96,10 @@ def _features(words: int):
 def _bucket_pairs(node: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidate pairs (earlier, later, distance) within one key."""
     m = len(fp)
+    if m <= SMALL_KEY:
+        row, col = np.tril_indices(m, -1)
+        yield node[col], node[row], np.bitwise_count(fp[row] ^ fp[col]).astype(np.int32)
+        return
     words = -(-m // 64)
     padded = np.zeros(words * 64, np.uint64)
     padded[:m] = fp
@@ -107,20 +111,16 @@ def _bucket_pairs(node: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tup
         own = np.arange(i, min(i + step, m))
         masks = near_masks(np.repeat(fp[own], words), np.tile(np.arange(words), len(own)), planes, valid, radius).reshape(len(own), words)
         near = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")[:, :m].astype(bool)
-        if m <= SMALL_KEY:
-            near &= np.arange(m) < own[:, None]
-        else:
-            near[np.arange(len(own)), own] = False
+        near[np.arange(len(own)), own] = False
         row, col = np.nonzero(near)
         if not len(row):
             continue
         distance = np.bitwise_count(fp[own[row]] ^ fp[col]).astype(np.int32)
-        if m > SMALL_KEY:  # the nearest of each
-            order = np.lexsort((col, distance, row))
-            row, col, distance = row[order], col[order], distance[order]
-            first = np.searchsorted(row, row, "left")
-            few = np.arange(len(row)) - first < NEAREST
-            row, col, distance = row[few], col[few], distance[few]
+        order = np.lexsort((col, distance, row))
+        row, col, distance = row[order], col[order], distance[order]
+        first = np.searchsorted(row, row, "left")
+        few = np.arange(len(row)) - first < NEAREST  # the nearest of each
+        row, col, distance = row[few], col[few], distance[few]
         yield node[col], node[own[row]], distance
 
 

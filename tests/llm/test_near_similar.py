@@ -148,3 +148,15 @@ def test_template_texts_match_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.root for r in ns.near_groups(docs).collect()}
     assert len(set(got.values())) == len(set(want)) and len({(got[i], w) for i, w in enumerate(want)}) == len(set(want))
+
+
+def test_linked_pair_of_distant_simhashes(spark):
+    rows = [(1, 0, [7], _set(range(9))), (2, -1, [7], _set(range(10))), (3, 0, [7], _set(range(50, 60)))]
+    got = _found(ns.similar_components(spark.createDataFrame(rows, _NODE)).collect())
+    assert got == {frozenset({1, 2})}
+
+
+def test_sets_hold_whole_hashes(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    row = spark.createDataFrame([(text,)], "text string").select(ns._features(5)("text").alias("f")).select("f.shingles").first()
+    assert bytes(row.shingles) == ns.shingle_set(text.encode()).tobytes()
