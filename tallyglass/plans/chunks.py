@@ -78,8 +78,7 @@ _COUNTS = ", ".join("CAST(" + " + ".join(f"(length(content) - length(replace(low
 @query("embed_keywords", f"""WITH {v.FILES}, {_windows(20, 5)}, e AS (SELECT path, start_line, [{_COUNTS}, 0.01] AS x FROM kept WHERE length(content) = length(lower(content)))
   SELECT path, start_line, array_to_string(list_transform(x, lambda t: CAST(CAST(round(t / sqrt(list_sum(list_transform(x, lambda u: u * u))) * 10000) AS BIGINT) AS VARCHAR)), ',') AS vector FROM e""")
 def embed_keywords(spark, d):
-    chunks = chunk.windows(v.files(spark, d), 20, 5).where("length(content) = length(lower(content))")
-    out = chunks.withColumn("v", embed.keyword_vector(F.col("content")))
+    out = chunk.windows(v.files(spark, d), 20, 5).withColumn("v", embed.keyword_vector(F.col("content")))
     return out.select("path", F.col("start_line").cast("long"), F.array_join(F.transform("v", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("vector"))
 
 

@@ -188,3 +188,12 @@ def test_config_layers(tmp_path, spark):
     for bad in ("", "0s", "5 parsecs"):
         with pytest.raises(ValueError):
             config.seconds(bad)
+
+
+def test_embed_keywords_keeps_chunks_that_lower_lengthens(spark, tmp_path):
+    from tallyglass.plans import registry
+
+    docs = [(1, "\u0130stanbul, the city and the sea", "en", "web", 31), (2, "the end", "en", "web", 7)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path.rsplit("doc_", 1)[1][0]: r.vector for r in registry.queries()["embed_keywords"](spark, str(tmp_path)).collect()}
+    assert got == {"1": "10000,0,0,0,0,33", "2": "10000,0,0,0,0,100"}
