@@ -78,8 +78,9 @@ def fingerprints(joined: bytes, width: int) -> tuple[int, np.ndarray, np.ndarray
     starts, ends = tc.bounds(joined)
     if len(starts) < width:
         return len(starts), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
-    words = tc.word_hashes(joined, starts, ends)
-    return len(starts), tc.window_hashes(words, width), (tc.window_hashes(words, width, 1) >> tc.U64(48)).astype(np.uint16)
+    high = tc.window_hashes(tc.word_hashes(joined, starts, ends), width)
+    low = tc.second_hashes(tc.word_hashes(joined, starts, ends, 1), width)
+    return len(starts), high, (low >> tc.U64(48)).astype(np.uint16)
 
 
 class _Block:

@@ -3,9 +3,11 @@
 Words are runs of bytes other than ASCII white space (``bytes.split``), so they are
 the same on UTF-8 bytes as ``[^\\x20\\x09-\\x0D]+`` is on text.
 
-Fingerprints are polynomial hashes modulo 2**64 finished by a 64-bit mixer. A
-*word* hash is computed from prefix sums over the bytes, a *window* hash from
-prefix sums over the word hashes, so a window costs the same whatever its width.
+Word hashes take a word's bytes eight at a time, each through a 64-bit mixer, so words
+of up to eight bytes with equal lengths never share a hash, and no pattern of letters
+makes longer ones meet. Window hashes of the first family mix halves together, of 1, 2,
+4 ... words, which leaves no arithmetic structure either; those of the second are
+polynomials over word hashes of another seed, so the two families are independent.
 Everything here is position-independent: equal words or windows get equal values
 in any document, process or run.
 """
@@ -16,13 +18,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_rng = np.random.default_rng(20240229)
-_BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_WORD_BASE = 0xA0761D6478BD642F
+_LENGTH, _JOIN, _SECOND = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0x5851F42D4C957F2D)
+#: Keeps the first n bytes of a little-endian lane.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed by XXH64.
+_LANES = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,8 +62,7 @@ class _Powers:
         return np.multiply.accumulate(out)
 
 
-_BYTE_POWERS = _Powers(_BYTE_BASE)
-_WORD_POWERS = tuple(_Powers(b) for b in _WORD_BASES)
+_WORD_POWERS = _Powers(_WORD_BASE)
 
 
 def bounds(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -73,42 +77,72 @@ def bounds(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word; long texts are taken a slice of words at a time."""
-    n = len(starts)
-    out = np.empty(n, np.uint64)
-    buf = np.frombuffer(joined, np.uint8)
-    i = 0
-    while i < n:
-        a = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, a + (_Powers.LIMIT >> 1), "right")))
-        b = int(ends[j - 1])
-        up, down = _BYTE_POWERS.get(b - a + 1)
-        sums = np.empty(b - a + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_VALUES[buf[a:b]] * up[: b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * down[s])
-        i = j
+def word_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash for each word ``joined[starts[i]:ends[i]]``; ``seed`` picks one of many independent families."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lanes = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), 0, (1,))
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * _LENGTH + U64(seed * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+    out = mix(out ^ (lanes[starts] & _FIRST[np.minimum(lengths, 8)]))
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        longest = int(lengths.max())
+        if longest > 8 * _LANES:
+            huge = long[lengths[long] > 8 * _LANES]
+            out[huge] = [xxhash.xxh64_intdigest(joined[starts[i] : ends[i]], seed) for i in huge.tolist()]
+            long = long[lengths[long] <= 8 * _LANES]
+        for k in range(8, min(longest, 8 * _LANES), 8):
+            long = long[lengths[long] > k]
+            out[long] = mix(out[long] * _JOIN + (lanes[starts[long] + k] & _FIRST[np.minimum(lengths[long] - k, 8)]))
     return out
 
 
-def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash for each run of ``width`` consecutive words; ``which`` picks one of two independent families."""
+def lane_mask(n: np.ndarray) -> np.ndarray:
+    """Masks that keep the first ``n`` bytes of lanes; less than none is none, more than eight are eight."""
+    return _FIRST[np.clip(n, 0, 8)]
+
+
+def _merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash for each pair of hashes, in which their order counts."""
+    x = (left ^ (left >> U64(29))) * _JOIN + right
+    x ^= x >> U64(32)
+    x *= _M1
+    x ^= x >> U64(29)
+    return x
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash for each run of ``width`` consecutive words, joined from runs of 1, 2, 4 ... words."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    run, size, out, done = words, 1, None, 0
+    while True:
+        if width & size:
+            out = run[:n] if out is None else _merged(out, run[done : done + n])
+            done += size
+        if done == width:
+            return mix(out ^ U64(width))
+        run = _merged(run[: len(run) - size], run[size:])
+        size *= 2
+
+
+def second_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The second family: a polynomial modulo 2**64 over word hashes (of another seed) for each run of ``width`` words, then mixed."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
-    powers, step = _WORD_POWERS[which], (_Powers.LIMIT >> 1)
-    words = words if not which else mix(words ^ U64(0x5851F42D4C957F2D))
+    step = _Powers.LIMIT >> 1
     for i in range(0, n, step):
         j = min(n, i + step)
         part = words[i : j + width - 1]
-        up, down = powers.get(len(part) + 1)
+        up, down = _WORD_POWERS.get(len(part) + 1)
         sums = np.empty(len(part) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(part * up[: len(part)], out=sums[1:])
-        out[i:j] = mix((sums[width:] - sums[:-width]) * down[: j - i])
+        out[i:j] = mix((sums[width:] - sums[:-width]) * down[: j - i] + _SECOND)
     return out
 
 

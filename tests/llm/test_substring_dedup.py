@@ -73,3 +73,15 @@ def test_packing_round_trips():
         assert (sd._unpack(sd._pack(v)) == v).all()
         p = rng.integers(0, 2**24, n)
         assert (sd._unpack3(sd._pack3(p)) == p).all()
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    """Thue-Morse words, which agree in every polynomial hash modulo a power of two, and windows patterned like them."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    same = " ".join(f"s{i}" for i in range(17))
+    texts = [f"{same} {a} {same}", f"{same} {b} {same}", " ".join([a, "b"][x] for x in bits[:35]), " ".join(["b", a][x] for x in bits[:35])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in sd.removal_digests(docs).collect()}
+    assert got == dict(enumerate(sd.brute(texts)))
+    assert all(n == 0 for _, n, _ in got.values())
