@@ -1,22 +1,27 @@
 """Operator 3: quality rules with adaptive thresholds.
 
 Text statistics are measured once for each document. Thresholds aren't fixed: for
-each language and source, KLL sketches of the statistics of documents that pass the
-base rules give quartiles, and a document fails if a statistic lies far beyond its
-group's. Sketches are mergeable: a source with too few documents is judged by the
-merged sketch of its language, and a language with too few by that of all.
-
-Only the sketches (a few kB a group) are shuffled for the thresholds; a group that
-holds most rows is sketched partition by partition.
+each language and source, a quantile sketch of each statistic over the documents that
+pass the base rules gives quantiles, and a document fails if a statistic lies far
+beyond its group's. The sketches are histograms over buckets of equal ratio (2 % wide,
+so quantiles are within 1 % of their value and ranks are exact): they are merged by
+adding counts, and don't depend on the order or the layout of the rows. A source with
+too few documents is judged by the merged sketch of its language, and a language with
+too few by that of all.
+
+Only bucket counts are shuffled for the thresholds, at most some 1,500 a group and
+statistic; a group that holds most rows is counted partition by partition.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +32,20 @@ REPEAT_WIDTH = 8
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
-#: Statistic -> (expression, quartile spreads allowed below, above, slack). None: no limit on that side.
-#: The spread on the upper side is that of the lower half (median less first quartile) where junk only adds
-#: to a statistic, so that up to half of a group may be junk without moving its limit.
+#: Statistic -> (expression, factor of the tail, least upper limit, least lower limit or None for no lower limit).
+#: The upper limit is the median, four times the distance from there to the third quartile, and ``factor`` times that to
+#: the 99th percentile, but at least the least limit, which keeps groups that hardly know a statistic from failing at its
+#: first occurrence. Junk lies beyond a small share of its own tail in symbols; repeated passages are common in good texts,
+#: so that only what is far beyond the tail fails. With a lower limit, the rule is that of quartiles on both sides.
 RULES = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", None, 4.0, 0.02),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", None, 4.0, 0.28),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", None, 4.0, 0.50),
-    "word_length": ("word_chars / greatest(n_words, 1)", 4.0, 4.0, 1.0),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", 0.2, 0.02, None),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 3.0, 0.28, None),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 3.0, 0.35, None),
+    "word_length": ("word_chars / greatest(n_words, 1)", 4.0, 1.0, 1.0),
 }
+QUANTILES = (0.25, 0.5, 0.75, 0.99)
+#: Buckets of the sketches: bucket b holds the values from RATIO**(b - 1) to RATIO**b; those below LEAST are zero.
+RATIO, LEAST, ZERO = 1.02, 1e-9, -100_000
 #: A group of fewer documents that pass the base rules takes the thresholds of the level above.
 LEAST_GROUP = 100
 
@@ -60,17 +70,18 @@ def measure(text: bytes | None) -> tuple[int, ...]:
         order = np.argsort(hashes, kind="stable")
         same = hashes[order][1:] == hashes[order][:-1]
         if same.any():
-            twice = np.zeros(len(hashes), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            repeated = int(tc.covered(len(words), np.flatnonzero(twice), REPEAT_WIDTH).sum())
+            maybe = np.unique(np.concatenate((order[1:][same], order[:-1][same])))
+            passages = [joined[a:b] for a, b in zip(starts[maybe].tolist(), ends[maybe + REPEAT_WIDTH - 1].tolist(), strict=True)]
+            count = Counter(passages)  # equal hashes only propose; the words decide
+            twice = maybe[[count[x] > 1 for x in passages]]
+            repeated = int(tc.covered(len(words), twice, REPEAT_WIDTH).sum())
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def _measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        rows = [measure(t) for t in tc.as_bytes(column)]
+    for column in tc.trimmed(batches):
+        rows = [measure(t) for t in tc.each_text(column)]
         columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
 
@@ -81,18 +92,31 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def _limits(sketched: DataFrame) -> DataFrame:
-    """Low and high limits of each rule from the sketches ``s_<rule>``."""
-    out = sketched
-    for name, (_, below, above, slack) in RULES.items():
-        q = F.kll_sketch_get_quantile_double(F.col(f"s_{name}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        out = out.withColumn(f"q_{name}", q)
-        q1, q2, q3 = (F.col(f"q_{name}")[i] for i in range(3))
-        spread = q3 - q1 if below is not None else q2 - q1
-        top = q3 if below is not None else q2
-        out = out.withColumn(f"high_{name}", top + above * spread + slack)
-        out = out.withColumn(f"low_{name}", q1 - below * spread - slack if below is not None else F.lit(float("-inf")))
-    return out.drop(*[f"s_{n}" for n in RULES])
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """The sketches: lang, source, rule, bucket and n, over the rows that pass the base rules."""
+    bucket = lambda x: F.when(x < LEAST, F.lit(ZERO)).otherwise(F.ceil(F.log(x) / F.lit(math.log(RATIO)))).cast("int")
+    values = F.array(*[F.struct(F.lit(name).alias("rule"), bucket(F.expr(rule[0]).cast("double")).alias("bucket")) for name, rule in RULES.items()])
+    rated = rows.where(~F.col("base_failed")).select("lang", "source", F.explode(values).alias("v"))
+    return rated.groupBy("lang", "source", "v.rule", "v.bucket").agg(F.count("*").alias("n"))
+
+
+def _limits(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, rows, and low and high limits of each rule, from sketches that are merged by ``by``."""
+    merged = counts.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy(*by, "rule")  # a few hundred buckets each
+    below = merged.withColumn("up_to", F.sum("n").over(of.orderBy("bucket"))).withColumn("rows", F.sum("n").over(of))
+    value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(RATIO), F.col("bucket")) * (2 / (1 + RATIO)))
+    reached = lambda rule, q: F.min(F.when((F.col("rule") == rule) & (F.col("up_to") >= F.col("rows") * q), value))
+    out = below.groupBy(*by).agg(F.max("rows").alias("rows"), *[reached(rule, q).alias(f"{rule}_{k}") for rule in RULES for k, q in enumerate(QUANTILES)])
+    limits = []
+    for name, (_, factor, top, bottom) in RULES.items():
+        q1, q2, q3, tail = (F.col(f"{name}_{k}") for k in range(4))
+        if bottom is None:
+            low, high = F.lit(float("-inf")), F.greatest(F.lit(top), q2 + 4 * (q3 - q2) + factor * (tail - q2))
+        else:
+            low, high = q1 - F.greatest(F.lit(bottom), factor * (q3 - q1)), q3 + F.greatest(F.lit(top), factor * (q3 - q1))
+        limits += [low.alias(f"low_{name}"), high.alias(f"high_{name}")]
+    return out.select(*by, "rows", *limits)
 
 
 def thresholds(rows: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
@@ -101,15 +125,12 @@ def thresholds(rows: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     Limits come from the pair's own sketches if it has ``least_group`` rows, else from its language's merged
     sketches, else from those of all rows.
     """
-    names = list(RULES)
-    rated = rows.where(~F.col("base_failed")).select("lang", "source", *[F.expr(RULES[n][0]).cast("double").alias(n) for n in names])
-    pairs = stored(rated.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(n).alias(f"s_{n}") for n in names]), "sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(f"s_{n}").alias(f"s_{n}") for n in names]]
-    langs = _limits(pairs.groupBy("lang").agg(*merged))
-    everything = _limits(pairs.groupBy(F.lit(1).alias("one")).agg(*merged)).drop("n", "one")
-    limits = [f"{side}_{n}" for n in names for side in ("low", "high")]
-    own = _limits(pairs).alias("p").join(langs.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(everything).alias("a"), F.lit(True), "left")
-    pick = lambda c: F.when(F.col("p.n") >= least_group, F.col(f"p.{c}")).when(F.col("l.n") >= least_group, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
+    counts = stored(bucket_counts(rows), "sketches")
+    langs, everything = _limits(counts, ["lang"]), _limits(counts.withColumn("one", F.lit(1)), ["one"]).drop("one")
+    limits = [f"{side}_{n}" for n in RULES for side in ("low", "high")]
+    own = _limits(counts, ["lang", "source"]).alias("p").join(langs.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")), "left")
+    own = own.join(F.broadcast(everything).alias("a"), F.lit(True), "left")  # one row
+    pick = lambda c: F.when(F.col("p.rows") >= least_group, F.col(f"p.{c}")).when(F.col("l.rows") >= least_group, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
     return own.select(F.col("p.lang").alias("lang"), F.col("p.source").alias("source"), *[pick(c).alias(c) for c in limits])
 
 
@@ -119,6 +140,7 @@ def verdicts(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     * A null or empty text has no words and fails the base rules.
     * Null languages and sources are groups of their own; repeated rows count as often as they occur.
     * A row that fails the base rules isn't judged by the adaptive ones and isn't kept.
+    * An empty table gives no rows; other columns are ignored; equal tables give equal verdicts, however they are laid out.
     """
     rows = stored(measured(docs), "measures")
     limits = thresholds(rows, least_group).withColumnsRenamed({"lang": "__lang", "source": "__source"})

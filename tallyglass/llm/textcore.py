@@ -14,6 +14,9 @@ in any document, process or run.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -176,6 +179,23 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def each_text(column: pa.Array, rows: int = 500) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a string column, of which only some rows are copied at a time."""
+    for i in range(0, len(column), rows):
+        yield from as_bytes(column.slice(i, rows))
+
+
+def trimmed(items: Iterator) -> Iterator:
+    """The same items; memory that the worker has freed goes back to the system at the end, as idle workers live on."""
+    try:
+        yield from items
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows`` rows and about ``size`` bytes, so that work arrays stay small."""
     for batch in batches:

@@ -37,3 +37,81 @@ def test_empty_and_all_failing(spark):
     assert qr.verdicts(spark.createDataFrame([], schema)).count() == 0
     out = qr.verdicts(spark.createDataFrame([(1, None, None, None), (1, None, None, None)], schema)).collect()
     assert [(r.base_failed, r.kept) for r in out] == [(True, False)] * 2
+
+
+def _brute_verdicts(rows, least_group):
+    """kept by row, from sorted lists of the sketches' values."""
+    import math
+
+    measures = {i: dict(zip(qr.MEASURES, qr.measure(t.encode() if t else None))) for i, t, _, _ in rows}
+    failed = {i: qr.brute(t)[5] for i, t, _, _ in rows}
+
+    def stats(m):
+        return {
+            "symbols": m["n_symbols"] / max(m["word_chars"], 1), "repeats": m["n_repeat_words"] / max(m["n_words"], 1),
+            "dup_lines": m["n_dup_lines"] / max(m["n_lines"], 1), "word_length": m["word_chars"] / max(m["n_words"], 1),
+        }
+
+    def sketched(x):
+        if x < qr.LEAST:
+            return 0.0
+        value = qr.RATIO ** math.ceil(math.log(x) / math.log(qr.RATIO)) * 2 / (1 + qr.RATIO)
+        assert abs(value - x) <= 0.0101 * x
+        return value
+
+    def limits(ids):
+        out = {}
+        for name, (_, factor, top, bottom) in qr.RULES.items():
+            xs = sorted(stats(measures[i])[name] for i in ids)
+            q1, q2, q3, tail = (sketched(xs[max(0, math.ceil(q * len(xs)) - 1)]) for q in qr.QUANTILES)
+            if bottom is None:
+                out[name] = (-math.inf, max(top, q2 + 4 * (q3 - q2) + factor * (tail - q2)))
+            else:
+                out[name] = (q1 - max(bottom, factor * (q3 - q1)), q3 + max(top, factor * (q3 - q1)))
+        return out
+
+    good = [r for r in rows if not failed[r[0]]]
+    kept, near = {}, set()
+    for i, _, lang, source in rows:
+        if failed[i]:
+            kept[i] = False
+            continue
+        own, of_lang = [r[0] for r in good if r[2:] == (lang, source)], [r[0] for r in good if r[2] == lang]
+        by = own if len(own) >= least_group else of_lang if len(of_lang) >= least_group else [r[0] for r in good]
+        x, lim = stats(measures[i]), limits(by)
+        kept[i] = all(lim[k][0] <= x[k] <= lim[k][1] for k in x)
+        if any(math.isfinite(e) and abs(x[k] - e) <= 1e-9 * abs(e) for k in x for e in lim[k]):  # rounding
+            near.add(i)
+    return kept, near
+
+
+def test_verdicts_match_exact_quantiles_and_are_the_same_in_any_layout(spark):
+    rnd = random.Random(7)
+    rows = []
+    for k in range(260):
+        lang, source = rnd.choice([("aa", "s0"), ("aa", "s1"), ("bb", "s0"), ("cc", None), (None, "s2")])
+        noise = {"aa": rnd.choice(["", " # $"]), "bb": " | a | b " * rnd.randint(1, 4)}.get(lang, "")
+        junk = "###" if rnd.random() < 0.08 else "zzzzzzzzzzzz" if rnd.random() < 0.05 else ""
+        rows.append((k, " ".join(w + junk for w in _clean(rnd, rnd.randint(5, 90)).split()) + noise, lang, source))
+    schema = "doc_id long, text string, lang string, source string"
+    frame = spark.createDataFrame(rows, schema)
+    first = {r.doc_id: r for r in qr.verdicts(frame.repartition(3), least_group=40).collect()}
+    again = {r.doc_id: r for r in qr.verdicts(frame.repartition(7, "text"), least_group=40).collect()}
+    assert first == again
+    kept, near = _brute_verdicts(rows, 40)
+    assert len(near) < 5 and not all(kept.values()) and any(kept.values())
+    assert {i: first[i].kept for i in kept if i not in near} == {i: v for i, v in kept.items() if i not in near}
+
+
+def test_repeats_are_counted_on_words_not_on_hashes():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    text = " ".join([a, "c d e f g h i", b, "c d e f g h i", a + b])
+    assert qr.measure(text.encode())[4] == qr.brute(text)[4] == 0
+
+
+def test_limits_differ_between_groups(spark):
+    rows = qr.measured(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    limits = qr.thresholds(rows).collect()
+    for name in ("symbols", "repeats", "dup_lines", "word_length"):
+        assert len({r[f"high_{name}"] for r in limits}) > 3, name
