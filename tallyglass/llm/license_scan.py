@@ -153,29 +153,32 @@ def recognise(text: str | None) -> list[tuple[int, str]]:
 
 
 def match(sequence: list[tuple[int, str]]) -> list[str]:
-    """The licences of the rules that match, in order of the rules; an identifier counts once."""
+    """The licences of the rules that match, in order of the rules; an identifier counts once.
+
+    From each place a rule looks ahead no farther than ``MAX_GAP`` allows, so the time grows with the sequence.
+    """
     free = [True] * len(sequence)
+    names = {name for _, name in sequence}
     out = []
     for licence, rule in RULES:
-        start = 0
-        while start < len(sequence):
-            used, at = [], start
-            for name in rule:
-                while at < len(sequence) and not (free[at] and sequence[at][1] == name and (not used or sequence[at][0] - sequence[used[-1]][0] <= MAX_GAP + 1)):
+        if not names.issuperset(rule):
+            continue
+        for start, (_, name) in enumerate(sequence):
+            if name != rule[0] or not free[start]:
+                continue
+            used = [start]
+            for wanted in rule[1:]:
+                reach = sequence[used[-1]][0] + MAX_GAP + 1
+                at = used[-1] + 1
+                while at < len(sequence) and sequence[at][0] <= reach and not (free[at] and sequence[at][1] == wanted):
                     at += 1
-                if at == len(sequence):
+                if at == len(sequence) or sequence[at][0] > reach:
                     break
                 used.append(at)
-                at += 1
-            if len(used) < len(rule):
-                if not used:
-                    break
-                start = used[0] + 1
-                continue
-            for u in used:
-                free[u] = False
-            out.append(licence)
-            start = used[0] + 1
+            if len(used) == len(rule):
+                for u in used:
+                    free[u] = False
+                out.append(licence)
     return out
 
 
@@ -184,9 +187,9 @@ _RESULT = T.StructType([T.StructField("sentences", T.ArrayType(T.StringType())),
 
 @F.arrow_udf(_RESULT)
 def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
+    for column in tc.trimmed(batches):
         sentences, licences = [], []
-        for text in tc.as_bytes(column):
+        for text in tc.each_text(column):
             found = recognise(text.decode()) if text else []
             sentences.append([name for _, name in found])
             licences.append(match(found))

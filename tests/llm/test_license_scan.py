@@ -67,3 +67,53 @@ def test_more_families_and_named_holders():
         assert ls.match(ls.recognise("\n".join([*bsd, clause]))) == ["BSD-3-Clause"]
     for name, text in (("AGPL-3.0", s["agpl3-grant"]), ("LGPL-2.1", s["lgpl21-grant"]), ("LGPL-3.0", s["lgpl3-grant"]), ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later")):
         assert ls.match(ls.recognise(text)) == [name]
+
+
+def _brute_match(sequence):
+    """The rules by trying every choice of places, the earliest first."""
+    free, out = [True] * len(sequence), []
+
+    def follow(rule, used):
+        if len(used) == len(rule):
+            return used
+        for at in range(used[-1] + 1, len(sequence)):
+            if free[at] and sequence[at][1] == rule[len(used)] and sequence[at][0] - sequence[used[-1]][0] <= ls.MAX_GAP + 1:
+                return follow(rule, used + [at])
+        return None
+
+    for licence, rule in ls.RULES:
+        for start in range(len(sequence)):
+            if free[start] and sequence[start][1] == rule[0] and (used := follow(rule, [start])):
+                for u in used:
+                    free[u] = False
+                out.append(licence)
+    return out
+
+
+def test_matching_and_recognition_match_brute_force():
+    import random
+
+    rnd = random.Random(3)
+    forms = {ls.normalise(f): name for name, fs in ls.SENTENCES.items() for f in fs}
+    ids = list(ls.SENTENCES)
+    for _ in range(300):
+        chosen = [rnd.choice(ids) if rnd.random() < 0.5 else rnd.choice(["mit-grant", "mit-notice", "as-is-mit", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "apache-name", "apache-comply"]) if rnd.random() < 0.7 else None for _ in range(rnd.randint(0, 12))]
+        text = "\n".join(rnd.choice(ls.SENTENCES[c]) if c else "Some other words here." for c in chosen)
+        want = [(i, c) for i, c in enumerate(chosen) if c]
+        got = ls.recognise(text)
+        assert [n for _, n in got] == [n for _, n in want]
+        assert all(forms.get(ls.normalise(line)) == c for line, c in zip(text.split("\n"), chosen) if c)
+        assert ls.match(got) == _brute_match(got)
+
+
+def test_many_known_sentences_take_linear_time():
+    import time
+
+    s = ls.SENTENCES["mit-grant"][0]
+    spent = []
+    for n in (2000, 8000):
+        found = ls.recognise("\n".join([s] * n))
+        began = time.process_time()
+        assert ls.match(found) == []
+        spent.append(time.process_time() - began)
+    assert spent[1] < 10 * max(spent[0], 0.01)
