@@ -31,6 +31,8 @@ SEED = 6
 TRAIN_ROWS = 30_000
 UNKNOWN = "und"
 _TRIGRAMS_AT_ONCE = 8192
+#: Prototypes are rounded to whole numbers of this fraction.
+MODEL_SCALE = 1 << 20
 
 
 @cache
@@ -154,25 +156,27 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS,
 def predictor(spark: SparkSession, langs: list[str], prototypes: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED):
     """A UDF from text to lang_pred and score ((1 + cosine) / 2)."""
     centred = prototypes - prototypes.mean(axis=0) if len(langs) > 1 else prototypes
-    model_b = spark.sparkContext.broadcast((langs, directions(centred).astype(np.float32)))
+    # whole numbers, so that sums are exact and a score doesn't depend on the texts it is computed with
+    model_b = spark.sparkContext.broadcast((langs, np.rint(directions(centred) * MODEL_SCALE)))
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, model = model_b.value
         encoder = Encoder(dimensions, seed)
-        for column in batches:
+        for column in tc.trimmed(batches):
             pred, score = [], []
             for texts in _text_slices(tc.as_bytes(column)):
-                vectors = directions(encoder.bundle(texts))
                 if not names:
                     pred += [UNKNOWN] * len(texts)
                     score += [0.0] * len(texts)
                     continue
-                cosines = vectors @ model.T
+                vectors = encoder.bundle(texts).astype(np.float64)
+                norm = np.sqrt(np.array([np.dot(v, v) for v in vectors]))
+                known = norm > 0
+                cosines = vectors @ model.T / (MODEL_SCALE * np.where(known, norm, 1))[:, None]
                 best = cosines.argmax(axis=1)
-                known = np.abs(vectors).max(axis=1) > 0
                 pred += [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                top = np.clip((1 + cosines[np.arange(len(texts)), best].astype(np.float64)) / 2, 0, 1)
+                top = np.clip((1 + cosines[np.arange(len(texts)), best]) / 2, 0, 1)
                 score += np.where(known, top, 0.0).tolist()
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 

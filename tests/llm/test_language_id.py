@@ -46,3 +46,29 @@ def test_edges(spark):
     assert [x[:2] for x in out] == [(0, "B"), (1, "und"), (2, "und"), (3, "A"), (3, "A")] and out[3] == out[4]
     assert li.identify(docs.limit(0), train).count() == 0
     assert {r.lang_pred for r in li.identify(docs, train.limit(0)).collect()} == {"und"}
+
+
+def test_predictions_match_brute_force_in_any_layout(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    train, test = rows[:60], rows[60:120] + [(900, "Ωmega ßeta", None), (901, "12 34", None)]
+    encoder = li.Encoder(128)
+
+    def direction(v):
+        return v / (np.sqrt((v.astype(float) ** 2).sum()) or 1.0)
+
+    langs = sorted({lang for _, t, lang in train if lang and t})
+    prototypes = [direction(sum(direction(_brute_bundle(t, encoder)) for _, t, x in train if x == lang and t)) for lang in langs]
+    centred = [direction(p - sum(prototypes) / len(prototypes)) for p in prototypes]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(test, schema)
+    got = {r.doc_id: r for r in li.identify(docs.repartition(2), spark.createDataFrame(train, schema), dimensions=128).collect()}
+    other = {r.doc_id: r for r in li.identify(docs.repartition(5, "text"), spark.createDataFrame(train, schema), dimensions=128).collect()}
+    assert got == other
+    for i, text, _ in test:
+        v = _brute_bundle(text or "", encoder)
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosines = [direction(v) @ c for c in centred]
+        assert abs(got[i].score - (1 + max(cosines)) / 2) < 1e-5
+        assert got[i].lang_pred == langs[int(np.argmax(cosines))] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-5
