@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests, local mode) is a local one set.
+    Only in local mode is a local one set where the session does not name one; on a cluster that is an error,
+    as executors would write where nobody reads.
     """
     sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local" and spark.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyglass-"))
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,26 +34,32 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Paths given out inside :func:`temporary`, innermost last.
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths given out inside :func:`temporary` in this thread, innermost last."""
+
+    def __init__(self):
+        self.held: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     path = f"{work_dir(spark).rstrip('/')}/tallyglass/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.held:
+        _SCOPES.held[-1].append(path)
     return path
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are removed at the end; what must last is stored after it, or under a path made before."""
-    _SCOPES.append([])
+    _SCOPES.held.append([])
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        for path in _SCOPES.held.pop():
             drop_path(spark, path)
 
 
@@ -110,3 +123,29 @@ def released(df: DataFrame, name: str, path: str | None = None, **options: str)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
+
+
+FILTER_BITS = 26
+
+
+def key_filter(keys: DataFrame, column: str = "key") -> Callable[[Column], Column]:
+    """A Bloom filter of the 64-bit hashes in ``column``: from a column of such hashes to whether they may be among them.
+
+    2**26 bits, 8 MB whatever the input. The set bits are gathered as 64-bit words, so the driver gets 2**20 rows
+    at most. With more keys than it can tell apart the filter lets more rows through; no result depends on it.
+    """
+    spots = lambda c: [F.shiftrightunsigned(F.xxhash64(c, F.lit(k)), 64 - FILTER_BITS) for k in (1, 2)]
+    marked = keys.select(F.explode(F.array(*spots(F.col(column)))).alias("p"))
+    words = marked.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    bits_b = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(first: pa.Array, second: pa.Array) -> pa.Array:
+        out = True
+        for p in (first.to_numpy(zero_copy_only=False), second.to_numpy(zero_copy_only=False)):
+            out = out & (bits_b.value[p >> 6] >> (p & 63) & 1).astype(bool)
+        return pa.array(out, pa.bool_())
+
+    return lambda hashed: maybe(*spots(hashed))

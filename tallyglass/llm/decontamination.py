@@ -6,15 +6,16 @@ are scanned once with vectorised window hashes. A window whose hash is in the se
 verified word by word before it counts.
 
 The broadcast is bounded: the benchmark is cut into slices of at most
-``MAX_SLICE_BYTES`` of item text, and each slice is broadcast and scanned on its
-own; one slice (the usual case) means one scan. With more, the hit ranges of the
-passes are joined per document.
+``MAX_SLICE_BYTES`` of item text. One slice (the usual case) means one scan. With more,
+each slice is broadcast, scanned, and its broadcast removed before the next one's; the
+hits are kept by text and come to the documents that have any.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, whole_rows
+from tallyglass.llm.common import doc_columns, key_filter, stored, whole_rows
 
 WIDTH = 13
 MAX_SLICE_BYTES = 16 << 20
@@ -107,7 +108,7 @@ def _items_in_slices(benchmark: DataFrame, id_col: str, text_col: str, most: int
 
 
 _SCAN = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
 )
 
 
@@ -115,45 +116,59 @@ def _scan_column(index_b):
     @F.arrow_udf(_SCAN)
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = index_b.value
-        for column in texts:
-            n_words, hits, items = [], [], []
-            for text in tc.as_bytes(column):
+        for column in tc.trimmed(texts):
+            n_words, n_hit, hits, items = [], [], [], []
+            for text in tc.each_text(column):
                 n, hit, found = index.scan(b" ".join(normal_words(text)))
                 n_words.append(n)
+                n_hit.append(int(hit.sum()))
                 hits.append(tc.mask_ranges(hit).tolist())
                 items.append(sorted(index.ids[k] for k in found))
             yield pa.StructArray.from_arrays(
-                [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hits", "items"]
+                [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=_SCAN.fieldNames()
             )
 
     return scan
 
 
+def _scans(rows: DataFrame, benchmark: DataFrame, width: int, max_slice_bytes: int) -> DataFrame:
+    """``rows`` (with ``text``) and ``scan``."""
+    spark = rows.sparkSession
+    slices = _items_in_slices(benchmark, "item_id", "text", max_slice_bytes)
+    first, second = next(slices, []), next(slices, None)
+    one = lambda items: spark.sparkContext.broadcast(WindowIndex(items, width))
+    if second is None:
+        return rows.withColumn("scan", _scan_column(one(first))("text"))
+    keyed = rows.withColumn("key", F.xxhash64("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    found = None
+    for items in chain((first, second), slices):
+        index_b = one(items)
+        scan = keyed.select("key", "digest", _scan_column(index_b)("text").alias("s")).where("s.n_hit > 0")
+        hits = stored(scan.select("key", "digest", "s.hits", "s.items").dropDuplicates(["key", "digest"]), "benchmark-hits")
+        index_b.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    lists = [F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
+    found = found.groupBy("key", "digest").agg(*lists).withColumn("n_hit", _n_hit("hits"))  # a row for each slice at most
+    found = stored(found.withColumnsRenamed({"key": "k", "digest": "g"}), "benchmark-found")
+    plain = keyed.withColumn("scan", _scan_column(one([]))("text"))
+    maybe = key_filter(found, "k")(F.col("key"))
+    rest = plain.where(~maybe).select(*rows.columns, "scan")
+    judged = plain.where(maybe).join(found, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("g")), "left")
+    none = F.col("k").isNull()
+    pick = lambda c: F.when(none, F.col("scan")[c]).otherwise(F.col(c)).alias(c)
+    scan = F.struct(F.col("scan")["n_words"].alias("n_words"), pick("n_hit"), pick("hits"), pick("items")).alias("scan")
+    return rest.unionByName(judged.select(*rows.columns, scan))
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_slice_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
-    """``docs`` (all columns) with ``__scan``: n_words, hits (word ranges start, end, ...) and items (ids as sorted strings).
+    """``row`` (all columns of ``docs``, whatever they are called) and ``scan``: n_words, n_hit, hits (word ranges start, end, ...) and items (ids as sorted strings).
 
     * null or empty text: no words, no hits; an empty benchmark hits nothing.
     * items without words, or without an id, have no window; items that repeat are one id in ``items``.
     * each row is judged on its own, so repeated rows get equal results.
     """
-    spark = docs.sparkSession
-    passes = []
-    for n, items in enumerate(_items_in_slices(benchmark, "item_id", "text", max_slice_bytes)):
-        index_b = spark.sparkContext.broadcast(WindowIndex(items, width))
-        passes.append(f"__scan{n}")
-        docs = docs.withColumn(passes[-1], _scan_column(index_b)(F.col("text")))
-    if not passes:
-        index_b = spark.sparkContext.broadcast(WindowIndex([], width))
-        passes.append("__scan0")
-        docs = docs.withColumn("__scan0", _scan_column(index_b)(F.col("text")))
-    if len(passes) == 1:
-        return docs.withColumnRenamed("__scan0", "__scan")
-    merged = F.struct(
-        F.col(passes[0]).n_words.alias("n_words"),
-        F.concat(*[F.col(p).hits for p in passes]).alias("hits"),
-        F.array_sort(F.array_distinct(F.concat(*[F.col(p)["items"] for p in passes]))).alias("items"),
-    )
-    return docs.withColumn("__scan", merged).drop(*passes)
+    rows = docs.select(whole_rows(docs).alias("row"), F.col("text").alias("text"))
+    return _scans(rows, benchmark, width, max_slice_bytes).select("row", "scan")
 
 
 @F.arrow_udf(T.LongType())
@@ -170,8 +185,7 @@ def _n_hit(column: pa.Array) -> pa.Array:
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_slice_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row, with the ``items`` and ``hits`` themselves."""
-    scanned = scan_documents(doc_columns(docs), benchmark, width, max_slice_bytes).select("doc_id", "__scan")
-    out = scanned.select("doc_id", F.col("__scan").n_words.alias("n_words"), _n_hit(F.col("__scan").hits).alias("n_hit"), F.col("__scan")["items"].alias("items"), F.col("__scan").hits.alias("hits"))
+    out = _scans(doc_columns(docs), benchmark, width, max_slice_bytes).select("doc_id", "scan.*")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "hits",
@@ -206,12 +220,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
-    rows = docs.select(whole_rows(docs).alias("row"), "text")
-    scanned = scan_documents(rows, benchmark, width).withColumn("__hit", _n_hit(F.col("__scan").hits))
-    bad = (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__scan").n_words)
+    scanned = scan_documents(docs, benchmark, width)
+    hit = F.col("scan")["n_hit"]
+    bad = (hit > 0) & (20 * hit >= F.col("scan")["n_words"])
     if mode == "documents":
         return scanned.where(~bad).select("row.*")
-    cut = F.when(bad, _without(F.col("text"), F.col("__scan").hits)).otherwise(F.col("text")).alias("text")
+    text = F.col("row.text")
+    cut = F.when(bad, _without(text, F.col("scan")["hits"])).otherwise(text).alias("text")
     return scanned.select(*[cut if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

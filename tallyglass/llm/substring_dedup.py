@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, drop_path, partitions_for, scratch, stored
+from tallyglass.llm.common import doc_columns, drop_path, key_filter, partitions_for, scratch, stored
 
 WIDTH = 35
 #: Words in a block of documents (positions in a block take three bytes), and text bytes a bucket is meant to serve.
@@ -149,7 +149,7 @@ def _run_rows(width: int, buckets: int, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
-        for batch in batches:
+        for batch in tc.slices(tc.trimmed(batches)):
             for key, text in zip(batch.column("key").to_pylist(), tc.as_bytes(batch.column("text")), strict=True):
                 _, high, low = fingerprints(b" ".join(text.split()), width) if text else (0, (), ())
                 # a document longer than a block is cut into parts that hold all of its windows between them
@@ -306,31 +306,6 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([v], t) for (k, t), v in zip(columns.items(), row, strict=True)})
 
 
-FILTER_BITS = 26
-
-
-def _key_filter(ranges: DataFrame):
-    """A Bloom filter of the keys of ``ranges`` as a UDF on ``key``: 2**26 bits, 8 MB whatever the input.
-
-    The set bits are gathered as 64-bit words, so the driver gets 2**20 rows at most. With more keys than
-    it can tell apart the filter lets more rows through to the join; no result depends on it.
-    """
-    spots = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(k)), 64 - FILTER_BITS) for k in (1, 2)]))
-    words = ranges.select(spots.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    bits_b = ranges.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf(T.BooleanType())
-    def maybe(first: pa.Array, second: pa.Array) -> pa.Array:
-        out = True
-        for p in (first.to_numpy(zero_copy_only=False), second.to_numpy(zero_copy_only=False)):
-            out = out & (bits_b.value[p >> 6] >> (p & 63) & 1).astype(bool)
-        return pa.array(out, pa.bool_())
-
-    return maybe(*[F.shiftrightunsigned(F.xxhash64("key", F.lit(k)), 64 - FILTER_BITS) for k in (1, 2)])
-
-
 def _judged(docs: DataFrame, index: FingerprintIndex, block_words: int) -> tuple[DataFrame, DataFrame]:
     """Keyed documents that lose nothing for sure, and the others with ``ranges`` (array<struct<a,b>> or null).
 
@@ -338,7 +313,7 @@ def _judged(docs: DataFrame, index: FingerprintIndex, block_words: int) -> tuple
     """
     keyed = _keyed(docs)
     ranges = stored(index.repeated(keyed, block_words), "repeated-ranges")
-    marked = keyed.withColumn("maybe", _key_filter(ranges))
+    marked = keyed.withColumn("maybe", key_filter(ranges.select(F.xxhash64("key").alias("key")))(F.xxhash64("key")))
     return marked.where("NOT maybe").drop("maybe"), marked.where("maybe").drop("maybe").join(ranges.hint("shuffle_hash"), "key", "left")
 
 
@@ -386,13 +361,24 @@ def removal_digests(docs: DataFrame, index: FingerprintIndex | None = None, bloc
     return joined.select("doc_id", "ranges", _digest("text", "ranges").alias("__d")).select("doc_id", "__d.*", "ranges")
 
 
-def dedup(docs: DataFrame, index: FingerprintIndex | None = None, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with repeated passages cut from ``text_col``; a text that loses nothing stays as it is, byte for byte."""
+def dedup(docs: DataFrame, index: FingerprintIndex | None = None, text_col: str = "text", block_words: int = BLOCK_WORDS, size_col: str | None = None) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text_col``; a text that loses nothing stays as it is, byte for byte.
+
+    ``size_col`` names a column that has the number of characters of the text; it follows where the text changes.
+    """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     whole = docs.select(F.struct(*others).alias("row"), F.col("doc_id"), F.col(text_col).alias("text"))  # the text itself travels once
     same, joined = _judged(whole, index or FingerprintIndex(docs.sparkSession), block_words)
-    joined = joined.withColumn("text", _kept_text("text", "ranges")).drop("ranges").unionByName(same)
-    return joined.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    cut = joined.withColumn("cut", F.size("ranges") > 0).withColumn("text", _kept_text("text", "ranges"))
+    both = cut.select("row", "text", "cut").unionByName(same.select("row", "text", F.lit(False).alias("cut")))
+
+    def column(c: str):
+        if c == text_col:
+            return F.col("text")
+        own = F.col(f"row.`{c}`")
+        return F.when(F.col("cut"), F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == size_col else own
+
+    return both.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op2(spark: SparkSession, d: str) -> DataFrame:
