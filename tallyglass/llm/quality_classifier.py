@@ -152,8 +152,8 @@ def fit(rows: list[Inputs], labels: np.ndarray, rank: int = RANK, epochs: int |
 
 @F.arrow_udf(T.StructType([T.StructField("form", T.ArrayType(T.FloatType())), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]))
 def _inputs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        rows = [inputs(t) for t in tc.as_bytes(column)]
+    for column in tc.trimmed(batches):
+        rows = [inputs(t) for t in tc.each_text(column)]
         columns = [pa.array([r[k].tolist() for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.float32(), pa.int32(), pa.float32()))]
         yield pa.StructArray.from_arrays(columns, names=["form", "at", "value"])
 
@@ -181,7 +181,7 @@ def scorer(spark: SparkSession, machine: Machine):
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in tc.trimmed(batches):
             texts = tc.as_bytes(column)
             out = [machine_b.value.score(texts[i : i + 64]) for i in range(0, len(texts), 64)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())

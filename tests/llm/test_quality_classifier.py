@@ -42,3 +42,26 @@ def test_edges(spark):
     nothing = qc.train(docs.limit(0), labels.limit(0))
     assert {round(r.score, 3) for r in qc.scored(docs, nothing).collect()} == {0.5}
     assert qc.scored(docs.limit(0), nothing).count() == 0
+
+
+def test_scores_match_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    known = [(i, t) for i, t in rows if i in labels]
+    machine = qc.fit([qc.inputs(t.encode() if t else None) for _, t in known], np.array([labels[i] for i, _ in known], np.float32), epochs=4)
+    out = {r.doc_id: r for r in qc.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), machine).collect()}
+    for i, text in rows[:40]:
+        form, at, value = qc.inputs(text.encode() if text else None)
+        k = len(form)
+        x = {j: float(v) for j, v in enumerate(np.clip((form - machine.mean) / machine.scale, -4, 4) / np.sqrt(k))}
+        x |= {k + int(a): float(v) for a, v in zip(at, value)}
+        if len(x) > 400:
+            continue
+        keys = sorted(x)
+        total = machine.bias + sum(float(machine.weight[j]) * x[j] for j in keys)
+        for p, a in enumerate(keys):
+            total += sum(float(machine.factor[a] @ machine.factor[b]) * x[a] * x[b] for b in keys[:p])
+        assert abs(out[i].score - 1 / (1 + np.exp(-total))) < 1e-3
+        assert out[i].predicted == int(out[i].score >= qc.THRESHOLD)
+        words = (text or "").encode().translate(qc._LOWER).split()
+        assert len(at) <= len(set(words)) and (not words or abs(float((value**2).sum()) - 1) < 1e-4)
