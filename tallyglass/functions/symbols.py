@@ -44,6 +44,12 @@ def name_matches(name: Column, wanted: Column) -> Column:
     return (name == wanted) | name.startswith(F.concat(wanted, F.lit("(")))
 
 
+def name_keys(name: Column) -> Column:
+    """Every wanted name that ``name`` matches, for joins on equality: itself, and what stands before each bracket."""
+    parts = F.split(name, r"\(")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "("))
+
+
 def trimmed_name(name: Column) -> Column:
     """Without the signature."""
     return strip(F.regexp_replace(name, r"(?<=.)\((?!\*?\w+\)\.).*$", ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from typing import NamedTuple
 
 # fixed values: what marks a line as error handling or I/O
+# fixed values: labels and reasons of slices
+HEADER_LABEL, ERROR_LABEL, IO_LABEL, RETURN_LABEL = ("Header slice", "function entry"), ("Error path slice", "error handling"), ("I/O site slice", "external I/O"), ("Return path slice", "return path")
 ERROR_MARKS = ("if err", "catch", "except ", "rescue ")
 IO_MARKS = ("Read", "Write", "Open", "Close", "Get", "Post", "Query", "Exec", "Send", "Recv")
 HEADER, TAIL, SLICE, MOST_SALIENT, MOST = 12, 10, 10, 3, 4
@@ -27,24 +29,22 @@ def salient(lines: list[str], start: int, end: int) -> list[Slice]:
     out, i = [], start
     while i <= min(end, len(lines)) and len(out) < MOST_SALIENT:
         line = lines[i - 1]
-        kind = "error handling" if any(m in line for m in ERROR_MARKS) else "I/O" if any(m in line for m in IO_MARKS) else ""
-        if kind:
+        kind = ERROR_LABEL if any(m in line for m in ERROR_MARKS) else IO_LABEL if any(m in line for m in IO_MARKS) else None
+        if kind is not None:
             last = min(i + SLICE, end)
-            out.append(Slice("salient", i, last, kind, _code(lines, i, last)))
+            out.append(Slice(kind[0], i, last, kind[1], _code(lines, i, last)))
             i = last
         i += 1
     return out
 
 
 def definition(text: str, start: int, end: int) -> list[Slice]:
-    """At most four slices: the header (left out where it overlaps a salient one), salient places, the return path if there is room."""
+    """At most four slices: the header, the salient places after it, and the return path if the body goes on past the header and there is room."""
     lines = text.split("\n")
     end = min(end, len(lines))
-    found = salient(lines, start, end)
-    head_end = min(start + HEADER, end)
-    out = [] if any(s.start <= head_end for s in found) else [Slice("header", start, head_end, "signature", _code(lines, start, head_end))]
-    out += found
-    tail = max(start, end - TAIL)
-    if len(out) < MOST and all(s.end < tail for s in out):
-        out.append(Slice("return", tail, end, "return path", _code(lines, tail, end)))
+    head = min(start + HEADER, end)
+    out = [Slice(HEADER_LABEL[0], start, head, HEADER_LABEL[1], _code(lines, start, head))]
+    out += [s for s in salient(lines, start, end) if s.start > head]
+    if end - TAIL > head and len(out) < MOST:
+        out.append(Slice(RETURN_LABEL[0], end - TAIL, end, RETURN_LABEL[1], _code(lines, end - TAIL, end)))
     return out[:MOST]

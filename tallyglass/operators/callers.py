@@ -3,33 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the session; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyglass-"))
-    return df.checkpoint()
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the session's checkpoint folder: computed once, lineage cut, safe against lost executors."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyglass-"))
+    path = f"{(folder or sc._jsc.sc().getCheckpointDir().get()).rstrip('/')}/tallyglass/callers-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def incoming(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """node, depth: every caller of ``roots`` (node) within ``depth`` levels, each once at its least depth.
 
     ``edges`` is (caller, callee). A level is a join, a distinct and an anti-join with what was
-    visited; cycles end there. Roots aren't callers of themselves. The plan's lineage is cut each level.
+    visited; cycles end there. Roots aren't callers of themselves. The distinct edges and each level are stored once.
     """
     if depth < 1:
         raise ValueError("depth is 1 or more")
-    edges = edges.select("caller", "callee").where("caller != callee").distinct()
-    visited = _checkpoint(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges = _stored(edges.select("caller", "callee").where("caller != callee").distinct())
+    visited = _stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for level in range(1, depth + 1):
         found = edges.join(frontier.select(F.col("node").alias("callee")), "callee").select(F.col("caller").alias("node")).distinct()
-        frontier = _checkpoint(found.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = _stored(found.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

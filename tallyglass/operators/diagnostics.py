@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.text import one_line
@@ -22,21 +25,44 @@ def report_lines(diagnostics: DataFrame) -> DataFrame:
     return out.dropDuplicates(["target_id", "path", "line", "col", "message"])
 
 
+def _bursts(quiet_us: int, total_us: int):
+    """Rows come sorted by uri, time and id; of the open burst only its totals are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["uri", "first_ts", "last_ts", "n_events", "event_id"], None
+        open_: list | None = None
+        for batch in batches:
+            kinds = kinds or [batch.column(c).type for c in ("uri", "ts", "ts")] + [pa.int64(), batch.column("event_id").type]
+            done = []
+            for uri, t, event_id in zip(batch.column("uri").to_pylist(), batch.column("ts").cast(pa.int64()).to_pylist(), batch.column("event_id").to_pylist(), strict=True):
+                if open_ is not None and (open_[0] != uri or t - open_[2] > quiet_us or t - open_[1] >= total_us):
+                    done.append(open_)
+                    open_ = None
+                open_ = [uri, t, t, 1, event_id] if open_ is None else [uri, open_[1], t, open_[3] + 1, event_id]
+            if done:
+                yield _burst_batch(done, names, kinds)
+        if open_ is not None:
+            yield _burst_batch([open_], names, kinds)
+
+    return run
+
+
+def _burst_batch(rows: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64() if k in (1, 2) else t).cast(t) for k, (c, t) in enumerate(zip(zip(*rows, strict=True), kinds, strict=True))]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def settle(events: DataFrame, quiet: float, total: float) -> DataFrame:
-    """Bursts of notifications by uri: a new burst begins after ``quiet`` seconds of silence or ``total`` seconds.
+    """Bursts of notifications (uri, ts, event_id): one ends after more than ``quiet`` seconds of silence, or ``total`` seconds after its
+    first event; the first event after that begins the next one, and its ``total``.
 
-    Returns uri, burst, first and last time, and the id of the last notification. Bursts are cut by silence first
-    (one ordered pass), then by their length.
+    Returns uri, first and last time, number of events, and the id of the last notification. Where a burst ends depends on
+    where it began, so the events of a uri are gone through in order, in constant memory.
     """
-    w = Window.partitionBy("uri").orderBy("ts", "event_id")
-    t = F.col("ts").cast("timestamp").cast("double")
-    gap = t - F.lag(t).over(w)
-    silent = F.sum(F.when(gap.isNull() | (gap > quiet), 1).otherwise(0)).over(w)
-    runs = events.withColumn("__run", silent).withColumn("__t", t)
-    start = F.min("__t").over(Window.partitionBy("uri", "__run"))
-    runs = runs.withColumn("__cut", F.floor((F.col("__t") - start) / total))
-    out = runs.groupBy("uri", "__run", "__cut").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    return out.drop("__run", "__cut")
+    rows = events.select("uri", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"uri {kind['uri']}, first_ts timestamp, last_ts timestamp, n_events long, event_id {kind['event_id']}"
+    return rows.repartition("uri").sortWithinPartitions("uri", "ts", "event_id").mapInArrow(_bursts(round(quiet * 1e6), round(total * 1e6)), schema)
 
 
 def idle_sessions(events: DataFrame, minutes: int = 10) -> DataFrame:

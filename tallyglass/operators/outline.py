@@ -17,27 +17,28 @@ def capped(members: DataFrame) -> DataFrame:
 
 
 def ranked(members: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """Members (owner, name, line, end_line, visibility) with rank_score and rank.
+    """Members (owner, name, line, end_line, visibility, perhaps kind) with rank_score and rank.
 
-    Constructors +5, public +3, bodies of 10 to 40 lines +2, a name with one of the request's words +2,
-    lines in the first quarter +1, single lines -1; equal scores keep the order of lines.
+    Constructors by kind or name +5, public +3, bodies of 10 to 40 lines +2, a name with one of the request's words +2,
+    lines in the first quarter of those from the first member's to the last's +1, single lines -1; equal scores keep the order of lines.
     """
-    by_line = Window.partitionBy("owner").orderBy("line", "name")
     size = F.col("end_line") - F.col("line") + 1
-    n = F.count("*").over(Window.partitionBy("owner"))
-    position = F.row_number().over(by_line)
-    quarter = F.max(F.when(F.col("__i") == F.floor((F.col("__n") - 1) / 4) + 1, F.col("line"))).over(Window.partitionBy("owner"))
+    of = Window.partitionBy("owner")
+    quarter = F.min("line").over(of) + F.floor((F.max("line").over(of) - F.min("line").over(of)) / 4)
+    constructor = is_constructor(F.col("name"))
+    if "kind" in members.columns:
+        constructor = constructor | F.coalesce(F.col("kind") == "constructor", F.lit(False))
     named: Column = F.lit(False)
     for w in words or []:
         named = named | F.lower("name").contains(w.lower())
-    out = members.withColumn("__n", n).withColumn("__i", position).withColumn("__q", quarter)
+    out = members.withColumn("__q", quarter)
     score = (
-        F.when(is_constructor(F.col("name")), 5).otherwise(0) + F.when(F.col("visibility") == "public", 3).otherwise(0) + F.when(size.between(10, 40), 2).otherwise(0)
+        F.when(constructor, 5).otherwise(0) + F.when(F.col("visibility") == "public", 3).otherwise(0) + F.when(size.between(10, 40), 2).otherwise(0)
         + F.when(named, 2).otherwise(0) + F.when(F.col("line") <= F.col("__q"), 1).otherwise(0) - F.when(size <= 1, 1).otherwise(0)
     )
     out = out.withColumn("rank_score", score)
     rank = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("rank_score"), "line", "name"))
-    return out.withColumn("rank", rank).drop("__n", "__i", "__q")
+    return out.withColumn("rank", rank).drop("__q")
 
 
 def expanded(ranked_members: DataFrame, budget: int) -> DataFrame:

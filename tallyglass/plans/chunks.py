@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import index_state
 from tallyglass.operators import chunk, embed
-from tallyglass.operators.vector_search import cosine, top_k
+from tallyglass.operators.vector_search import cosine, similarity_join, top_k
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
 from tallyglass.plans.vectors import _SCORED, _vectors, query_vector
@@ -72,10 +72,10 @@ def largest_chunk(spark, d):
 
 
 _TOPICS = embed.TOPICS
-_COUNTS = ", ".join("CAST(" + " + ".join(f"(length(content) - length(replace(lower(content), '{w}', ''))) // {len(w)}" for w in words) + " AS DOUBLE)" for words in _TOPICS)
+_COUNTS = ", ".join("CAST(" + " + ".join(f"(length(lower(content)) - length(replace(lower(content), '{w}', ''))) // {len(w)}" for w in words) + " AS DOUBLE)" for words in _TOPICS)
 
 
-@query("embed_keywords", f"""WITH {v.FILES}, {_windows(20, 5)}, e AS (SELECT path, start_line, [{_COUNTS}, 0.01] AS x FROM kept WHERE length(content) = length(lower(content)))
+@query("embed_keywords", f"""WITH {v.FILES}, {_windows(20, 5)}, e AS (SELECT path, start_line, [{_COUNTS}, 0.01] AS x FROM kept)
   SELECT path, start_line, array_to_string(list_transform(x, lambda t: CAST(CAST(round(t / sqrt(list_sum(list_transform(x, lambda u: u * u))) * 10000) AS BIGINT) AS VARCHAR)), ',') AS vector FROM e""")
 def embed_keywords(spark, d):
     out = chunk.windows(v.files(spark, d), 20, 5).withColumn("v", embed.keyword_vector(F.col("content")))
@@ -113,15 +113,13 @@ def search_ranked(spark, d):
 
 
 _JOIN = """SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 4) q"""
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q"""
 
 
 @query("vector_similarity_join", f"SELECT query_id, id, score FROM ({_JOIN}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3")
 def vector_similarity_join(spark, d):
-    from functools import reduce
-
     vec = _vectors(spark, d)
-    return reduce(lambda a, b: a.unionByName(b), [top_k(vec, query_vector(spark, d, q), 3).select(F.lit(q).cast("long").alias("query_id"), "id", "score") for q in range(4)])
+    return similarity_join(vec, vec.where(F.col("id") % 20 == 0), 3)
 
 
 @query("vector_score_histogram", f"SELECT CAST(floor(score * 10) AS BIGINT) AS bucket, count(*) AS n FROM ({_SCORED}) GROUP BY 1")

@@ -146,18 +146,18 @@ def implements_fallback(spark, d):
     return implements.with_fallback(first, spark.createDataFrame([("r1", "x"), ("r99", "y"), ("r99", "y")], "query_id string, name string"))
 
 
-@query("implements_distinct", "SELECT l_orderkey AS query_id, 'p' || l_partkey AS path, l_returnflag AS name, min(l_linenumber) AS line FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2, 3")
+@query("implements_distinct", "SELECT l_orderkey AS query_id, 'p' || l_partkey AS path, l_returnflag AS name, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2, 3")
 def implements_distinct(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 500")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     found = li.select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("line"))
     return implements.distinct_lines(found)
 
 
-@query("symbol_match", f"WITH {v.PART_SYMBOLS}, w AS (SELECT DISTINCT name AS wanted FROM symbols WHERE p_partkey < 5) SELECT p_partkey, wanted FROM symbols JOIN w ON name = wanted OR starts_with(name, wanted || '(')")
+@query("symbol_match", f"WITH {v.PART_SYMBOLS}, w AS (SELECT DISTINCT name AS wanted FROM symbols) SELECT p_partkey, wanted FROM symbols JOIN w ON name = wanted OR starts_with(name, wanted || '(')")
 def symbol_match(spark, d):
     s = v.part_symbols(spark, d)
-    wanted = s.where("p_partkey < 5").select(F.col("name").alias("wanted")).distinct()  # five names at most
-    return s.join(F.broadcast(wanted), symbols.name_matches(F.col("name"), F.col("wanted"))).select("p_partkey", "wanted")
+    wanted = s.select(F.col("name").alias("wanted")).distinct()
+    return s.withColumn("wanted", F.explode(symbols.name_keys(F.col("name")))).join(wanted, "wanted").select("p_partkey", "wanted")
 
 
 @query("symbol_kind", f"WITH {v.PART_SYMBOLS} SELECT p_partkey, CASE kind WHEN 12 THEN 'function' WHEN 6 THEN 'method' WHEN 5 THEN 'class' WHEN 11 THEN 'interface' WHEN 14 THEN 'constant' ELSE 'type' END AS label, kind IN (5, 11, 10, 23, 26) AS is_type, kind IN (12, 6, 9) AS callable FROM symbols")
@@ -230,11 +230,13 @@ def diag_report(spark, d):
     return check_report(_report(spark, d)).select("target_id", F.sha2("report", 256).alias("report"), "n")
 
 
-@query("diag_settle", f"""WITH {v.DIAGNOSTICS}, g AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM diags), s AS (SELECT *, CASE WHEN t - lag(t) OVER w IS NULL OR t - lag(t) OVER w > 3600 THEN 1 ELSE 0 END AS fresh FROM g WINDOW w AS (PARTITION BY uri ORDER BY ts, event_id)),
-  r AS (SELECT *, sum(fresh) OVER (PARTITION BY uri ORDER BY ts, event_id) AS run FROM s), c AS (SELECT *, floor((t - min(t) OVER (PARTITION BY uri, run)) / 7200) AS cut FROM r)
+@query("diag_settle", f"""WITH RECURSIVE {v.DIAGNOSTICS}, g AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM diags), s AS (SELECT *, CASE WHEN t - lag(t) OVER w IS NULL OR t - lag(t) OVER w > 36000 THEN 1 ELSE 0 END AS fresh FROM g WINDOW w AS (PARTITION BY uri ORDER BY ts, event_id)),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY uri ORDER BY ts, event_id) AS run FROM s),
+  b AS (SELECT uri, run, min(t) AS s FROM r GROUP BY uri, run UNION ALL SELECT b.uri, b.run, min(r.t) AS s FROM b JOIN r ON r.uri = b.uri AND r.run = b.run AND r.t - b.s >= 72000 GROUP BY b.uri, b.run, b.s),
+  c AS (SELECT r.*, (SELECT max(b.s) FROM b WHERE b.uri = r.uri AND b.run = r.run AND b.s <= r.t) AS cut FROM r)
   SELECT uri, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max_by(event_id, (ts, event_id)) AS event_id FROM c GROUP BY uri, run, cut""")
 def diag_settle(spark, d):
-    return diagnostics.settle(v.diagnostics(spark, d), 3600, 7200)
+    return diagnostics.settle(v.diagnostics(spark, d), 36000, 72000)
 
 
 @query("idle_sessions", f"""WITH {v.DIAGNOSTICS}, s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM diags WINDOW w AS (PARTITION BY uri ORDER BY ts)),
@@ -244,9 +246,8 @@ def idle_sessions(spark, d):
     return diagnostics.idle_sessions(v.diagnostics(spark, d), 30)
 
 
-_RANKED = f"""{v.MEMBERS}, p AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY line, name) AS i, count(*) OVER (PARTITION BY owner) AS n, end_line - line + 1 AS size FROM members),
-q AS (SELECT *, max(CASE WHEN i = (n - 1) // 4 + 1 THEN line END) OVER (PARTITION BY owner) AS quarter FROM p),
-scored AS (SELECT *, CASE WHEN starts_with(name, 'New') OR lower(name) IN ('__init__', 'constructor', 'new', 'init') THEN 5 ELSE 0 END + CASE WHEN visibility = 'public' THEN 3 ELSE 0 END + CASE WHEN size BETWEEN 10 AND 40 THEN 2 ELSE 0 END
+_RANKED = f"""{v.MEMBERS}, q AS (SELECT *, end_line - line + 1 AS size, min(line) OVER (PARTITION BY owner) + (max(line) OVER (PARTITION BY owner) - min(line) OVER (PARTITION BY owner)) // 4 AS quarter FROM members),
+scored AS (SELECT *, CASE WHEN kind = 'constructor' OR starts_with(name, 'New') OR lower(name) IN ('__init__', 'constructor', 'new', 'init') THEN 5 ELSE 0 END + CASE WHEN visibility = 'public' THEN 3 ELSE 0 END + CASE WHEN size BETWEEN 10 AND 40 THEN 2 ELSE 0 END
   + CASE WHEN line <= quarter THEN 1 ELSE 0 END - CASE WHEN size <= 1 THEN 1 ELSE 0 END AS rank_score FROM q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY rank_score DESC, line, name) AS rank FROM scored),
 used AS (SELECT *, sum(size) OVER (PARTITION BY owner ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used_lines FROM ranked)"""

@@ -87,18 +87,18 @@ PART_SYMBOLS = """symbols AS (
 def members(spark: SparkSession, d: str) -> DataFrame:
     """Members of classes made of line items: an order is a class, its items are members."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    return li.where("l_orderkey % 3 = 0").select(
+    return li.select(
         F.col("l_orderkey").alias("owner"), F.concat(F.when(F.col("l_partkey") % 11 == 0, "New").otherwise("run"), F.lit("_"), F.col("l_partkey").cast("string")).alias("name"),
-        (F.col("l_linenumber") * 50).cast("long").alias("line"), (F.col("l_linenumber") * 50 + F.col("l_partkey") % 45).cast("long").alias("end_line"),
-        F.when(F.col("l_suppkey") % 2 == 0, "public").otherwise("private").alias("visibility"),
+        (F.col("l_linenumber") * F.col("l_linenumber") * 13).cast("long").alias("line"), (F.col("l_linenumber") * F.col("l_linenumber") * 13 + F.col("l_partkey") % 45).cast("long").alias("end_line"),
+        F.when(F.col("l_suppkey") % 2 == 0, "public").otherwise("private").alias("visibility"), F.when(F.col("l_suppkey") % 13 == 0, "constructor").otherwise("method").alias("kind"),
     )
 
 
 MEMBERS = """members AS (
   SELECT l_orderkey AS owner, CASE WHEN l_partkey % 11 = 0 THEN 'New' ELSE 'run' END || '_' || CAST(l_partkey AS VARCHAR) AS name,
-         CAST(l_linenumber * 50 AS BIGINT) AS line, CAST(l_linenumber * 50 + l_partkey % 45 AS BIGINT) AS end_line,
-         CASE WHEN l_suppkey % 2 = 0 THEN 'public' ELSE 'private' END AS visibility
-  FROM lineitem WHERE l_orderkey % 3 = 0)"""
+         CAST(l_linenumber * l_linenumber * 13 AS BIGINT) AS line, CAST(l_linenumber * l_linenumber * 13 + l_partkey % 45 AS BIGINT) AS end_line,
+         CASE WHEN l_suppkey % 2 = 0 THEN 'public' ELSE 'private' END AS visibility, CASE WHEN l_suppkey % 13 = 0 THEN 'constructor' ELSE 'method' END AS kind
+  FROM lineitem)"""
 
 
 def literals(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:

@@ -131,11 +131,13 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
 
 
 def _text(answer: Answer, files: DataFrame, question: str, k: int, search) -> None:
-    found = refs.top(refs.score(refs.find(files, question), ""), k).collect()
+    hits = refs.find(files, question)
+    first = hits.orderBy("path", "line").select("path").take(1)
+    found = refs.top(refs.score(hits, first[0]["path"]), k).collect() if first else []
     if found:
         answer.sections["References"], answer.confidence = found, CONFIDENCE["text"]
         return
-    hits = search(question, max(3, k // 2)).collect() if search is not None else []
+    hits = search(question, max(3, k)).collect() if search is not None else []
     answer.sections["Semantic"] = hits
     answer.confidence = CONFIDENCE["semantic"] if hits else 0.0
     answer.status = "ok" if hits else "not_found"

@@ -20,10 +20,13 @@ CHECK_FILE_LIMIT = 50
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below ``root``; unreadable ones are skipped. Content is only read if it is used."""
+    """Every regular file below ``root``; unreadable ones are skipped. Content is only read if it is used.
+
+    Bytes that aren't UTF-8 become U+FFFD, so binary and Latin-1 files are rows like any others.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
     prefix = "^(?:[a-zA-Z]+:)?/*" + "/".join(_quoted(p) for p in root.split(":", 1)[-1].strip("/").split("/")) + "/"
-    return raw.select(F.regexp_replace("path", prefix, "").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"))
+    return raw.select(F.regexp_replace("path", prefix, "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("bytes"))
 
 
 def _quoted(segment: str) -> str:

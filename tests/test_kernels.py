@@ -149,7 +149,9 @@ def test_slices():
     body[49] = "if err != nil {"
     text = "\n".join(body)
     out = sl.definition(text, 1, 100)
-    assert [(s.label, s.start, s.end) for s in out] == [("header", 1, 13), ("salient", 50, 60), ("return", 90, 100)]
+    assert [(s.label, s.start, s.end) for s in out] == [("Header slice", 1, 13), ("Error path slice", 50, 60), ("Return path slice", 90, 100)]
     body[2] = "f.Read(x)"
-    assert [s.label for s in sl.definition("\n".join(body), 1, 100)][0] == "salient"
+    assert [(s.label, s.start) for s in sl.definition("\n".join(body), 1, 100)][0] == ("Header slice", 1)
+    short = sl.definition("\n".join(["x"] * 20), 1, 20)
+    assert [s.label for s in short] == ["Header slice"]
     assert len(sl.salient(["Read"] * 200, 1, 200)) == 3
