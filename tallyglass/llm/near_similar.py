@@ -1,22 +1,25 @@
-"""Near duplicates by similarity of word shingles, with SimHash doing the comparing.
+"""Near duplicates by similarity of word shingles, found by SimHash.
 
 The general form of operator 7 for stages that go by similarity: two texts are linked
 if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 
-1. Each text gets its shingle set, a SimHash of it, and the keys of ``BANDS`` bands of
-   four minimum hashes each; a pair of similarity 0.8 misses all bands once in 30,000.
-2. Equal sets are one node. All pairs of a small band key are candidates; in a large one
-   SimHashes are compared bit-sliced, and each node proposes the nearest ``NEAREST``
-   within ``RADIUS`` bits to begin with.
-3. Candidates are verified exactly, on the sets. Nodes try their nearest candidate outside
-   their own component first, so a group of n near copies takes about n checks and not
-   n squared; the last round checks every candidate that still joins two components.
-4. Large keys that still hold more than one component are gone through whole: sets travel
-   to pairs of chunks, where every pair across components is verified, in the first key it shares.
+1. Each row gets the keys of ``BANDS`` bands of four minimum hashes each (a pair of
+   similarity 0.8 misses all bands once in 30,000); equal sets are one node. Texts stay where they are.
+2. Nodes that share a key get a SimHash of ``BITS`` bits and their shingle set; only their
+   texts are shuffled. In each key the SimHashes are compared bit-sliced; the spanning
+   stars of those within ``RADIUS`` bits make groups.
+3. The sets of a group meet in one task, each set once, and links are verified on them.
+   A group of more than ``CELL_BYTES`` of sets is cut into chunks that are verified on
+   their own first; what then is not in the group's largest component is compared
+   with every chunk, so no link is left out and copies don't cost their square.
+
+A pair of similarity 0.8 has SimHashes that differ in 78 of 512 bits, with a deviation of
+8 (96 and 9 where a set has few shingles), so that it passes ``RADIUS`` but once in 10**8.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, drop_path, released, scratch, stored, temporary
+from tallyglass.llm.common import doc_columns, key_filter, released, scratch, stored, temporary
 from tallyglass.llm.graph import components
-from tallyglass.llm.simhash import _LOWER, majority, near_masks
+from tallyglass.llm.simhash import _LOWER, bucket_links, majority, whole_keys
 
 U = np.uint64
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, RADIUS = 20, 4, 24
-SMALL_KEY, NEAREST, HOT_KEY = 32, 8, 2048
-WHOLE_KEY = 512
-SET = np.uint64  # of the hashes that sets are verified on
-NEAREST_ROUNDS = 2
+BANDS, ROWS = 20, 4
+BITS, RADIUS = 512, 150
+#: Nodes of a key that are compared in one task; bytes of sets that are verified in one task.
+HOT_KEY, CELL_BYTES = 2048, 8 << 20
+#: Entries (node, 64 others) that are compared at once.
+AT_ONCE = 1 << 17
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_C = _rng.integers(1, 2**63, BITS // 64, dtype=np.uint64)
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -63,6 +68,14 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set: ``BITS`` bits as 64-bit words, a word for each of some hash functions."""
+    out = np.zeros((BITS // 64, 1), np.uint64)
+    for i in range(len(out)):
+        out[i] = majority(tc.mix(hashes ^ _C[i]), np.array([len(hashes)]))
+    return out.ravel()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted arrays of distinct values."""
     if not len(a) or not len(b):
@@ -73,203 +86,215 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-_FEATURES = T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+_KEYS = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("sketch", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
 
-def _features(words: int):
-    @F.arrow_udf(_FEATURES)
-    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            node, fp, keys, sets = [], [], [], []
-            for text in tc.as_bytes(column):
+def _keys(words: int):
+    @F.arrow_udf(_KEYS)
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in tc.trimmed(batches):
+            node, n, found = [], [], []
+            for text in tc.each_text(column):
                 s = shingle_set(text, words)
-                node.append(int(tc.mix(np.array([s.sum(dtype=np.uint64) ^ U(len(s))])).view(np.int64)[0]))
-                fp.append(int(majority(s, np.array([len(s)])).view(np.int64)[0]))
-                keys.append(band_keys(s).view(np.int64).tolist() if len(s) else [])
-                sets.append(s.astype(SET).tobytes())
-            columns = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.StructArray.from_arrays(columns, names=_FEATURES.fieldNames())
-
-    return features
-
-
-def _bucket_pairs(node: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidate pairs (earlier, later, distance) within one key."""
-    m = len(fp)
-    if m <= SMALL_KEY:
-        row, col = np.tril_indices(m, -1)
-        yield node[col], node[row], np.bitwise_count(fp[row] ^ fp[col]).astype(np.int32)
-        return
-    words = -(-m // 64)
-    padded = np.zeros(words * 64, np.uint64)
-    padded[:m] = fp
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
-    valid = np.packbits(np.arange(words * 64) < m, bitorder="little").view("<u8")
-    step = max(1, (1 << 18) // words)
-    for i in range(0, m, step):
-        own = np.arange(i, min(i + step, m))
-        masks = near_masks(np.repeat(fp[own], words), np.tile(np.arange(words), len(own)), planes, valid, radius).reshape(len(own), words)
-        near = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")[:, :m].astype(bool)
-        near[np.arange(len(own)), own] = False
-        row, col = np.nonzero(near)
-        if not len(row):
-            continue
-        distance = np.bitwise_count(fp[own[row]] ^ fp[col]).astype(np.int32)
-        order = np.lexsort((col, distance, row))
-        row, col, distance = row[order], col[order], distance[order]
-        first = np.searchsorted(row, row, "left")
-        few = np.arange(len(row)) - first < NEAREST  # the nearest of each
-        row, col, distance = row[few], col[few], distance[few]
-        yield node[col], node[own[row]], distance
-
-
-def _candidates(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-
-        def out(key, node, fp):
-            cuts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
-            found: list[tuple[np.ndarray, ...]] = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
-                if b - a > 1:
-                    found += _bucket_pairs(node[a:b], fp[a:b].view(np.uint64), radius)
-            if found:
-                a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "distance"])
-
-        for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("key", "node", "fp")]
-            key, node, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
-            if len(key):
-                cut = int(np.searchsorted(key, key[-1]))
-                yield from out(key[:cut], node[:cut], fp[:cut])
-                held = [key[cut:], node[cut:], fp[cut:]]
-        yield from out(*held)
+                node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                n.append(len(s))
+                found.append(band_keys(s).view(np.int64).tolist() if len(s) else [])
+            columns = [pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, names=_KEYS.fieldNames())
 
-    return run
+    return keys
 
 
-def candidate_pairs(nodes: DataFrame, radius: int = RADIUS, hot_key: int = HOT_KEY) -> DataFrame:
-    """Distinct a < b, distance among ``nodes`` (node, fp, keys); a hot key is cut into pairs of chunks."""
-    keyed = nodes.select("node", "fp", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / hot_key).cast("int").alias("chunks"))
-    chunked = keyed.join(shared, "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pair = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")))
-    dealt = chunked.select(pair.alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_candidates(radius), "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+def _sets(words: int):
+    @F.arrow_udf(_SETS)
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in tc.trimmed(batches):
+            found = [shingle_set(text, words) for text in tc.each_text(column)]
+            columns = [pa.array([sketch(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.StructArray.from_arrays(columns, names=_SETS.fieldNames())
+
+    return sets
+
 
+def _sorted_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
+    """The rows of each run of equal first column, as lists by column."""
+    held: list[list] | None = None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held is not None and held[0][0] != row[0]:
+                yield held
+                held = None
+            if held is None:
+                held = [[] for _ in columns]
+            for c, v in zip(held, row, strict=True):
+                c.append(v)
+    if held is not None:
+        yield held
 
-@F.arrow_udf(T.DoubleType())
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similarity(np.frombuffer(x, SET), np.frombuffer(y, SET)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
+def _edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    u, v = zip(*edges, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", (_similarity("x", "y") >= least).alias("linked"))
 
+_EDGES = "u binary, v binary"
 
-def _bucket_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, earlier: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
-    """Links that join the components of one bucket: every pair across components is compared.
 
-    Pairs of one ``side`` other than 0 belong to another bucket, as do pairs that share one of the ``earlier`` keys.
+def _near_in_keys(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_keys(batches):
+            prints = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            edges = list(bucket_links(batch.column("key").to_numpy(), prints, radius, AT_ONCE))
+            if edges:
+                u, v = (batch.column("node").take(pa.array(c)) for c in zip(*edges, strict=True))
+                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+
+    return run
+
+
+def near_edges(nodes: DataFrame, sketches: DataFrame, radius: int = RADIUS, hot_key: int = HOT_KEY) -> DataFrame:
+    """Edges u, v between nodes (node, key; one row for each key that they share) that connect those within ``radius`` bits.
+
+    ``sketches`` has node and sketch. A key of more than ``hot_key`` nodes is cut into chunks; pairs of chunks are compared in tasks of their own.
     """
-    sizes = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    own = np.split(ids, np.cumsum(sizes)[:-1])
-    label = np.unique(root, return_inverse=True)[1]
-    marked = np.zeros(len(ids), np.uint8)
-    for i in range(1, len(node)):
-        open_ = (label[:i] != label[i]) & ((side[:i] != side[i]) | (side[i] == 0))
-        open_ &= np.minimum(sizes[:i], sizes[i]) / np.maximum(sizes[:i], sizes[i]) >= least  # no similarity is above this
-        others = np.flatnonzero(open_)
-        others = others[~(earlier[others] == earlier[i]).any(axis=1)]
+    sizes = nodes.groupBy("key").agg(F.ceil(F.count("*") / hot_key).cast("int").alias("chunks"))
+    chunked = nodes.join(sizes, "key").join(sketches, "node").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    chunked = chunked.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")))
+    dealt = chunked.select(pair.alias("key"), "node", "sketch").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(_near_in_keys(radius), _EDGES).distinct()
+
+
+class _Cell:
+    """The sets of one task."""
+
+    def __init__(self, sketches: list[bytes], sets: list[bytes], least: float, radius: int):
+        self.least, self.radius = least, radius
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sets), -1)
+        self.sizes = np.array([len(s) // 8 for s in sets])
+        ids = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1].astype(np.int32)
+        self.ends = np.cumsum(self.sizes)
+        self.ids, self.marked = ids, np.zeros(len(ids) + 1, np.uint8)
+
+    def own(self, i: int) -> np.ndarray:
+        return self.ids[self.ends[i] - self.sizes[i] : self.ends[i]]
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that are linked to ``i``: by size and SimHash first, then on the sets."""
+        n = self.sizes[others]
+        others = others[np.minimum(n, self.sizes[i]) >= self.least * np.maximum(n, self.sizes[i])]  # no similarity is above this
+        others = others[np.bitwise_count(self.sketches[others] ^ self.sketches[i]).sum(axis=1) <= self.radius]
         if not len(others):
-            continue
-        marked[own[i]] = 1
-        n = sizes[others]
-        common = np.add.reduceat(marked[np.concatenate([own[j] for j in others])], np.cumsum(n) - n, dtype=np.int64)
-        marked[own[i]] = 0
-        for j in others[common / (n + sizes[i] - common) >= least].tolist():
+            return others
+        self.marked[self.own(i)] = 1
+        n = self.sizes[others]
+        common = np.add.reduceat(self.marked[np.concatenate([self.own(j) for j in others.tolist()])], np.cumsum(n) - n, dtype=np.int64)
+        self.marked[self.own(i)] = 0
+        return others[common / (n + self.sizes[i] - common) >= self.least]
+
+    def hub(self) -> int:
+        """The node nearest to the bitwise majority."""
+        bits = np.unpackbits(self.sketches.view(np.uint8), axis=1, bitorder="little")
+        middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits), bitorder="little").view(np.uint64)
+        return int(np.bitwise_count(self.sketches ^ middle).sum(axis=1).argmin())
+
+
+def cell_links(cell: _Cell) -> Iterator[tuple[int, int]]:
+    """Links that join the components of a cell. The hub's links come first; pairs of nodes that it links need no check."""
+    m = len(cell.sizes)
+    label = np.arange(m)
+    hub = cell.hub()
+    star = cell.linked(hub, np.flatnonzero(label != hub))
+    yield from ((hub, j) for j in star.tolist())
+    label[star] = hub
+    joined = label == hub
+    before = joined.copy()
+    for i in np.flatnonzero(~joined).tolist():
+        for j in cell.linked(i, np.flatnonzero(before & (label != label[i]))).tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                yield int(node[j]), int(node[i])
+                yield i, j
+        before[i] = True
 
 
-def _whole_links(least: float):
+def _cells(least: float, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
-
-        def out():
-            node, root, side, earlier, sets = (list(c) for c in zip(*held, strict=True))
-            keys = np.array(earlier, np.int64).reshape(len(node), -1)
-            found = list(_bucket_links(np.array(node), np.array(root), np.array(side), keys, [np.frombuffer(x, SET) for x in sets], least))
-            if found:
-                a, b = np.sort(np.array(found, np.int64), axis=1).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            for key, c, d, *row in zip(*(batch.column(x).to_pylist() for x in ("key", "c", "d", "node", "root", "side", "earlier", "shingles")), strict=True):
-                if bucket != (key, c, d):
-                    if len(held) > 1:
-                        yield from out()
-                    held, bucket = [], (key, c, d)
-                held.append(row)
-        if len(held) > 1:
-            yield from out()
+        for _, node, sketches, sets in _sorted_groups(batches, ["cell", "node", "sketch", "shingles"]):
+            place = list({n: i for i, n in enumerate(node)}.values())  # equal rows of a table are one node
+            if len(place) > 1:
+                cell = _Cell([sketches[i] for i in place], [sets[i] for i in place], least, radius)
+                edges = [(node[place[a]], node[place[b]]) for a, b in cell_links(cell)]
+                if edges:
+                    yield _edge_batch(edges)
 
     return run
 
 
-def whole_key_links(nodes: DataFrame, labels: DataFrame, least: float = SIMILARITY, whole_key: int = WHOLE_KEY) -> DataFrame:
-    """a < b, linked, joining components of ``labels`` within keys of more than ``SMALL_KEY`` of ``nodes`` (node, keys, shingles).
+def _grid(least: float, radius: int):
+    """Rows with ``turn`` are compared with the others of the cell that have another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, node, sketches, sets, label, turn in _sorted_groups(batches, ["cell", "node", "sketch", "shingles", "label", "turn"]):
+            if all(turn) or not any(turn):
+                continue
+            cell = _Cell(sketches, sets, least, radius)
+            _, labels = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
+            other = ~np.array(turn)
+            edges = []
+            for i in np.flatnonzero(~other).tolist():
+                for j in cell.linked(i, np.flatnonzero(other & (labels != labels[i]))).tolist():
+                    if labels[j] != labels[i]:
+                        labels[labels == labels[j]] = labels[i]
+                        edges.append((node[i], node[j]))
+            if edges:
+                yield _edge_batch(edges)
+
+    return run
+
+
+def _by_cell(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("cell", "node", "sketch", "shingles", *columns).repartition("cell").sortWithinPartitions("cell", "node")
+
+
+def verified_components(sets: DataFrame, groups: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """node, root of the nodes that are linked to others of their group, by the sets.
 
-    With these, all pairs that share such a key and are linked are in one component; nothing is left out by distance or rank.
+    ``sets`` has node, sketch and shingles, ``groups`` node and root.
     """
-    keyed = nodes.select("node", "keys", F.posexplode("keys").alias("band", "key"))
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_KEY)
-    rows = keyed.join(large, "key").join(labels, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"), F.expr("slice(keys, 1, band)").alias("earlier"))
-    rows = released(rows, "large-keys")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = rows.join(mixed, "key").withColumn("chunks", F.ceil(F.col("n") / whole_key).cast("int")).join(nodes.select("node", "shingles"), "node")
-    chunked = open_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = chunked.select("key", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "node", "root", side.alias("side"), "earlier", "shingles")
-    dealt = dealt.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "node")
-    return released(dealt.mapInArrow(_whole_links(least), "a long, b long").distinct(), "whole-key-links")
-
-
-def similar_components(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """node, root for every node (node, fp, keys, shingles) that is linked to another."""
-    spark = nodes.sparkSession
-    pairs = stored(candidate_pairs(nodes.select("node", "fp", "keys")), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = released(nodes.select("node", "shingles").join(ends, "node", "left_semi"), "candidate-sets")
-    labels = spark.createDataFrame([], "node long, root long")
-    judged, links = None, None
-    for turn in range(NEAREST_ROUNDS + 1):
-        la = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        lb = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "distance")
-        if judged is not None:
-            left = left.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        if turn < NEAREST_ROUNDS:
-            sides = left.select(F.col("a").alias("node"), "a", "b", "distance").unionByName(left.select(F.col("b").alias("node"), "a", "b", "distance"))
-            left = sides.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        now = released(_verified(left.select("a", "b"), sets, least), "verified")
-        if now.isEmpty():
-            break
-        judged = now if judged is None else judged.unionByName(now)
-        links = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(links)
-    more = whole_key_links(nodes.select("node", "keys", "shingles"), labels, least)
-    if not more.isEmpty():
-        more = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(more if links is None else links.unionByName(more))
-    return labels
+    chunks = lambda size: F.greatest(F.ceil(size / cell_bytes), F.lit(1)).cast("int")
+    rows = sets.join(groups, "node")
+    sizes = stored(rows.groupBy("root").agg(chunks(F.sum(F.octet_length("shingles"))).alias("chunks")), "group-sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("own")
+    rows = rows.join(sizes, "root").select("root", "chunks", own, "node", "sketch", "shingles")
+    edges = released(_by_cell(rows.withColumn("cell", F.xxhash64("root", "own"))).mapInArrow(_cells(least, radius), _EDGES), "verified")
+    labels = components(edges)
+    if sizes.where("chunks > 1").isEmpty():
+        return labels
+    # large groups: one node of the largest component of each chunk is compared with those of other chunks
+    large = rows.where("chunks > 1").join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = released(large, "large-groups")
+    counts = large.groupBy("root", "own", "label").agg(F.count("*").alias("n"), F.min("node").alias("one"))
+    first = counts.groupBy("root", "own").agg(F.max_by("one", F.struct("n", "label")).alias("node")).select("node")
+    middles = large.join(first, "node", "left_semi").withColumn("cell", F.xxhash64("root"))
+    edges = edges.unionByName(released(_by_cell(middles).mapInArrow(_cells(least, radius), _EDGES), "verified-middles"))
+    labels = components(edges)
+    # what is outside a group's largest component is compared with all that have another label
+    large = large.drop("label").join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = stored(large.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("size")), "group-labels")
+    main = counts.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = counts.join(main, "root").where("label != main")
+    if rest.isEmpty():
+        return labels
+    columns = rest.groupBy("root").agg(chunks(F.sum("size")).alias("columns"))
+    open_ = large.join(columns, "root").join(main, "root")
+    cell = F.xxhash64("root", "row", "column")
+    all_ = open_.withColumn("row", F.col("own")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("turn", F.lit(False))
+    turns = open_.where("label != main").withColumn("column", F.pmod(F.xxhash64("node"), F.col("columns")).cast("int"))
+    turns = turns.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("turn", F.lit(True))
+    both = all_.unionByName(turns.select(all_.columns)).withColumn("cell", cell)
+    more = released(_by_cell(both, "label", "turn").mapInArrow(_grid(least, radius), _EDGES), "verified-rest")
+    return components(edges.unionByName(more))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -277,15 +302,24 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY)
 
     Letters A-Z are lower-cased. Texts without words are alike; repeated rows are alike; an empty table gives no rows.
     """
-    docs = doc_columns(docs)
+    docs = doc_columns(docs).withColumn("text_hash", F.xxhash64("text"))
     spark = docs.sparkSession
-    rows_path, nodes_path = scratch(spark, "shingle-rows"), scratch(spark, "shingle-nodes")
-    with temporary(spark):  # the sets of all rows go once those of the distinct nodes are written
-        rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _features(words)("text").alias("f")).select("doc_id", "text_hash", "f.*")
-        rows = stored(rows, "shingle-features")
-        rows.select("doc_id", "text_hash", "node").write.parquet(rows_path)
-        firsts = rows.groupBy("node").agg(F.min_by(F.struct("fp", "keys", "shingles"), F.xxhash64("doc_id", "text_hash")).alias("f"))
-        released(firsts.select("node", "f.*"), "shingle-nodes-copy", path=nodes_path)
-    found = similar_components(spark.read.parquet(nodes_path), least)
-    drop_path(spark, nodes_path)
-    return spark.read.parquet(rows_path).join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    path = scratch(spark, "similar-groups")
+    with temporary(spark):
+        rows = stored(docs.select("doc_id", "text_hash", _keys(words)("text").alias("f")).select("doc_id", "text_hash", "f.*"), "similar-rows")
+        nodes = rows.groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash", "keys"), F.xxhash64("doc_id", "text_hash")).alias("f"))
+        nodes = stored(nodes.select("node", "f.*"), "similar-nodes")
+        keyed = nodes.select("node", F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        shared = stored(shared, "similar-shared")
+        keyed = released(keyed.where(key_filter(shared)(F.col("key"))).join(shared, "key"), "similar-keys")
+        wanted = stored(nodes.select("node", "doc_id", "text_hash").join(keyed.select("node").distinct(), "node", "left_semi"), "similar-wanted")
+        place = F.xxhash64("doc_id", "text_hash")
+        texts = docs.where(key_filter(wanted.select(place.alias("key")))(place))
+        same = (texts.text_hash == wanted.text_hash) & texts.doc_id.eqNullSafe(wanted.doc_id)
+        sets = texts.join(wanted, same).select(wanted.node, _sets(words)(texts.text).alias("f")).select("node", "f.*")
+        sets = released(sets, "similar-sets")
+        groups = components(released(near_edges(keyed, sets.select("node", "sketch")), "near-edges"))
+        found = verified_components(sets, groups, least)
+        rows.join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")).write.parquet(path)
+    return spark.read.parquet(path)

@@ -8,8 +8,10 @@ distances are updated at once with carry-save counters, plane by plane, and word
 in which every lane is beyond the radius are abandoned.
 
 Equal fingerprints are one node. Of a key only the edges of a spanning star for each
-linked set leave the task, never all pairs. A key with more than ``HOT_KEY``
-fingerprints is cut into chunks, and pairs of chunks are compared in tasks of their own.
+linked set leave the task, never all pairs. In a key with more than ``HOT_KEY``
+fingerprints the bits outside the key are grouped in the same way, so each gets six
+narrower keys; only what is hot even then is cut into chunks, and pairs of chunks are
+compared in tasks of their own.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, scratch, stored, temporary, whole_rows
+from tallyglass.llm.common import doc_columns, key_filter, scratch, stored, temporary, whole_rows
 from tallyglass.llm.graph import components
 from tallyglass.llm.xx64 import xxh64
 
@@ -78,7 +80,7 @@ def simhash(texts: list[bytes | None], shingle: int = SHINGLE, seed: int = SEED)
 def _fingerprint_column(shingle: int, seed: int):
     @F.arrow_udf(T.LongType())
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in tc.trimmed(batches):
             texts, out, i = tc.as_bytes(column), [], 0
             while i < len(texts):  # a megabyte or one text at a time
                 j, size = i, 0
@@ -92,30 +94,52 @@ def _fingerprint_column(shingle: int, seed: int):
     return fingerprint
 
 
+def bit_planes(prints: np.ndarray) -> np.ndarray:
+    """``planes[j, w]``: bit j of the 64 prints of word w. ``prints`` has a row of 64-bit words each, 64 rows to a word."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save: sum and carry of three bits in each lane."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
 def near_masks(query: np.ndarray, word: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int) -> np.ndarray:
-    """For each (query, word of 64 lanes): the lanes within ``radius`` bits.
+    """For each (query, word of 64 lanes): the lanes within ``radius`` bits. ``query`` has a row of 64-bit words each.
 
-    ``planes[j, w]`` has bit j of the 64 fingerprints of word w. Counters are carry-save:
-    plane k holds bit k of 64 distances. Pairs whose lanes have all passed the radius are dropped every eight planes.
+    Distances are counted by carry-save adders, eight planes at a time: ones, twos and fours are kept as planes, and
+    the eights are added to a counter that begins so far below its end that it overflows in lanes beyond the radius.
+    Entries in which all lanes are beyond it are abandoned after each eight planes.
     """
     out = np.zeros(len(query), np.uint64)
-    live = np.arange(len(query))
-    digits = (radius + 1).bit_length()
-    counters = [np.zeros(len(query), np.uint64) for _ in range(digits)]
+    live, full = np.arange(len(query)), ~U(0)
+    digits = (radius // 8 + 1).bit_length()
+    start = (1 << digits) - (radius // 8 + 1)
+    low = [np.zeros(len(query), np.uint64) for _ in range(3)]
+    high = [np.full(len(query), full if start >> k & 1 else U(0)) for k in range(digits)]
     over = ~valid[word]
-    for j in range(64):
-        carry = planes[j][word] ^ (U(0) - ((query >> U(j)) & U(1)))
+    for j in range(0, len(planes), 8):
+        own = query[:, j // 64]
+        x = [planes[j + k][word] ^ (U(0) - ((own >> U(j % 64 + k)) & U(1))) for k in range(8)]
+        low[0], two = _add(low[0], x[0], x[1])
+        low[0], more = _add(low[0], x[2], x[3])
+        low[1], four = _add(low[1], two, more)
+        low[0], two = _add(low[0], x[4], x[5])
+        low[0], more = _add(low[0], x[6], x[7])
+        low[1], more = _add(low[1], two, more)
+        low[2], carry = _add(low[2], four, more)
         for k in range(digits):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        over |= carry | _above(counters, radius)
-        if j % 8 == 7:
-            keep = over != ~U(0)
-            if not keep.all():
-                live, query, word, over = live[keep], query[keep], word[keep], over[keep]
-                counters = [c[keep] for c in counters]
-                if not len(live):
-                    return out
-    out[live] = ~over
+            high[k], carry = high[k] ^ carry, high[k] & carry
+        over |= carry
+        keep = over != full
+        if not keep.all():
+            live, query, word, over = live[keep], query[keep], word[keep], over[keep]
+            low, high = [c[keep] for c in low], [c[keep] for c in high]
+            if not len(live):
+                return out
+    out[live] = ~(over | _above(low + high, 8 * start + radius))
     return out
 
 
@@ -149,8 +173,11 @@ def _stars(members: np.ndarray, masks: np.ndarray) -> Iterator[tuple[int, int]]:
             frontier = near
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Star edges within each run of equal ``key`` (sorted); ``most`` bounds the words compared at once."""
+def bucket_links(key: np.ndarray, prints: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Star edges (as places) within each run of equal ``key`` (sorted); ``most`` bounds the words compared at once.
+
+    ``prints`` has a row of 64-bit words for each key.
+    """
     cuts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(cuts, len(key)))
     wanted = [(int(a), int(m)) for a, m in zip(cuts, sizes, strict=True) if m > 1]
@@ -160,16 +187,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 <<
         while j < len(wanted) and (j == i or total + wanted[j][1] * -(-wanted[j][1] // 64) <= most):
             total += wanted[j][1] * -(-wanted[j][1] // 64)
             j += 1
-        yield from _compare(wanted[i:j], fp, radius, most)
+        yield from _compare(wanted[i:j], prints, radius, most)
         i = j
 
 
-def _compare(buckets: list[tuple[int, int]], fp: np.ndarray, radius: int, most: int) -> Iterator[tuple[int, int]]:
+def _compare(buckets: list[tuple[int, int]], prints: np.ndarray, radius: int, most: int) -> Iterator[tuple[int, int]]:
     lanes = np.concatenate([np.arange(a, a + -(-m // 64) * 64) for a, m in buckets])
     real = np.concatenate([np.arange(-(-m // 64) * 64) < m for _, m in buckets])
-    values = np.where(real, fp[np.minimum(lanes, len(fp) - 1)], U(0))
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
+    planes = bit_planes(prints[np.minimum(lanes, len(prints) - 1)])
     valid = np.packbits(real, bitorder="little").view("<u8")
     word, queries, words = 0, [], []
     for a, m in buckets:
@@ -178,36 +203,40 @@ def _compare(buckets: list[tuple[int, int]], fp: np.ndarray, radius: int, most:
         words.append(np.tile(np.arange(word, word + w), m))
         word += w
     query, words = np.concatenate(queries), np.concatenate(words)
-    masks = np.concatenate([near_masks(fp[query[i : i + most]], words[i : i + most], planes, valid, radius) for i in range(0, len(query), most)])
+    masks = np.concatenate([near_masks(prints[query[i : i + most]], words[i : i + most], planes, valid, radius) for i in range(0, len(query), most)])
     at = 0
     for a, m in buckets:
         w = -(-m // 64)
         own = masks[at : at + m * w].reshape(m, w)
         at += m * w
         if int(np.bitwise_count(own).sum()) > m:  # more than each with itself
-            yield from _stars(fp[a : a + m].view(np.int64), own)
+            yield from _stars(np.arange(a, a + m), own)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by ``key``, in batches that don't cut a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (held and held[0].column("key")[0].as_py() != key[0]):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _links(radius: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a key may go on in the next batch."""
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def out(key, fp):
-            edges = list(bucket_links(key, fp, radius))
+        for batch in whole_keys(batches):
+            fp = batch.column("fp").to_numpy()
+            edges = list(bucket_links(batch.column("key").to_numpy(), fp.view(np.uint64)[:, None], radius))
             if edges:
-                u, v = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        for batch in batches:
-            key = np.concatenate((held_key, batch.column("key").to_numpy()))
-            fp = np.concatenate((held_fp, batch.column("fp").to_numpy().view(np.uint64)))
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            yield from out(key[:cut], fp[:cut])
-            held_key, held_fp = key[cut:], fp[cut:]
-        yield from out(held_key, held_fp)
+                u, v = (pa.array(fp[list(c)]) for c in zip(*edges, strict=True))
+                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
 
     return link
 
@@ -224,15 +253,29 @@ def fingerprint_edges(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS,
             key = F.shiftleft(key, width).bitwiseOR(part(p))
         return key
 
-    if width * (parts - radius) > 56 or 64 % parts:
-        raise ValueError("a table's key must fit 56 bits and parts must divide 64")
+    if width * (parts - radius) > 56 or 64 % parts or width * radius % parts:
+        raise ValueError("a table's key must fit 56 bits; parts must divide 64 and the bits outside a key")
     keyed = fps.select("fp", F.explode(F.array(*[table_key(t, c) for t, c in enumerate(tables)])).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key", F.ceil(F.col("n") / hot_key).cast("int").alias("chunks"))
-    chunked = keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    chunked = chunked.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # of a hot key, a pair of chunks is a key of its own; the hash only needs to tell apart keys that meet in a task
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key", F.lit(True).alias("hot"))
+    marked = keyed.join(hot, "key", "left")
+    # of a hot key, the bits outside it are cut into parts again: those within the radius agree on all but ``radius`` of them
+    rest = [[q for q in range(parts) if q not in c] for c in tables]
+    narrow = width * radius // parts
+    fine = F.lit(0).cast("long")
+    for t, free in enumerate(rest):
+        bits = F.lit(0).cast("long")
+        for q in free:
+            bits = F.shiftleft(bits, width).bitwiseOR(part(q))
+        fine = F.when(F.shiftrightunsigned("key", width * (parts - radius)) == t, bits).otherwise(fine)
+    piece = lambda p: F.shiftrightunsigned("rest", p * narrow).bitwiseAND((1 << narrow) - 1)
+    subs = F.array(*[F.xxhash64("key", F.lit(t), *[piece(p) for p in c]) for t, c in enumerate(tables)])
+    cool = marked.where("hot IS NULL").select("key", "fp")
+    split = marked.where("hot").withColumn("rest", fine).select(F.explode(subs).alias("key"), "fp")
+    # sub-keys that are hot still are cut into chunks; a pair of chunks is a key of its own
+    sizes = split.groupBy("key").agg(F.ceil(F.count("*") / hot_key).cast("int").alias("chunks"))
+    chunked = split.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")))
-    dealt = chunked.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    dealt = cool.unionByName(chunked.select(pair.alias("key"), "fp")).repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_links(radius), "u long, v long")
 
 
@@ -260,23 +303,26 @@ def near_dedup(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] | None
     """``docs`` (all columns) with one row of each group: the one of least doc_id (then text hash).
 
     ``grouped`` gives doc_id, text_hash and root of the rows; :func:`near_groups` unless named. What it stores on the
-    way is removed once it is known which rows stay.
+    way is removed once it is known which rows stay. Only rows that may go are shuffled; the others pass by.
+    Rows that are equal in id and text are one. Null ids come last, null texts are a text of their own.
     """
     spark = docs.sparkSession
-    path = scratch(spark, "near-dedup-kept")
+    path = scratch(spark, "near-dedup-open")
     with temporary(spark):
         groups = (grouped or near_groups)(docs)
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
         sizes = stored(groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "near-groups")
-        best = sizes.groupBy("root").agg(first).select("root", "k.doc_id", "k.text_hash")
-        same = [sizes.root == best.root, sizes.text_hash == best.text_hash, sizes.doc_id.eqNullSafe(best.doc_id)]
-        sizes.join(best, same[0] & same[1] & same[2], "left_semi").select("doc_id", "text_hash", "n").write.parquet(path)
-    keep = spark.read.parquet(path)
+        best = sizes.groupBy("root").agg(first, F.sum("n").alias("m")).where("m > 1").select(F.col("root").alias("r"), "k")
+        stays = (F.col("text_hash") == F.col("k.text_hash")) & F.col("doc_id").eqNullSafe(F.col("k.doc_id"))
+        sizes.join(best, F.col("root") == F.col("r")).select("doc_id", "text_hash", "n", stays.alias("stays")).where("NOT stays OR n > 1").write.parquet(path)
+    open_ = spark.read.parquet(path)
+    place = lambda i, h: F.xxhash64(i, h)
     rows = docs.select(whole_rows(docs).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    kept = rows.join(keep.select(F.col("doc_id").alias("ki"), F.col("text_hash").alias("kh")), (F.col("h") == F.col("kh")) & F.col("i").eqNullSafe(F.col("ki")), "left_semi")
-    if not keep.where("n > 1").isEmpty():  # rows that are equal in id and text: one stays
-        kept = kept.dropDuplicates(["i", "h"])
-    return kept.select("row.*")
+    rows = rows.withColumn("maybe", key_filter(open_.select(place("doc_id", "text_hash").alias("key")))(place("i", "h")))
+    judged = rows.where("maybe").join(open_, (F.col("h") == open_.text_hash) & F.col("i").eqNullSafe(open_.doc_id), "left").where("coalesce(stays, true)")
+    if not open_.where("stays AND n > 1").isEmpty():  # rows that are equal in id and text: one stays
+        judged = judged.where("n IS NULL").select("row").unionByName(judged.where("n > 1").dropDuplicates(["i", "h"]).select("row"))
+    return rows.where("NOT maybe").select("row").unionByName(judged.select("row")).select("row.*")
 
 
 def op7(spark: SparkSession, d: str) -> DataFrame:
