@@ -78,13 +78,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of 4 MB, where the session doesn't set a size.
+
+    Spark's own limits are 10,000 rows and 64 MB, which long texts fill, on both sides and for every task.
+    """
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
+
+
 def doc_columns(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the columns an operator reads, under fixed names, so that other columns cannot clash."""
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in more])
 
 
 def whole_rows(docs: DataFrame) -> Column:
     """All columns as one struct, to carry rows past an operator's own columns whatever they are called."""
+    lean(docs.sparkSession)
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, id_crc, stored
+from tallyglass.llm.common import doc_columns, id_crc, lean, stored
 
 WORD_BUCKETS = 1 << 12
 RANK, BATCH = 6, 128
@@ -200,6 +200,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` (all columns) without the rows that the machine rejects."""
+    lean(docs.sparkSession)
     return docs.where(scorer(docs.sparkSession, machine)("text") >= THRESHOLD)
 
 

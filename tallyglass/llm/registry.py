@@ -1,19 +1,3 @@
-"""The queries of this subpackage: one for each operator, and the pipeline."""
-
-from __future__ import annotations
-
-import importlib
+"""The modules of this subpackage that have queries: one for each operator, and the pipeline."""
 
 MODULES = ("packing", "substring_dedup", "quality_rules", "license_scan", "token_ids", "language_id", "simhash", "sharding", "decontamination", "quality_classifier", "pipeline")
-
-
-def _loaded():
-    return [importlib.import_module(f"tallyglass.llm.{m}") for m in MODULES]
-
-
-def queries() -> dict:
-    return {k: f for m in _loaded() for k, f in m.QUERIES.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _loaded() for k, s in getattr(m, "ORACLES", {}).items()}

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
-from tallyglass.llm.common import doc_columns, drop_path, key_filter, partitions_for, scratch, stored
+from tallyglass.llm.common import doc_columns, drop_path, key_filter, lean, partitions_for, scratch, stored
 
 WIDTH = 35
 #: Words in a block of documents (positions in a block take three bytes), and text bytes a bucket is meant to serve.
@@ -366,6 +366,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, text_col: str
 
     ``size_col`` names a column that has the number of characters of the text; it follows where the text changes.
     """
+    lean(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     whole = docs.select(F.struct(*others).alias("row"), F.col("doc_id"), F.col(text_col).alias("text"))  # the text itself travels once
     same, joined = _judged(whole, index or FingerprintIndex(docs.sparkSession), block_words)
