@@ -25,12 +25,12 @@ from pyspark.sql import types as T
 
 from tallyglass.llm import textcore as tc
 from tallyglass.llm import tokens
-from tallyglass.llm.common import doc_columns, stored
+from tallyglass.llm.common import doc_columns, partitions_for, stored, whole_rows
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts that the items of one length are ranked in; a length that most items share spreads over so many tasks.
-RANK_PARTS = 256
+#: Parts that the items of one length are ranked in, at least, and bytes of items for another; a length that most items share spreads over so many tasks.
+RANK_PARTS, RANK_BYTES = 256, 1 << 20
 
 
 def piece_lengths(n: int, capacity: int) -> list[int]:
@@ -50,15 +50,18 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         schema = schema.add("ids", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER), share=memo).encode
+        encoder = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER), share=memo)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in tc.slices(batches):
+        for batch in tc.slices(tc.trimmed(batches)):
+            ids, counts = encoder.encode_all(tc.as_bytes(batch.column("text")))
+            data, at = ids.tobytes(), 0
             owner, columns, held = [], ([], [], [], []), []
-            for d, text in enumerate(tc.as_bytes(batch.column("text"))):
-                ids = encode(text.decode() if text else "") + end
+            for d, n_ids in enumerate(counts.tolist()):
+                own = data[at : at + 4 * n_ids] + end
+                at += 4 * n_ids
                 start = 0
-                for k, n in enumerate(piece_lengths(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + n)]
+                for k, n in enumerate(piece_lengths(n_ids + 1, capacity)):
+                    part = own[4 * start : 4 * (start + n)]
                     owner.append(d)
                     for c, v in zip(columns, (k, start, n, zlib.crc32(part)), strict=True):
                         c.append(v)
@@ -157,23 +160,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return sorted(placements), bins
 
 
-def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None = None, capacity: int = CAPACITY, parts: int = RANK_PARTS) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None = None, capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. Lengths from 1 to the capacity; an empty table stays empty.
 
     ``pieces`` is read twice and so should be stored. ``order`` (all other columns by default) ranks items of a
-    length; items that agree in it are interchangeable.
+    length; items that agree in it are interchangeable. Columns of ``pieces`` may have any names.
     """
     spark = pieces.sparkSession
+    parts = parts or partitions_for(pieces, RANK_BYTES, least=RANK_PARTS)
     order = order or [c for c in pieces.columns if c != length_col]
-    n = F.col(length_col).cast("long")
-    salted = pieces.withColumn("__n", n).withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = salted.groupBy("__n", "__salt").agg(F.count("*").alias("__c"))
-    counts = stored(counts, "length-counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy("__n").agg(F.sum("__c")).collect()}  # at most `capacity` rows
+    ordered = [F.col(f"row.`{c}`") for c in order]
+    salted = pieces.select(whole_rows(pieces).alias("row"), F.col(f"`{length_col}`").cast("long").alias("n"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64(*ordered), F.lit(parts)).cast("int"))
+    counts = stored(salted.groupBy("n", "salt").agg(F.count("*").alias("count")), "length-counts")
+    histogram = {r[0]: r[1] for r in counts.groupBy("n").agg(F.sum("count")).collect()}  # at most `capacity` rows
     placements, _ = plan(histogram, capacity)
     table = np.array(placements, np.int64).reshape(-1, 5)
     found = spark.sparkContext.broadcast((table[:, 0] << 48 | table[:, 1], table))
-    before = counts.withColumn("__before", F.sum("__c").over(Window.partitionBy("__n").orderBy("__salt")) - F.col("__c")).drop("__c")
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("n").orderBy("salt")) - F.col("count")).drop("count")
 
     @F.arrow_udf("sequence_id long, offset long")
     def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
@@ -183,10 +187,10 @@ def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None
         turn, slot = np.divmod(rank - row[:, 1], row[:, 3])
         return pa.StructArray.from_arrays([pa.array(row[:, 2] + turn), pa.array(row[:, 4] + slot * size)], names=["sequence_id", "offset"])
 
-    own = F.row_number().over(Window.partitionBy("__n", "__salt").orderBy(*order)).cast("long")
-    ranked = salted.withColumn("__rank", own).join(before, ["__n", "__salt"])
-    placed = ranked.withColumn("__p", place(F.col("__n"), F.col("__before") + F.col("__rank") - 1))
-    return placed.select(*pieces.columns, F.col("__p.sequence_id"), F.col("__p.offset"))
+    own = F.row_number().over(Window.partitionBy("n", "salt").orderBy(*ordered)).cast("long")
+    ranked = salted.withColumn("rank", own).join(before, ["n", "salt"])
+    placed = ranked.withColumn("place", place(F.col("n"), F.col("before") + F.col("rank") - 1))
+    return placed.select("row.*", "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, memo: float = 1.0) -> DataFrame:

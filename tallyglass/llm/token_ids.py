@@ -47,7 +47,7 @@ def _id_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_ids: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER), dtype).encode
+        encoder = tokens.encoder(tokenizer or tokens.public_path(TOKENIZER), dtype)
         end = np.array([end_id], dtype).tobytes()
         counts = np.zeros(0, np.int64)
         block = start = held = 0
@@ -59,11 +59,14 @@ def _id_blocks(docs: DataFrame, tokenizer: str | None, end_id: int, block_ids: i
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), *lists, pa.array([payload], pa.binary())], names)
 
         names, id_type = ["part", "block", "start_in_part", "doc_ids", "n_tokens", "payload"], None
-        for batch in tc.slices(batches):
+        for batch in tc.slices(tc.trimmed(batches)):
             column = batch.column("doc_id")
             id_type = column.type
-            for d, text in enumerate(tc.as_bytes(batch.column("text"))):
-                ids = encode(text.decode() if text else "") + end
+            encoded, counts_of = encoder.encode_all(tc.as_bytes(batch.column("text")))
+            data, at = encoded.tobytes(), 0
+            for d, n_ids in enumerate(counts_of.tolist()):
+                ids = data[at : at + n_ids * len(end)] + end
+                at += n_ids * len(end)
                 owners.append(column.slice(d, 1))
                 sizes.append(len(ids) // len(end))
                 texts.append(ids)

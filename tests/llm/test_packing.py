@@ -108,3 +108,12 @@ def test_memoised_encoder_is_exact(name):
     for _ in range(1500):
         text = "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 12)))
         assert encoder.encode(text) == np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    names = ["length", "n", "salt", "rank", "row", "before", "place", "count", "__n"]
+    docs = spark.createDataFrame([(5, i, i, i, i, i, i, i, i) for i in range(20)], ", ".join(f"`{c}` long" for c in names))
+    rows = pk.pack(docs, capacity=11).collect()
+    assert list(rows[0].asDict()) == [*names, "sequence_id", "offset"]
+    assert sorted(r.n for r in rows) == list(range(20)) and all(r.n == r.rank == r.salt == r["count"] == r["__n"] for r in rows)
+    assert _check([(r.length, r.sequence_id, r.offset) for r in rows], 11) == 10
