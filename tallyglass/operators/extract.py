@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.functions.languages import EXTRACT_LANGUAGES, lookup, symbol_type_matches
+from tallyglass.functions.languages import CHUNK_LANGUAGES, EXTRACT_LANGUAGES, lookup, symbol_type_matches
 from tallyglass.functions.paths import extension
 from tallyglass.kernels import declarations as decl
 from tallyglass.kernels import slices as sl
-from tallyglass.operators.chunk import resplit, windows
+from tallyglass.operators.chunk import resplit
 
 _SYMBOL = T.StructType(
     [T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("start_line", "end_line", "start", "end")],
@@ -103,16 +103,21 @@ def sliced(spans: DataFrame) -> DataFrame:
     return out.select("path", "s.*")
 
 
+_CHUNKS = T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("node_type", T.StringType()), T.StructField("content", T.StringType())]))
+
+
+@F.arrow_udf(_CHUNKS)
+def _chunks(content: pa.Array, language: pa.Array) -> pa.Array:
+    """The declarations of a text as chunks; a text without any is one block."""
+    rows = []
+    for t, lang in zip(content.to_pylist(), language.to_pylist(), strict=True):
+        t = t or ""
+        rows.append([c._asdict() for c in decl.chunks(t, lang)] or [{"start_line": 1, "end_line": t.count("\n") + 1, "node_type": "block", "content": t}])
+    return pa.array(rows, pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("node_type", pa.string()), ("content", pa.string())])))
+
+
 def syntax_chunks(files: DataFrame, max_lines: int = 200, max_chars: int = 8192) -> DataFrame:
     """Outermost declarations as chunks of whole lines; a file without any, or unreadable, as line windows; oversize chunks re-split."""
-    rows = files.withColumn("language", lookup(EXTRACT_LANGUAGES, extension(F.col("path")))).withColumn("__p", _parse("content", "language"))
-    kinds = F.lit(False)
-    syms = rows.select("path", "content", "language", F.explode("__p.symbols").alias("s")).select("path", "content", "language", "s.*")
-    for lang, names in decl.CHUNKED.items():
-        kinds = kinds | ((F.col("language") == lang) & F.col("type").isin(names.split()))
-    w = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = syms.where(kinds).withColumn("__reach", F.max("end").over(w)).where(F.col("__reach").isNull() | (F.col("start") >= F.col("__reach")))
-    code = F.expr("array_join(slice(split(content, '\n', -1), CAST(start_line AS INT), CAST(end_line - start_line + 1 AS INT)), '\n')")
-    chunks = outer.select("path", F.col("start_line").cast("int"), F.col("end_line").cast("int"), code.alias("content"), F.col("type").alias("node_type"))
-    rest = files.join(chunks.select("path").distinct(), "path", "left_anti")
-    return resplit(chunks, max_lines, max_chars).unionByName(windows(rest))
+    language = lookup(CHUNK_LANGUAGES, extension(F.col("path")))
+    rows = files.select("path", F.explode(_chunks(F.col("content"), language)).alias("c")).select("path", "c.*")
+    return resplit(rows, max_lines, max_chars, always=F.col("node_type") == "block")

@@ -111,7 +111,7 @@ def test_go():
 
 
 def test_java():
-    assert _names(JAVA, "java") == [("class", "Box", ""), ("constructor", "Box", "Box"), ("method", "name", "Box"), ("interface", "Part", "Box"), ("enum", "Kind", "Box")]
+    assert _names(JAVA, "java") == [("class", "Box", ""), ("constructor", "Box", "Box"), ("method", "name", "Box"), ("interface", "Part", "Box"), ("method", "go", "Part"), ("enum", "Kind", "Box")]
 
 
 def test_typescript_and_javascript():
@@ -144,6 +144,57 @@ def test_markup():
     assert decl.symbols("anything", "cobol") == []
 
 
+def test_go_groups_and_nested_fields():
+    text = "package x\n\nconst (\n\tA = iota // one\n\tB, b2 = 1,\n\t\t2\n)\nvar (\n\tc = \"x\"\n\td map[string]int\n)\ntype (\n\tP struct {\n\t\tinner struct {\n\t\t\tx int\n\t\t}\n\t}\n\tQ[T any] interface{ Do() T }\n\tR [5]int\n\tS = int\n)\nfunc F(a int) interface{} {\n\tvar k = 1\n\treturn k\n}\n"
+    assert _names(text, "go") == [
+        ("constant", "A", ""), ("constant", "B", ""), ("constant", "b2", ""), ("variable", "c", ""), ("variable", "d", ""), ("struct", "P", ""), ("interface", "Q", ""), ("type", "R", ""), ("function", "F", ""), ("variable", "k", ""),
+    ]
+    spans = {s.name: text[s.start : s.end] for s in decl.symbols(text, "go")}
+    assert spans["B"] == "B, b2 = 1,\n\t\t2" and spans["d"] == "d map[string]int" and spans["F"].endswith("return k\n}") and spans["P"].startswith("P struct") and spans["P"].endswith("\t}")
+    assert [(c.node_type, c.start_line, c.end_line) for c in decl.chunks(text, "go")] == [("type", 12, 21), ("function", 22, 25)]
+
+
+def test_members_on_one_line_and_annotations():
+    java = "class A { A() {} @Override public @Nullable String get() { return f(1); } int[] xs(int a) { if (a > 1) { g(); } return null; } }"
+    assert _names(java, "java") == [("class", "A", ""), ("constructor", "A", "A"), ("method", "get", "A"), ("method", "xs", "A")]
+    anonymous = "class B {\n  Runnable r = new Runnable() {\n    public void run() { go(); }\n  };\n}"
+    assert ("method", "run", "B") in _names(anonymous, "java")
+    js = "class C { a() { return 1 } static async b(x = {y: 1}) { if (x) { z(x) } } }\nconst f = (a) => {\n  let q = a\n  return q\n}, g = 2\nfoo(() => { bar() })\nvar s = /[{]/, t = 1\n"
+    assert _names(js, "javascript") == [("class", "C", ""), ("method", "a", "C"), ("method", "b", "C"), ("constant", "f", ""), ("variable", "q", ""), ("constant", "g", ""), ("variable", "s", ""), ("variable", "t", "")]
+    ts = "export class D {\n  m(): { a: number } { return { a: 1 } }\n  n(f: () => void): Map<string, number> {\n    return new Map()\n  }\n}\n"
+    assert _names(ts, "typescript") == [("class", "D", ""), ("method", "m", "D"), ("method", "n", "D")]
+
+
+def test_cpp_constructors_and_templates():
+    text = "#define X {\nnamespace n {\nclass W {\n public:\n  explicit W(int k) : a_(k), b_{k} { go(k); }\n  ~W() {}\n  W(const W&) = delete;\n};\ntemplate <typename T>\nT most(T a, T b) { return a > b ? a : b; }\nW::W(double d) : a_(f(d)) {}\nbool operator==(const W& a, const W& b) { return true; }\n}\n"
+    assert _names(text, "cpp") == [("class", "W", ""), ("method", "W", "W"), ("method", "~W", "W"), ("function", "most", ""), ("function", "W", ""), ("function", "operator==", "")]
+    assert [(c.node_type, c.start_line, c.end_line) for c in decl.chunks(text, "cpp")] == [("namespace", 2, 13)]
+    assert [(c.node_type, c.start_line) for c in decl.chunks("struct P { int a; };\ntemplate <class T>\nclass Q { };\nint main() { return 0; }\n", "c")] == [("struct", 1), ("template", 2), ("function", 4)]
+
+
+def test_chunks_by_language():
+    assert [(c.node_type, c.start_line, c.end_line) for c in decl.chunks("import os\n\n@cache\ndef f():\n    return 1\n\nclass A:\n    @x\n    def g(self): pass\n", "python")] == [("decorated", 3, 5), ("class", 7, 9)]
+    tsx = "import x from 'x'\nexport default function App() {\n  return 1\n}\nconst k = 1;\napp.get('/', (q, r) => {\n  r.end()\n})\n"
+    assert [(c.node_type, c.start_line, c.end_line) for c in decl.chunks(tsx, "tsx")] == [("export", 2, 4), ("declaration", 5, 5), ("function", 6, 8)]
+    assert [(c.node_type, c.start_line) for c in decl.chunks("mod a {\n  fn f() {}\n}\nimpl<T: Into<U>> Foo<T> for Bar<T> { fn g(&self) {} }\n", "rust")] == [("module", 1), ("impl", 4)]
+    assert decl.chunks("def (", "python") == [] and decl.chunks("x", "ruby") == [] and decl.chunks("", "go") == []
+
+
+def test_scanner_is_linear_and_survives_any_text():
+    import random
+    import time
+
+    rnd = random.Random(5)
+    hard = ["*" * 20000, "a<b> " * 5000, "{" * 20000, "(" * 20000, "x(" * 10000, "a, " * 9000, "class A { " * 3000, "f(a) : b(c), " * 4000, "const (" * 3000, "=> " * 5000, "'" * 9999, "a.b::c " * 4000]
+    words = ["class", "func", "type", "const", "(", ")", "{", "}", "[", "]", ";", "\n", "=>", ":", ",", "A", "b", "<", ">", "'", '"', "`", "/", "*", "#", "~", "fn", "impl", "struct", " "]
+    for language in ("go", "java", "javascript", "typescript", "rust", "cpp"):
+        for text in [*hard, *(" ".join(rnd.choices(words, k=300)) for _ in range(60))]:
+            began = time.monotonic()
+            for s in decl.nodes(text, language):
+                assert 0 <= s.start <= s.end <= len(text) and 1 <= s.start_line <= s.end_line <= text.count("\n") + 1
+            assert time.monotonic() - began < 5, (language, text[:20])
+
+
 def test_slices():
     body = [f"line {i}" for i in range(1, 101)]
     body[49] = "if err != nil {"
