@@ -16,11 +16,20 @@ from tallyglass.functions.routing import classify, has_failure_cue, is_class_lik
 from tallyglass.functions.routing import budget as budget_columns
 from tallyglass.functions.routing import most_items
 from tallyglass.operators import extract, outline, refs
+from tallyglass.operators.edges import calls, type_edges
 from tallyglass.functions.symbols import visibility
 from tallyglass.sources.files import guards
 
 # fixed values: confidence of the ways an answer is found
 CONFIDENCE = {"symbol": 0.85, "text": 0.50, "semantic": 0.40}
+# fixed values: lines that parts of a report take beside their contents
+SUMMARY_LINES, META_LINES, SLICE_LINES, OUTLINE_LINES = 5, 4, 3, 3
+# fixed values: hints for the next question
+NO_AST = "AST search is not yet implemented; try --mode symbol or --mode text"
+RETRY = "retry with --path, or provide a fuller query"
+
+
+DETAILS = {"signature_plus_outline": "Outline", "signature_plus_slices": "Slices"}
 
 
 @dataclass
@@ -34,26 +43,26 @@ class Answer:
     sections: dict[str, list[Row]] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
 
-    def markdown(self) -> str:
-        out = [f"# {self.query}", f"mode: {self.mode} | status: {self.status} | confidence: {self.confidence:.2f}"]
-        if self.definition is not None:
-            d = self.definition
-            out += ["", "## Definition", f"`{d['path']}:{d['start_line']}-{d['end_line']}` {d['type']} {d['name']}"]
-            if self.view == "body":
-                out += ["```", d["code"], "```"]
-            else:
-                out += [d["signature"]]
-        for name, rows in self.sections.items():
-            if not rows:
-                continue
-            out += ["", f"## {name}"]
-            for r in rows:
-                v = r.asDict()
-                place = f"{v.get('path', '')}:{v.get('line', v.get('start_line', v.get('start', '')))}"
-                out.append(f"- {place} {v.get('name', v.get('label', v.get('snippet', '')))}" + (f" ({v['reason']})" if v.get("reason") else ""))
-        if self.errors:
-            out += ["", "## Notes", *[f"- {e}" for e in self.errors]]
-        return "\n".join(out)
+    language: str = ""
+    refs_total: int = 0
+    chain: list[str] = field(default_factory=list)
+    hint: str = ""
+    total_lines: int = 0
+
+    def used_lines(self) -> int:
+        """About how many lines the report takes."""
+        d, sections = self.definition, self.sections
+        used = SUMMARY_LINES + META_LINES
+        if d is not None and self.view == "body":
+            used += d["code"].count("\n") + 1
+        used += sum(r["code"].count("\n") + SLICE_LINES for r in sections.get("Slices", []))
+        used += len(sections["Outline"]) + OUTLINE_LINES if sections.get("Outline") else 0
+        return used + 2 * len(sections.get("References", [])) + 2 * len(sections.get("Callers", [])) + len(sections.get("Implementations", []))
+
+    def markdown(self, verbose: bool = False) -> str:
+        from tallyglass.render import answer
+
+        return answer(self, verbose)
 
 
 def _scalar(spark, *columns):
@@ -63,14 +72,16 @@ def _scalar(spark, *columns):
 def ask(files: DataFrame, question: str, mode: str = "", budget: str = "auto", depth: int = 1, edges: DataFrame | None = None, search=None) -> Answer:
     """Answer ``question`` over ``files``.
 
-    ``edges`` (caller, callee by name) gives callers; ``search(question, k)`` gives semantic hits. Either may be missing.
+    ``edges`` (caller, callee by name; path and line of the caller if known) gives callers, by default the calls in ``files``;
+    ``search(question, k)`` gives semantic hits and may be missing.
     """
     spark = files.sparkSession
     lines_by = budget_columns(F.lit(budget), F.lit(depth))
     row = _scalar(spark, classify(F.lit(question), F.lit(mode)).alias("mode"), has_failure_cue(F.lit(question)).alias("failing"), *[c.alias(k) for k, c in lines_by.items()], most_items(lines_by["reference_lines"]).alias("n_refs"), most_items(lines_by["caller_lines"]).alias("n_callers"))
     answer = Answer(question, row["mode"])
+    answer.total_lines = row["total_lines"]
     if row["mode"] == "ast":
-        answer.status = "not_found"
+        answer.status, answer.hint = "not_found", NO_AST
         return answer
     if row["mode"] == "path":
         found = guards(files.where((F.col("path") == question.strip()) | F.col("path").endswith("/" + question.strip()))).orderBy("path").take(1)
@@ -78,7 +89,8 @@ def ask(files: DataFrame, question: str, mode: str = "", budget: str = "auto", d
         answer.sections["Files"] = found
         return answer
     if row["mode"] == "symbol":
-        matches = extract.definitions(files, question.strip()).take(6)
+        answer.chain.append("symbol")
+        matches = extract.definitions(files.where(F.col("content").contains(question.strip())), question.strip()).take(6)
         if matches:
             _symbol(answer, files, matches, row, edges, depth)
             return answer
@@ -91,7 +103,7 @@ def ask(files: DataFrame, question: str, mode: str = "", budget: str = "auto", d
 def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edges: DataFrame | None, depth: int) -> None:
     spark = files.sparkSession
     first = matches[0]
-    answer.definition, answer.confidence = first, CONFIDENCE["symbol"]
+    answer.definition, answer.confidence, answer.language = first, CONFIDENCE["symbol"], first["language"]
     answer.sections["Other definitions"] = matches[1:]
     own = files.where(F.col("path") == first["path"])
     size = first["end_line"] - first["start_line"] + 1
@@ -112,32 +124,50 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
     def references() -> list[Row]:
         found = refs.find(files, first["name"])
         declared = spark.createDataFrame([(first["path"], int(first["start_line"]))], "path string, line int")
-        return refs.top(refs.score(refs.cross_check(found, declared), first["path"]), row["n_refs"]).collect()
+        scored = refs.score(refs.cross_check(found, declared), first["path"])
+        answer.refs_total = scored.count()
+        return refs.top(scored, row["n_refs"]).collect()
 
     def callers() -> list[Row]:
-        if edges is None:
-            return []
         from tallyglass.operators.callers import incoming
 
-        return incoming(edges, spark.createDataFrame([(first["name"],)], "node string"), max(1, depth)).orderBy("depth", "node").limit(row["n_callers"]).withColumnRenamed("node", "name").collect()
+        near = files.where(F.col("content").contains(first["name"])) if depth <= 1 else files
+        known = calls(near).select("caller", "callee", "path", F.col("declared").alias("line")) if edges is None else edges
+        root = spark.createDataFrame([(first["name"],)], "node string")
+        found = incoming(known, root, max(1, depth)).withColumnRenamed("node", "name")
+        if not {"path", "line"} <= set(known.columns):
+            return found.orderBy("depth", "name").limit(row["n_callers"]).collect()
+        called = found.select(F.col("name").alias("callee")).unionByName(root.withColumnRenamed("node", "callee"))
+        places = known.join(called, "callee", "left_semi").groupBy(F.col("caller").alias("name")).agg(F.min(F.struct("path", "line")).alias("at")).select("name", "at.*")
+        scored = refs.score_callers(found.join(places, "name"), first["path"])
+        return scored.orderBy(F.desc("score"), "path", "line", "name").limit(row["n_callers"]).collect()
+
+    def implementations() -> list[Row]:
+        if not _scalar(spark, is_class_like(F.lit(first["type"])).alias("x"))["x"]:
+            return []
+        return type_edges(files).where(F.col("super") == first["name"]).select(F.col("sub").alias("name"), "path", "line").orderBy("path", "line", "name").collect()
 
-    with ThreadPoolExecutor(3) as pool:
-        jobs = {"Outline" if size > row["definition_lines"] else "Details": pool.submit(details), "References": pool.submit(references), "Callers": pool.submit(callers)}
+    with ThreadPoolExecutor(4) as pool:
+        jobs = {"Details": pool.submit(details), "References": pool.submit(references), "Callers": pool.submit(callers), "Implementations": pool.submit(implementations)}
         for name, job in jobs.items():
             try:
-                answer.sections[name] = job.result()
+                rows = job.result()
+                answer.sections[DETAILS.get(answer.view, name) if name == "Details" else name] = rows
             except Exception as e:  # noqa: BLE001  a section's failure is reported, the others stand
                 answer.errors.append(f"{name}: {e}")
 
 
 def _text(answer: Answer, files: DataFrame, question: str, k: int, search) -> None:
+    answer.chain.append("text")
     hits = refs.find(files, question)
     first = hits.orderBy("path", "line").select("path").take(1)
     found = refs.top(refs.score(hits, first[0]["path"]), k).collect() if first else []
     if found:
-        answer.sections["References"], answer.confidence = found, CONFIDENCE["text"]
+        answer.sections["References"], answer.confidence, answer.refs_total = found, CONFIDENCE["text"], hits.count()
         return
+    if search is not None:
+        answer.chain.append("semantic")
     hits = search(question, max(3, k)).collect() if search is not None else []
     answer.sections["Semantic"] = hits
     answer.confidence = CONFIDENCE["semantic"] if hits else 0.0
-    answer.status = "ok" if hits else "not_found"
+    answer.status, answer.hint = ("ok", "") if hits else ("not_found", RETRY)
