@@ -361,8 +361,16 @@ def _braces(text: str, language: str) -> list[Symbol]:
     return out
 
 
+def python_tree(text: str) -> ast.Module:
+    """The syntax tree; a text that nests too deep for the parser counts as unreadable."""
+    try:
+        return ast.parse(text)
+    except MemoryError as e:
+        raise SyntaxError(str(e)) from None
+
+
 def _python(text: str) -> list[Symbol]:
-    tree = ast.parse(text)
+    tree = python_tree(text)
     starts = [0]
     for line in text.split("\n"):
         starts.append(starts[-1] + len(line) + 1)

@@ -59,7 +59,7 @@ def _python(text: str) -> Relations:
         node = node.value if isinstance(node, ast.Subscript) else node
         return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
 
-    todo: list[tuple[ast.AST, str, str, int]] = [(ast.parse(text), "", "", 0)]
+    todo: list[tuple[ast.AST, str, str, int]] = [(decl.python_tree(text), "", "", 0)]
     while todo:
         node, caller, owner, declared = todo.pop()
         if isinstance(node, ast.Call) and caller and name_of(node.func):

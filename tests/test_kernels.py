@@ -135,6 +135,8 @@ def test_python():
     assert _names(PY, "python") == [("class", "A", ""), ("function", "__init__", "A"), ("function", "go", "A"), ("function", "inner", "A"), ("function", "top", "")]
     with pytest.raises(SyntaxError):
         decl.symbols("def (", "python")
+    with pytest.raises(SyntaxError):
+        decl.symbols("- " * 200000 + "x", "python")
 
 
 def test_markup():
