@@ -108,6 +108,13 @@ def id_crc(id_col: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Rows of ``left`` with the other columns of ``right``, by equal keys, where nulls are equal too."""
+    right = right.withColumnsRenamed({c: f"__right_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"__right_{c}")) for c in keys]
+    return left.join(right, same, how).drop(*[f"__right_{c}" for c in keys])
+
+
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 100_000) -> int:
     """How many partitions of about ``bytes_each`` bytes the optimiser expects ``df`` to fill.
 
