@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the session's checkpoint folder: computed once, lineage cut, safe against lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyglass-"))
-    path = f"{(folder or sc._jsc.sc().getCheckpointDir().get()).rstrip('/')}/tallyglass/callers-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tallyglass.storage import stored
 
 
 def incoming(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -31,12 +16,12 @@ def incoming(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """
     if depth < 1:
         raise ValueError("depth is 1 or more")
-    edges = _stored(edges.select("caller", "callee").where("caller != callee").distinct())
-    visited = _stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges = stored(edges.select("caller", "callee").where("caller != callee").distinct(), "call-edges")
+    visited = stored(roots.select("node").distinct().withColumn("depth", F.lit(0)), "callers")
     frontier = visited
     for level in range(1, depth + 1):
         found = edges.join(frontier.select(F.col("node").alias("callee")), "callee").select(F.col("caller").alias("node")).distinct()
-        frontier = _stored(found.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = stored(found.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "callers")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyglass.operators.vector_blocks import SPLIT_ROWS, best_pairs, packed
+
 DEFAULT_K = 10
-#: Query vectors that are compared with all rows in one pass.
-QUERY_BLOCK = 4096
 
 
 def cosine(vector: Column | str, query: Sequence[float]) -> Column:
@@ -39,57 +37,16 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, langua
     return df.withColumn("score", cosine("vector", query)).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
-
-
-def _directions(rows: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.where(norm == 0, 0.0, rows / np.where(norm == 0, 1.0, norm))
-
-
-def similarity_join(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block: int = QUERY_BLOCK) -> DataFrame:
+def similarity_join(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """query_id, id, score: for each row of ``queries`` the k best rows of ``vectors`` (both id, vector), ties by id.
 
-    Queries go out in blocks of ``block`` vectors, a pass over ``vectors`` each: a matrix product a batch of rows, of which
-    each task keeps k a query. Vectors are of one length and without nulls; a zero vector scores 0.
+    Both sides are cut into blocks, every block of queries meets every block of vectors in a matrix product, and k rows a
+    query come out of it. Vectors are of one length; null ones are left out; a zero vector scores 0.
     """
-    spark, found = vectors.sparkSession, None
-
-    def part(ids: list, matrix: np.ndarray) -> DataFrame:
-        block_b = spark.sparkContext.broadcast((np.array(ids), _directions(matrix)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, own = block_b.value
-            best = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column("id").to_numpy()
-                scores = np.round(own @ _directions(_matrix(batch.column("vector"))).T, 6)
-                ids = np.broadcast_to(ids, scores.shape)
-                if best is not None:
-                    scores, ids = np.concatenate((best[0], scores), axis=1), np.concatenate((best[1], ids), axis=1)
-                order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
-            if best is not None:
-                n = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "id", "score"])
-
-        return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "query_id long, id long, score double")
-
-    held: list = []
-    rows = queries.select(F.col("id").cast("long"), "vector").toLocalIterator(prefetchPartitions=False)
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            one = part([r[0] for r in held], np.array([r[1] for r in held], np.float64))
-            found, held = one if found is None else found.unionByName(one), []
-    if held:
-        one = part([r[0] for r in held], np.array([r[1] for r in held], np.float64))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    both = [df.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL").withColumn("list", F.lit(0)) for df in (vectors, queries)]
+    n_splits = max(1, -(-vectors.count() // split_rows))
+    split = F.pmod(F.xxhash64("id"), F.lit(n_splits)).cast("int")
+    right = packed(both[0].withColumn("split", split), ["list", "split"])
+    left = packed(both[1].withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")), ["list", "deal"])
+    left = left.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    return best_pairs(left, right, k)

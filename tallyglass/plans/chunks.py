@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import index_state
 from tallyglass.operators import chunk, embed
+from tallyglass.operators.ivf import MAX_LISTS, IvfIndex
 from tallyglass.operators.vector_search import cosine, similarity_join, top_k
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
 from tallyglass.plans.vectors import _SCORED, _vectors, query_vector
+from tallyglass.storage import fresh_path
 
 
 def _windows(size: int, overlap: int) -> str:
@@ -122,6 +124,23 @@ def vector_similarity_join(spark, d):
     return similarity_join(vec, vec.where(F.col("id") % 20 == 0), 3)
 
 
+def _ivf(spark, d):
+    """An index of all embeddings, in a folder of its own."""
+    return IvfIndex(spark, fresh_path(spark, "ivf")).build(_vectors(spark, d))
+
+
+@query("ivf_search_all_lists", f"SELECT query_id, id, score FROM ({_JOIN}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
+def ivf_search_all_lists(spark, d):
+    asked = _vectors(spark, d).where(F.col("id") % 20 == 0)
+    return _ivf(spark, d).search(asked, 5, n_probes=MAX_LISTS)
+
+
+@query("ivf_search")
+def ivf_search(spark, d):
+    """Approximate: tests/test_ivf.py holds its recall against the exact join."""
+    return _ivf(spark, d).search(_vectors(spark, d).where(F.col("id") % 20 == 0), 10)
+
+
 @query("vector_score_histogram", f"SELECT CAST(floor(score * 10) AS BIGINT) AS bucket, count(*) AS n FROM ({_SCORED}) GROUP BY 1")
 def vector_score_histogram(spark, d):
     scored = _vectors(spark, d).select(cosine("vector", query_vector(spark, d)).alias("score"))

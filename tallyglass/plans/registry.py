@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tallyglass.plans import chunks, code, kernels, scans, vectors  # noqa: F401
+    from tallyglass.plans import chunks, code, kernels, scans, structure, vectors  # noqa: F401
