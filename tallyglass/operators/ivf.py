@@ -77,7 +77,7 @@ class IvfIndex:
         wanted = n_lists or max(1, round(n**0.5))
         least = rows.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(max(1, min(TRAIN_ROWS, TRAIN_VALUES // (width or 1))))
         sample = np.array([r[0] for r in least.select("vector").collect()], np.float64).reshape(-1, width or 1)
-        centres = fit(sample, min(wanted, MAX_LISTS))
+        centres = fit(sample, min(wanted, MAX_LISTS)) if n else np.zeros((0, 1))
         rows_c = [(i, c.tolist()) for i, c in enumerate(centres)]
         remove(self.spark, [self.path])
         self.spark.createDataFrame(rows_c, "list int, vector array<double>").coalesce(1).write.parquet(f"{self.path}/centres")
@@ -90,7 +90,10 @@ class IvfIndex:
 
     def append(self, vectors: DataFrame) -> IvfIndex:
         """One more segment, in the lists of the centres that are there."""
-        listed = near_lists(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")), self.centres(), self._meta()["copies"])
+        centres = self.centres()
+        if not len(centres):  # nothing was indexed so far, so the first vectors make the centres
+            return self if vectors.isEmpty() else self.build(vectors, copies=self._meta()["copies"])
+        listed = near_lists(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")), centres, self._meta()["copies"])
         path = fresh_path(self.spark, "ivf-listed")
         listed.write.parquet(path)
         listed = self.spark.read.schema(listed.schema).parquet(path)
@@ -119,6 +122,9 @@ class IvfIndex:
         """
         centres = self.centres()
         n_probes = min(len(centres), n_probes or max(1, round(len(centres) * PROBED)))
+        if not len(centres):
+            id_type = self._meta()["id_type"]
+            return self.spark.createDataFrame([], f"query_id {id_type}, id {id_type}, score double")
         lists = self.lists()
         asked = near_lists(queries.select("id", F.col("vector").cast("array<double>").alias("vector")), centres, n_probes)
         # all queries may probe one list, so they are dealt over sixteen keys before they become blocks

@@ -24,7 +24,7 @@ BLOCK, SPLIT_ROWS = 1024, 1 << 16
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column as rows of doubles."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def directions(rows: np.ndarray) -> np.ndarray:
@@ -46,6 +46,8 @@ def packed(rows: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, ids, np.concatenate(parts).tobytes()), arrow, strict=True)], schema=pa.schema(arrow))
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             marks = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             own, values, i = batch.column("id").to_pylist(), matrix(batch.column("vector")), 0
             while i < len(marks):
