@@ -56,13 +56,17 @@ def warnings(files: DataFrame) -> DataFrame:
     return parsed(files).where("error IS NOT NULL").select("path", "error")
 
 
+def first_matches(symbols: DataFrame) -> DataFrame:
+    """Of symbols of one name, the first in each file of a kind that can be extracted."""
+    first = F.row_number().over(Window.partitionBy("path").orderBy("start", F.desc("end")))
+    return symbols.where(_admitted(decl.EXTRACTED)).withColumn("__r", first).where("__r = 1").drop("__r")
+
+
 def definitions(files: DataFrame, symbol: str) -> DataFrame:
     """The first match in each file, in order of path: path, language, the symbol and its code."""
     rows = parsed(files).select("path", "language", "content", F.explode("symbols").alias("s")).select("path", "language", "content", "s.*")
-    rows = rows.where(_admitted(decl.EXTRACTED)).where(F.col("name") == symbol)
-    first = F.row_number().over(Window.partitionBy("path").orderBy("start", F.desc("end")))
     code = F.expr("substring(content, CAST(start AS INT) + 1, CAST(end - start AS INT))")
-    return rows.withColumn("__r", first).where("__r = 1").withColumn("code", code).drop("__r", "content").orderBy("path")
+    return first_matches(rows.where(F.col("name") == symbol)).withColumn("code", code).drop("content").orderBy("path")
 
 
 def extract(files: DataFrame, symbol: str) -> DataFrame:

@@ -24,6 +24,15 @@ def find(files: DataFrame, term: str) -> DataFrame:
     return grep(lines(files.where(F.col("content").contains(term))), term)
 
 
+def with_lines(places: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct (path, line, snippet) of ``places`` (path, line): only files that have one are cut into lines."""
+    from tallyglass.sources.files import lines
+
+    wanted = places.select("path", F.col("line").cast("int").alias("line")).distinct()
+    own = lines(files.join(wanted.select("path").distinct(), "path", "left_semi"))
+    return own.join(wanted, ["path", "line"]).select("path", "line", one_line(F.col("snippet")).alias("snippet"))
+
+
 def by_path(refs: DataFrame) -> DataFrame:
     """References per path, and their lines in order."""
     return refs.groupBy("path").agg(F.count("*").alias("n_refs"), F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x.cast("string")), ",").alias("lines"))
@@ -79,10 +88,14 @@ def cross_check_note(refs: DataFrame, declarations: DataFrame, listed: int = 5)
     return total.join(F.broadcast(shown), F.lit(True)).select("total", "shown", F.greatest(F.col("total") - listed, F.lit(0)).alias("more"))
 
 
-def priority_fallback(candidates: DataFrame, key: str = "query_id", priority: str = "priority") -> DataFrame:
-    """The rows of each key's first source that gave any: a chain of fallbacks as one plan."""
-    best = F.min(priority).over(Window.partitionBy(key))
-    return candidates.withColumn("__best", best).where(F.col(priority) == F.col("__best")).drop("__best")
+def priority_fallback(candidates: DataFrame, key: str = "query_id", priority: str = "priority", broadcast_keys: bool = False) -> DataFrame:
+    """The rows of each key's first source that gave any: a chain of fallbacks as one plan.
+
+    The least priority of each key is joined back; ``broadcast_keys`` says that the keys are few (a bound the caller knows),
+    and then no row of a hot key is shuffled. A null key or priority has no rows.
+    """
+    best = candidates.groupBy(F.col(key).alias("__key")).agg(F.min(priority).alias("__best"))  # combined before the shuffle
+    return candidates.join(F.broadcast(best) if broadcast_keys else best, (F.col(key) == F.col("__key")) & (F.col(priority) == F.col("__best"))).drop("__key", "__best")
 
 
 def resolve(symbols: DataFrame, wanted: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tallyglass.code_index import CodeIndex
+from tallyglass.functions.paths import in_scope
 from tallyglass.functions.routing import classify, has_failure_cue, is_class_like
 from tallyglass.functions.routing import budget as budget_columns
 from tallyglass.functions.routing import most_items
@@ -19,6 +21,7 @@ from tallyglass.operators import extract, outline, refs
 from tallyglass.operators.edges import calls, type_edges
 from tallyglass.functions.symbols import visibility
 from tallyglass.sources.files import guards
+from tallyglass.storage import stored
 
 # fixed values: confidence of the ways an answer is found
 CONFIDENCE = {"symbol": 0.85, "text": 0.50, "semantic": 0.40}
@@ -29,6 +32,9 @@ NO_AST = "AST search is not yet implemented; try --mode symbol or --mode text"
 RETRY = "retry with --path, or provide a fuller query"
 
 
+#: Rows of a listing that a report shows; the table in ``Answer.tables`` has all.
+SHOWN = 200
+
 DETAILS = {"signature_plus_outline": "Outline", "signature_plus_slices": "Slices"}
 
 
@@ -48,6 +54,15 @@ class Answer:
     chain: list[str] = field(default_factory=list)
     hint: str = ""
     total_lines: int = 0
+    #: All rows of sections that the report shows the first ``SHOWN`` of, and their numbers.
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    totals: dict[str, int] = field(default_factory=dict)
+
+    def hold(self, name: str, rows: DataFrame) -> list[Row]:
+        """Keep a section's table (stored once, whole) and give the rows that are shown."""
+        self.tables[name] = stored(rows, "answer")
+        self.totals[name] = self.tables[name].count()
+        return self.tables[name].orderBy("path").limit(SHOWN).collect()
 
     def used_lines(self) -> int:
         """About how many lines the report takes."""
@@ -69,13 +84,19 @@ def _scalar(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
-def ask(files: DataFrame, question: str, mode: str = "", budget: str = "auto", depth: int = 1, edges: DataFrame | None = None, search=None) -> Answer:
-    """Answer ``question`` over ``files``.
+def ask(
+    files: DataFrame, question: str, mode: str = "", budget: str = "auto", depth: int = 1, edges: DataFrame | None = None, search=None, index: CodeIndex | None = None, scope: str = ""
+) -> Answer:
+    """Answer ``question`` over ``files``, or the part of them in ``scope`` (a folder or file).
+
+    With an ``index`` of the files, definitions, references, callers and implementations come from its tables and nothing is
+    parsed; references are then whole identifiers.
 
     ``edges`` (caller, callee by name; path and line of the caller if known) gives callers, by default the calls in ``files``;
     ``search(question, k)`` gives semantic hits and may be missing.
     """
-    spark = files.sparkSession
+    spark, everywhere = files.sparkSession, files
+    files = files.where(in_scope(F.col("path"), scope))
     lines_by = budget_columns(F.lit(budget), F.lit(depth))
     row = _scalar(spark, classify(F.lit(question), F.lit(mode)).alias("mode"), has_failure_cue(F.lit(question)).alias("failing"), *[c.alias(k) for k, c in lines_by.items()], most_items(lines_by["reference_lines"]).alias("n_refs"), most_items(lines_by["caller_lines"]).alias("n_callers"))
     answer = Answer(question, row["mode"])
@@ -90,9 +111,14 @@ def ask(files: DataFrame, question: str, mode: str = "", budget: str = "auto", d
         return answer
     if row["mode"] == "symbol":
         answer.chain.append("symbol")
-        matches = extract.definitions(files.where(F.col("content").contains(question.strip())), question.strip()).take(6)
-        if matches:
-            _symbol(answer, files, matches, row, edges, depth)
+        name = question.strip()
+        found = extract.definitions(files.where(F.col("content").contains(name)), name) if index is None else index.definitions(name, files)
+        matches = stored(found, "definitions")
+        first = matches.orderBy("path").take(1)
+        if first:
+            others = matches.where(F.col("path") != first[0]["path"]).drop("code")
+            answer.sections["Other definitions"] = answer.hold("Other definitions", others)
+            _symbol(answer, files, first[0], row, edges, depth, index, scope, everywhere)
             return answer
     _text(answer, files, question.strip(), row["n_refs"], search)
     if row["mode"] == "symbol" and answer.status == "not_found":
@@ -100,11 +126,9 @@ def ask(files: DataFrame, question: str, mode: str = "", budget: str = "auto", d
     return answer
 
 
-def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edges: DataFrame | None, depth: int) -> None:
+def _symbol(answer: Answer, files: DataFrame, first: Row, row: Row, edges: DataFrame | None, depth: int, index: CodeIndex | None, scope: str, everywhere: DataFrame) -> None:
     spark = files.sparkSession
-    first = matches[0]
     answer.definition, answer.confidence, answer.language = first, CONFIDENCE["symbol"], first["language"]
-    answer.sections["Other definitions"] = matches[1:]
     own = files.where(F.col("path") == first["path"])
     size = first["end_line"] - first["start_line"] + 1
 
@@ -122,7 +146,7 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
         return extract.sliced(span).collect()
 
     def references() -> list[Row]:
-        found = refs.find(files, first["name"])
+        found = refs.find(files, first["name"]) if index is None else refs.with_lines(index.references([first["name"]], scope), files)
         declared = spark.createDataFrame([(first["path"], int(first["start_line"]))], "path string, line int")
         scored = refs.score(refs.cross_check(found, declared), first["path"])
         answer.refs_total = scored.count()
@@ -132,7 +156,7 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
         from tallyglass.operators.callers import incoming
 
         near = files.where(F.col("content").contains(first["name"])) if depth <= 1 else files
-        known = calls(near).select("caller", "callee", "path", F.col("declared").alias("line")) if edges is None else edges
+        known = edges if edges is not None else index.call_edges() if index is not None else calls(near).select("caller", "callee", "path", F.col("declared").alias("line"))
         root = spark.createDataFrame([(first["name"],)], "node string")
         found = incoming(known, root, max(1, depth)).withColumnRenamed("node", "name")
         if not {"path", "line"} <= set(known.columns):
@@ -145,7 +169,9 @@ def _symbol(answer: Answer, files: DataFrame, matches: list[Row], row: Row, edge
     def implementations() -> list[Row]:
         if not _scalar(spark, is_class_like(F.lit(first["type"])).alias("x"))["x"]:
             return []
-        return type_edges(files).where(F.col("super") == first["name"]).select(F.col("sub").alias("name"), "path", "line").orderBy("path", "line", "name").collect()
+        known = type_edges(everywhere) if index is None else index.type_edges()
+        subs = known.where((F.col("super") == first["name"]) & in_scope(F.col("path"), scope)).select(F.col("sub").alias("name"), "path", "line")
+        return sorted(answer.hold("Implementations", subs), key=lambda r: (r["path"], r["line"], r["name"]))
 
     with ThreadPoolExecutor(4) as pool:
         jobs = {"Details": pool.submit(details), "References": pool.submit(references), "Callers": pool.submit(callers), "Implementations": pool.submit(implementations)}

@@ -175,11 +175,14 @@ def answer(a, verbose: bool = False) -> str:
             size = s["end"] - s["start"]
             out.append(f"### {s['label']} (lines {s['start']}-{s['end']})\n{_fenced(a.language, s['code'])}" + (f"\n... {size} lines shown ...\n" if size else ""))
     others, callers_, subs = (a.sections.get(k, []) for k in ("Other definitions", "Callers", "Implementations"))
-    out += _section(f"## Other Definitions ({len(others)})", [f"- `{r['path']}` (`{r['type']}`, lines {r['start_line']}-{r['end_line']})" for r in others])
+    of = lambda name, rows: a.totals.get(name, len(rows))
+    more = lambda name, rows: [f"- ... and {of(name, rows) - len(rows)} more"] if of(name, rows) > len(rows) else []
+    listed = [f"- `{r['path']}` (`{r['type']}`, lines {r['start_line']}-{r['end_line']})" for r in others]
+    out += _section(f"## Other Definitions ({of('Other definitions', others)})", listed + more("Other definitions", others))
     out += _section(f"## References ({len(found)} shown of {a.refs_total}, ranked)", [f"- `{r['path']}:{r['line']}` score `{r['score']:.0f}` reason `{r['reason']}`" for r in found])
     where = [{"path": "", "line": 0, "reason": ""} | r.asDict() for r in callers_]
     out += _section(f"## Callers ({len(callers_)} shown, ranked)", [f"- `{r['name']}` (`{r['path']}:{r['line']}`) reason `{r['reason']}`" for r in where])
-    out += _section(f"## Implementations ({len(subs)})", [f"- `{r['name']}` (`{r['path']}:{r['line']}`)" for r in subs])
+    out += _section(f"## Implementations ({of('Implementations', subs)})", [f"- `{r['name']}` (`{r['path']}:{r['line']}`)" for r in subs] + more("Implementations", subs))
     for title in ("Files", "Semantic"):
         out += _section(f"## {title}", [f"- `{r['path']}`" for r in a.sections.get(title, [])])
     return "\n".join([*out, *_meta(a, verbose)])
