@@ -42,22 +42,25 @@ def _reasons(*parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), " + ")
 
 
-def score(refs: DataFrame, definition: Column | str) -> DataFrame:
-    """``refs`` with score and reason, against one definition file; files with many references are marked down."""
-    d = F.lit(definition) if isinstance(definition, str) else definition
-    path = F.col("path")
-    count = F.count("*").over(Window.partitionBy("path"))
+def scored(refs: DataFrame, definition: Column, in_file: Column) -> DataFrame:
+    """``refs`` with score and reason, against a definition file, where ``in_file`` is the number of references in a row's file."""
+    d, path = definition, F.col("path")
     call, same = F.col("snippet").contains("("), path == d
     package = ~same & (paths.directory(path) == paths.directory(d))
     test = paths.is_test_file(path)
     total = (
         F.when(call, DIRECT_CALL).otherwise(0.0) + F.when(same | package, SAME_PLACE).otherwise(0.0) + F.when(d == "", 0.0).otherwise(paths.proximity(path, d))
-        + F.when(test, TEST_ANCHOR).otherwise(0.0) - F.when(count > DUPLICATE_FILES, DUPLICATE_PENALTY).otherwise(0.0)
+        + F.when(test, TEST_ANCHOR).otherwise(0.0) - F.when(in_file > DUPLICATE_FILES, DUPLICATE_PENALTY).otherwise(0.0)
     )
     reason = _reasons(F.when(call, F.lit("direct call")), F.when(same, F.lit("same file")).when(package, F.lit("same package")), F.when(test, F.lit("test anchor")))
     return refs.withColumn("score", F.round(total, 6)).withColumn("reason", reason)
 
 
+def score(refs: DataFrame, definition: Column | str) -> DataFrame:
+    """:func:`scored` against one definition file; files with many references are marked down."""
+    return scored(refs, F.lit(definition) if isinstance(definition, str) else definition, F.count("*").over(Window.partitionBy("path")))
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "path", "line", "snippet").limit(k)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyglass import batch
 from tallyglass.operators import containment, postings
 from tallyglass.operators.enclosing import enclosing
+from tallyglass.plans import code as _code
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
 from tallyglass.storage import fresh_path
@@ -94,3 +96,28 @@ def document_word_sets(spark, d):
     """Documents that have all words of a benchmark item."""
     words = lambda df, key: df.select(F.col(key).alias("set_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("element"))
     return containment.contained(words(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id"), words(v.documents(spark, d), "doc_id"))
+
+
+@query("ask_batch", f"""WITH {v.FILES}, {v.LINES},
+  w AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM conversations),
+  l AS (SELECT conv_id, turn, any_value(text) AS text, arg_min(word, (-length(word), word)) AS word FROM w GROUP BY 1, 2),
+  q AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 2 = 0 THEN word ELSE trim(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+')) END AS term FROM l),
+  a AS (SELECT *, CASE WHEN term = '' OR contains(term, ' ') THEN 'text' ELSE 'symbol' END AS mode FROM q),
+  hits AS (SELECT t.term, path, line, {v.squeeze('snippet')} AS snippet FROM (SELECT DISTINCT term FROM a WHERE term <> '') t JOIN lines ON contains(snippet, t.term)),
+  known AS (SELECT term, count(*) AS refs_total, min(path) AS d FROM hits GROUP BY term),
+  counted AS (SELECT hits.*, refs_total, d, count(*) OVER (PARTITION BY term, path) AS n FROM hits JOIN known USING (term)),
+  scored AS (SELECT *, round(CASE WHEN contains(snippet, '(') THEN 3.0 ELSE 0 END + CASE WHEN {_code._DIR('path')} = {_code._DIR('d')} THEN 2.0 ELSE 0 END + {_code._PROX}
+    + CASE WHEN {_code._TEST} THEN 1.0 ELSE 0 END - CASE WHEN n > 2 THEN 2.0 ELSE 0 END, 6) AS score FROM counted),
+  best AS (SELECT term, refs_total, path, line, score, row_number() OVER (PARTITION BY term ORDER BY score DESC, path, line, snippet) AS rank FROM scored QUALIFY rank = 1)
+  SELECT query_id, mode, CASE WHEN refs_total IS NOT NULL THEN 'ok' WHEN mode = 'symbol' THEN 'not_found_exact' ELSE 'not_found' END AS status,
+    CASE WHEN refs_total IS NOT NULL THEN 0.5 ELSE 0.0 END AS confidence, least(coalesce(refs_total, 0), 10) AS n_shown, coalesce(refs_total, 0) AS refs_total, path AS best_path, line AS best_line, score AS best_score
+  FROM a LEFT JOIN best USING (term)""")
+def ask_batch(spark, d):
+    """Questions of conversations: the longest word of even turns, the first two words of odd ones."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0))
+    longest = F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word"))))["word"]
+    two = F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0)
+    asked = c.where(F.size(words) > 0).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(F.col("turn") % 2 == 0, longest).otherwise(two).alias("question"))
+    out = batch.ask_batch(v.files(spark, d), asked)
+    return out.select("query_id", "mode", "status", "confidence", "n_shown", "refs_total", "best_path", "best_line", "best_score")
