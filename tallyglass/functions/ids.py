@@ -34,3 +34,8 @@ def rows_fingerprint(parts: Column) -> Column:
 
 def content_cut(c: Column, most: int = 65_535) -> Column:
     return F.substring(c, 1, most)
+
+
+def version_key(version: Column) -> Column:
+    """Numbers of a dotted version, to compare by; null where a part isn't a number."""
+    return F.when(version.rlike("^[0-9]+([.][0-9]+)*$"), F.transform(F.split(version, "[.]"), lambda x: x.cast("int")))

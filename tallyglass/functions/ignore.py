@@ -14,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyglass.functions.text import strip
+
 # fixed values: patterns that hold everywhere
 DEFAULT_PATTERNS = ".git node_modules vendor dist build .next __pycache__ .pytest_cache .mypy_cache target .idea .vscode .DS_Store".split()
 
@@ -27,6 +29,13 @@ def normalise(raw: str) -> str | None:
     return p or None
 
 
+def normalised(raw: Column) -> Column:
+    """:func:`normalise` for a column: null for comments, negations and nothing."""
+    p = strip(raw)
+    cut = F.regexp_replace(F.regexp_replace(p, "/$", ""), r"^\./", "")
+    return F.when((p != "") & ~p.rlike("^[#!]") & (cut != ""), cut)
+
+
 def rule_set(extra: Iterable[str] = (), *files: str) -> list[str]:
     """Defaults, extra patterns and the lines of ignore files, in order, each once."""
     raw = [*DEFAULT_PATTERNS, *extra, *(line for text in files for line in text.split("\n"))]

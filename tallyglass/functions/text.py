@@ -76,3 +76,38 @@ def split_at_lines(text: str, most: int) -> list[str]:
         parts.append(text[:cut])
         text = text[cut:]
     return parts + ([text] if text else [])
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds below a minute, minutes below an hour, else hours and minutes."""
+    whole = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, whole(seconds, "s")).when(seconds < 3600, whole(seconds / 60, "m")).otherwise(F.concat(whole(seconds / 3600, "h "), whole(seconds % 3600 / 60, "m")))
+
+
+def least_cap(a: Column, b: Column) -> Column:
+    """The lesser of two limits, of which one that isn't positive doesn't count."""
+    return F.when(a <= 0, b).when(b <= 0, a).otherwise(F.least(a, b))
+
+
+def split_sizes(text: Column, most: int) -> Column:
+    """Parts of at most ``most`` characters as (start, length), cut behind the last line break that fits, else at the limit; an empty text has none.
+
+    Folded over the lengths of the lines: a part takes whole lines while they fit, and a longer line is cut by itself.
+    """
+    lines_ = F.split(text, "\n", -1)
+    lengths = F.transform(lines_, lambda line, i: F.length(line) + (i < F.size(lines_) - 1).cast("int"))
+    part = "array<struct<start:int,length:int>>"
+    empty = F.struct(F.array().cast(part).alias("parts"), F.lit(0).alias("start"), F.lit(0).alias("held"))
+
+    def closed(s, upto):
+        return F.when(upto > 0, F.concat(s["parts"], F.array(F.struct(s["start"].alias("start"), upto.alias("length"))))).otherwise(s["parts"])
+
+    def step(s, n):
+        fits = s["held"] + n <= most
+        whole = F.floor((n - 1) / most).cast("int")  # full parts that a long line gives by itself
+        begin = s["start"] + s["held"]
+        cuts = F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), lambda k: F.struct((begin + (k - 1) * most).cast("int").alias("start"), F.lit(most).alias("length")))
+        parts = F.when(fits, s["parts"]).when(whole > 0, F.concat(closed(s, s["held"]), cuts)).otherwise(closed(s, s["held"]))
+        return F.struct(parts.alias("parts"), F.when(fits, s["start"]).otherwise(begin + whole * most).cast("int").alias("start"), F.when(fits, s["held"] + n).otherwise(n - whole * most).cast("int").alias("held"))
+
+    return F.aggregate(lengths, empty, step, lambda s: closed(s, s["held"]))

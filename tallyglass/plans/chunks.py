@@ -147,32 +147,36 @@ def vector_score_histogram(spark, d):
     return scored.groupBy(F.floor(F.col("score") * 10).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_STATES = [
-    (1, True, 10, 3, 9, "abcdefghij", "f1", "abcdefghij", "f1"), (2, True, 59, 3, 9, "abcdefghij", "f1", "zbcdefghij", "f1"), (3, True, 60, 3, 9, " ", "f1", "abc", "f1"),
-    (4, True, 7200, 3, 9, "abc", "f1", "", "f1"), (5, True, 86400, 3, 9, "abc", "", "abc", "f1"), (6, True, 200000, 3, 9, "abc", "f1", "abc", " "),
-    (7, True, 3599, 3, 9, "abc", "f1", "abc", "f2"), (8, True, 3600, 3, 9, "abc", "f1", "xyz", "f2"), (9, False, 0, 0, 0, None, None, "abc", "f1"), (10, True, 61, 1, 1, " abc ", " f1", "abc", "f1 "),
-]
-_STATE_COLUMNS = "id int, has_meta boolean, seconds int, files int, chunks int, commit string, fp string, cur string, curfp string"
-_STATE_SQL = f"""s AS (SELECT id, has_meta, seconds, files, chunks, trim(coalesce(commit_sha, '')) AS a, trim(coalesce(fp, '')) AS x, trim(coalesce(cur, '')) AS b, trim(coalesce(curfp, '')) AS y
-  FROM {v.values('id, has_meta, seconds, files, chunks, commit_sha, fp, cur, curfp', _STATES)})"""
+# states of an index that both engines derive from events by the same expressions
+_STATES = {
+    "event_id": "event_id", "has_meta": "event_id % 10 <> 9", "seconds": "event_id * 37", "files": "user_id", "chunks": "event_id",
+    "commit": "CASE event_id % 6 WHEN 0 THEN ' ' ELSE ' ' || md5(CAST(user_id % 5 AS STRING)) END", "fp": "CASE event_id % 8 WHEN 0 THEN '' ELSE event_type || ' ' END",
+    "cur": "CASE event_id % 7 WHEN 0 THEN '' ELSE md5(CAST(user_id % 3 AS STRING)) END", "curfp": "CASE event_id % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'view' ELSE event_type END",
+}
+_STATE_SQL = f"""e AS (SELECT {', '.join(f'{x} AS {"commit_sha" if c == "commit" else c}' for c, x in _STATES.items())} FROM events),
+  s AS (SELECT event_id, has_meta, seconds, files, chunks, trim(commit_sha) AS a, trim(fp) AS x, trim(cur) AS b, trim(curfp) AS y FROM e)"""
+
+
+def _states(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(*[F.expr(x).alias(c) for c, x in _STATES.items()])
+
+
 _AGE = "CASE WHEN {0} < 60 THEN 'less than a minute' WHEN {0} < 3600 THEN CAST({0} // 60 AS VARCHAR) || 'm' WHEN {0} < 86400 THEN CAST({0} // 3600 AS VARCHAR) || 'h' ELSE CAST({0} // 86400 AS VARCHAR) || 'd' END"
 
 
-@query("staleness", f"WITH {_STATE_SQL} SELECT id, (NOT has_meta OR x = '' OR y = '' OR x <> y OR a = '' OR b = '' OR a <> b) AS stale FROM s")
+@query("staleness", f"WITH {_STATE_SQL} SELECT event_id, (NOT has_meta OR x = '' OR y = '' OR x <> y OR a = '' OR b = '' OR a <> b) AS stale FROM s")
 def staleness(spark, d):
-    s = v.literals(spark, _STATE_COLUMNS, _STATES)
-    return s.select("id", index_state.is_stale(*[F.col(c) for c in ("has_meta", "commit", "fp", "cur", "curfp")]).alias("stale"))
+    return _states(spark, d).select("event_id", index_state.is_stale(*[F.col(c) for c in ("has_meta", "commit", "fp", "cur", "curfp")]).alias("stale"))
 
 
 @query("staleness_text", f"""WITH {_STATE_SQL}, r AS (SELECT *, {_AGE.format('(seconds // 60 * 60)')} AS age, concat_ws(' and ',
     CASE WHEN a = '' THEN 'missing indexed commit metadata' WHEN b = '' THEN 'current HEAD unavailable' WHEN a <> b THEN 'HEAD is now ' || substr(b, 1, 7) END,
     CASE WHEN x = '' THEN 'missing indexed ignore metadata' WHEN y = '' THEN 'current ignore rules unavailable' WHEN x <> y THEN 'ignore rules changed' END) AS why,
     ' (' || files || ' files, ' || chunks || ' chunks)' AS n FROM s)
-  SELECT id, CASE WHEN NOT has_meta THEN 'not indexed' WHEN why = '' THEN 'up to date — indexed ' || age || ' ago' || n
+  SELECT event_id, CASE WHEN NOT has_meta THEN 'not indexed' WHEN why = '' THEN 'up to date — indexed ' || age || ' ago' || n
     ELSE 'stale — indexed ' || age || ' ago' || CASE WHEN a <> '' AND b <> '' AND a <> b THEN ' at ' || substr(a, 1, 7) ELSE '' END || ', ' || why || n END AS info FROM r""")
 def staleness_text(spark, d):
-    s = v.literals(spark, _STATE_COLUMNS, _STATES)
-    return s.select("id", index_state.describe(*[F.col(c) for c in ("has_meta", "seconds", "files", "chunks", "commit", "fp", "cur", "curfp")]).alias("info"))
+    return _states(spark, d).select("event_id", index_state.describe(*[F.col(c) for c in ("has_meta", "seconds", "files", "chunks", "commit", "fp", "cur", "curfp")]).alias("info"))
 
 
 @query("age_bucket", f"SELECT event_id, {_AGE.format('(event_id * 37)')} AS age FROM events")

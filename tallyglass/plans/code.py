@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions import paths, routing, symbols, text
-from tallyglass.operators import callers, diagnostics, implements, outline, refs
+from tallyglass.operators import callers, diagnostics, implements, multi_find, outline, refs
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
 
@@ -139,11 +139,12 @@ def implements_subtypes(spark, d):
     return implements.subtypes(_type_edges(spark, d), spark.createDataFrame([("r1",), ("n3",)], "super string"))
 
 
-@query("implements_fallback", f"""WITH {_TYPES}, a AS (SELECT super AS query_id, sub AS name FROM t WHERE super IN ('r1', 'r99')), b AS (SELECT 'r1' AS query_id, 'x' AS name UNION ALL SELECT 'r99', 'y' UNION ALL SELECT 'r99', 'y')
+@query("implements_fallback", """WITH a AS (SELECT c_nationkey AS query_id, c_name AS name FROM customer WHERE c_acctbal > 9900), b AS (SELECT s_nationkey AS query_id, s_name AS name FROM supplier)
   SELECT * FROM a UNION ALL SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM a)""")
 def implements_fallback(spark, d):
-    first = implements.subtypes(_type_edges(spark, d), spark.createDataFrame([("r1",), ("r99",)], "super string")).select(F.col("super").alias("query_id"), F.col("sub").alias("name"))
-    return implements.with_fallback(first, spark.createDataFrame([("r1", "x"), ("r99", "y"), ("r99", "y")], "query_id string, name string"))
+    """Nations without a rich customer answer with their suppliers."""
+    first = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("query_id"), F.col("c_name").alias("name"))
+    return implements.with_fallback(first, spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("query_id"), F.col("s_name").alias("name")))
 
 
 @query("implements_distinct", "SELECT l_orderkey AS query_id, 'p' || l_partkey AS path, l_returnflag AS name, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2, 3")
@@ -177,17 +178,20 @@ def symbol_first(spark, d):
     return v.part_symbols(spark, d).groupBy("name").agg(F.min_by("p_partkey", F.struct("path", "p_partkey")).alias("p_partkey"))
 
 
-_NAMES = [("Foo.Bar(int)", ""), ("(*Foo).Bar", ""), ("Bar", "Foo"), ("Bar", "Baz"), ("pkg.Foo.Bar", ""), ("Foo", ""), ("Bar()", "(*Foo)")]
-_TRIM = "regexp_replace(name, '(\\w|\\))\\([^()]*\\).*$', '\\1')"
+# names of symbols that both engines derive from parts by the same expressions
+_WORD = "split_part(p_name, ' ', 2)"
+_NAMED = f"CASE p_partkey % 5 WHEN 0 THEN p_type || '.' || {_WORD} || '(int)' WHEN 1 THEN '(*' || p_type || ').' || {_WORD} WHEN 2 THEN {_WORD} WHEN 3 THEN 'pkg.' || p_type || '.' || {_WORD} ELSE {_WORD} || '()' END"
+_OWNER = "CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_type ELSE '(*' || p_type || ')' END"
 
 
-@query("caller_symbol_match", f"""WITH n AS (SELECT *, CASE WHEN starts_with(name, '(') THEN name ELSE regexp_replace(name, '\\(.*$', '') END AS t FROM {v.values('name, container', _NAMES)})
-  SELECT name, container, split_part(t, '.', -1) AS base, regexp_replace(CASE WHEN contains(t, '.') THEN regexp_replace(t, '\\.[^.]*$', '') ELSE '' END, '[()*]', '', 'g') AS owner,
-    split_part(t, '.', -1) = 'Bar' AS bare, split_part(t, '.', -1) = 'Bar' AND (regexp_replace(CASE WHEN contains(t, '.') THEN regexp_replace(t, '\\.[^.]*$', '') ELSE '' END, '[()*]', '', 'g') = 'Foo' OR regexp_replace(container, '[()*]', '', 'g') = 'Foo') AS qualified FROM n""")
+@query("caller_symbol_match", f"""WITH p AS (SELECT p_partkey, {_NAMED} AS name, {_OWNER} AS container FROM part),
+  n AS (SELECT *, CASE WHEN starts_with(name, '(') THEN name ELSE regexp_replace(name, '\\(.*$', '') END AS t FROM p),
+  o AS (SELECT *, split_part(t, '.', -1) AS base, regexp_replace(CASE WHEN contains(t, '.') THEN regexp_replace(t, '\\.[^.]*$', '') ELSE '' END, '[()*]', '', 'g') AS owner FROM n)
+  SELECT p_partkey, base, owner, base = 'gear' AS bare, base = 'gear' AND (owner = 'ECONOMY' OR regexp_replace(container, '[()*]', '', 'g') = 'ECONOMY') AS qualified FROM o""")
 def caller_symbol_match(spark, d):
-    n = v.literals(spark, "name string, container string", _NAMES)
+    n = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_NAMED).alias("name"), F.expr(_OWNER).alias("container"))
     name, c = F.col("name"), F.col("container")
-    return n.select("name", "container", symbols.base_part(name).alias("base"), symbols.container_part(name).alias("owner"), symbols.caller_matches(name, c, F.lit("Bar")).alias("bare"), symbols.caller_matches(name, c, F.lit("Foo.Bar")).alias("qualified"))
+    return n.select("p_partkey", symbols.base_part(name).alias("base"), symbols.container_part(name).alias("owner"), symbols.caller_matches(name, c, F.lit("gear")).alias("bare"), symbols.caller_matches(name, c, F.lit("ECONOMY.gear")).alias("qualified"))
 
 
 @query("node_identity", f"WITH {v.PART_SYMBOLS} SELECT path || ':' || kind || ':' || p_partkey % 7 || ':' || name AS identity, count(*) AS n FROM symbols GROUP BY 1")
@@ -196,12 +200,18 @@ def node_identity(spark, d):
     return out.groupBy("identity").agg(F.count("*").alias("n"))
 
 
-@query("visibility", f"""SELECT name, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'public' ELSE 'private' END AS go, CASE WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END AS py, CASE WHEN starts_with(sig, 'pub') THEN 'public' ELSE 'private' END AS rs
-  FROM {v.values('name, sig', [('Foo', 'pub fn Foo()'), ('foo', 'fn foo()'), ('__init__', 'def'), ('_x', 'pub(crate) fn')])}""")
+_IDENT = f"CASE p_partkey % 4 WHEN 0 THEN upper({_WORD}) WHEN 1 THEN {_WORD} WHEN 2 THEN '__' || {_WORD} ELSE '#' || {_WORD} END"
+_SIGNATURE = "CASE p_size % 5 WHEN 0 THEN 'pub fn x' WHEN 1 THEN 'private x' WHEN 2 THEN 'static protected x' WHEN 3 THEN 'public x' ELSE 'publicly x' END"
+
+
+@query("visibility", f"""WITH n AS (SELECT p_partkey, {_IDENT} AS name, {_SIGNATURE} AS sig FROM part)
+  SELECT p_partkey, CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'public' ELSE 'private' END AS go, CASE WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END AS py, CASE WHEN starts_with(sig, 'pub') THEN 'public' ELSE 'private' END AS rs,
+    CASE WHEN contains(sig, 'private') THEN 'private' WHEN contains(sig, 'protected') THEN 'protected' WHEN starts_with(sig, 'public ') THEN 'public' ELSE 'package' END AS java,
+    CASE WHEN contains(sig, 'private') THEN 'private' WHEN contains(sig, 'protected') THEN 'protected' WHEN starts_with(name, '#') THEN 'private' ELSE 'public' END AS ts FROM n""")
 def visibility(spark, d):
-    n = v.literals(spark, "name string, sig string", [("Foo", "pub fn Foo()"), ("foo", "fn foo()"), ("__init__", "def"), ("_x", "pub(crate) fn")])
+    n = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_IDENT).alias("name"), F.expr(_SIGNATURE).alias("sig"))
     f = lambda lang: symbols.visibility(F.lit(lang), F.col("name"), F.col("sig"))
-    return n.select("name", f("go").alias("go"), f("python").alias("py"), f("rust").alias("rs"))
+    return n.select("p_partkey", f("go").alias("go"), f("python").alias("py"), f("rust").alias("rs"), f("java").alias("java"), f("typescript").alias("ts"))
 
 
 @query("diag_latest", f"WITH {v.DIAGNOSTICS} SELECT uri, event_id, severity FROM diags QUALIFY row_number() OVER (PARTITION BY uri ORDER BY ts DESC, event_id DESC) = 1")
@@ -274,27 +284,31 @@ def expansion_reason(spark, d):
     return v.members(spark, d).select("name", "visibility", outline.reason(F.col("name"), F.col("visibility")).alias("reason")).distinct()
 
 
-_QUERIES = [("auth.Login", ""), ("pkg/auth", ""), ("main.go", ""), ("'quoted'", ""), ("func {", ""), ("find the thing", ""), ("a . b", ""), ("", ""), ("  ", "symbol"), ("Foo", "bogus"), ("x y", "path"), ("README.MD", ""), ("fix the bug", ""), ("Default", "auto")]
+# requests that both engines derive from conversations by the same expressions
+_ASKED = """CASE turn % 9 WHEN 0 THEN split_part(text, ' ', 1) WHEN 1 THEN text WHEN 2 THEN split_part(text, ' ', 1) || ' . ' || role WHEN 3 THEN 'pkg/' || role WHEN 4 THEN role || '.PY'
+  WHEN 5 THEN chr(39) || role WHEN 6 THEN role || ' {' WHEN 7 THEN ' ' ELSE role || '.' || role END"""
+_MODE = "CASE conv_id % 5 WHEN 0 THEN 'symbol' WHEN 1 THEN 'path' WHEN 2 THEN 'bogus' ELSE '' END"
 _EXTS = ", ".join(f"'{e}'" for e in routing.PATH_EXTENSIONS)
 
 
-@query("classify_query", f"""WITH s AS (SELECT q, m, {v.strip('q')} AS t FROM {v.values('q, m', _QUERIES)})
-  SELECT q, m, CASE WHEN m IN ('symbol', 'path', 'text', 'ast') THEN m WHEN t = '' THEN 'text' WHEN contains(t, '/') OR lower(regexp_extract(t, '(\\.[^./]*)$', 1)) IN ({_EXTS}) THEN 'path'
-    WHEN starts_with(t, '"') OR starts_with(t, '''') THEN 'text' WHEN contains(t, '{{') OR contains(t, '}}') THEN 'ast' WHEN contains(t, ' ') AND NOT regexp_matches(t, '^[\\p{{L}}\\p{{N}}_]+( *\\. *[\\p{{L}}\\p{{N}}_]+)+$') THEN 'text' ELSE 'symbol' END AS intent FROM s""")
+@query("classify_query", f"""WITH r AS (SELECT conv_id, turn, {_ASKED} AS q, {_MODE} AS m FROM conversations), s AS (SELECT *, {v.strip('q')} AS t FROM r)
+  SELECT conv_id, turn, CASE WHEN m IN ('symbol', 'path', 'text', 'ast') THEN m WHEN t = '' THEN 'text' WHEN contains(t, '/') OR lower(regexp_extract(t, '(\\.[^./]*)$', 1)) IN ({_EXTS}) THEN 'path'
+    WHEN starts_with(t, '"') OR starts_with(t, chr(39)) THEN 'text' WHEN contains(t, '{{') OR contains(t, '}}') THEN 'ast' WHEN contains(t, ' ') AND NOT regexp_matches(t, '^[\\p{{L}}\\p{{N}}_]+( *\\. *[\\p{{L}}\\p{{N}}_]+)+$') THEN 'text' ELSE 'symbol' END AS intent FROM s""")
 def classify_query(spark, d):
-    s = v.literals(spark, "q string, m string", _QUERIES)
-    return s.select("q", "m", routing.classify(F.col("q"), F.col("m")).alias("intent"))
+    s = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.expr(_ASKED).alias("q"), F.expr(_MODE).alias("m"))
+    return s.select("conv_id", "turn", routing.classify(F.col("q"), F.col("m")).alias("intent"))
 
 
-_BUDGETS = [(f, n) for f in ("small", "medium", "large", "auto", "") for n in (0, 1, 2, 3, 9)]
+_FLAG = "CASE event_type WHEN 'click' THEN 'small' WHEN 'view' THEN 'medium' WHEN 'error' THEN 'large' WHEN 'signup' THEN 'auto' ELSE '' END"
 
 
-@query("budget", f"""WITH b AS (SELECT flag, depth, CAST(least(CASE flag WHEN 'small' THEN 80 WHEN 'medium' THEN 120 WHEN 'large' THEN 160 ELSE CASE WHEN depth > 1 THEN 120 ELSE 80 END END + 20 * greatest(depth - 1, 0), 240) AS INT) AS total_lines FROM {v.values('flag, depth', _BUDGETS)}),
+@query("budget", f"""WITH f AS (SELECT event_id, {_FLAG} AS flag, event_id % 10 AS depth FROM events),
+  b AS (SELECT *, CAST(least(CASE flag WHEN 'small' THEN 80 WHEN 'medium' THEN 120 WHEN 'large' THEN 160 ELSE CASE WHEN depth > 1 THEN 120 ELSE 80 END END + 20 * greatest(depth - 1, 0), 240) AS INT) AS total_lines FROM f),
   c AS (SELECT *, CAST(total_lines * 50 // 100 AS INT) AS definition_lines, CAST(total_lines * 25 // 100 AS INT) AS reference_lines, CAST(total_lines * 15 // 100 AS INT) AS caller_lines FROM b)
-  SELECT *, total_lines - definition_lines - reference_lines - caller_lines AS meta_lines, greatest(reference_lines // 2, 1) AS n_refs FROM c""")
+  SELECT event_id, total_lines, definition_lines, reference_lines, caller_lines, total_lines - definition_lines - reference_lines - caller_lines AS meta_lines, greatest(reference_lines // 2, 1) AS n_refs FROM c""")
 def budget(spark, d):
-    parts = routing.budget(F.col("flag"), F.col("depth"))
-    out = v.literals(spark, "flag string, depth int", _BUDGETS).select("flag", "depth", *[c.alias(k) for k, c in parts.items()])
+    asked = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_FLAG).alias("flag"), (F.col("event_id") % 10).cast("int").alias("depth"))
+    out = asked.select("event_id", *[c.alias(k) for k, c in routing.budget(F.col("flag"), F.col("depth")).items()])
     return out.withColumn("n_refs", routing.most_items(F.col("reference_lines")))
 
 
@@ -306,9 +320,11 @@ def failure_cue(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", routing.has_failure_cue(F.col("text")).alias("cue"))
 
 
-@query("class_like", "SELECT k, lower(k) IN ('class', 'struct', 'interface', 'module', 'trait', 'enum') AS class_like FROM " + v.values("k", [("Class",), ("enum",), ("function",)]))
+@query("class_like", f"WITH {v.PART_SYMBOLS}, k AS (SELECT p_partkey, CASE kind WHEN 12 THEN 'Function' WHEN 6 THEN 'method' WHEN 5 THEN 'Class' WHEN 11 THEN 'INTERFACE' WHEN 10 THEN 'enum' ELSE 'struct ' END AS k FROM symbols) SELECT p_partkey, lower(k) IN ('class', 'struct', 'interface', 'module', 'trait', 'enum') AS class_like FROM k")
 def class_like(spark, d):
-    return v.literals(spark, "k string", [("Class",), ("enum",), ("function",)]).select("k", routing.is_class_like(F.col("k")).alias("class_like"))
+    k = F.col("kind")
+    label = F.when(k == 12, "Function").when(k == 6, "method").when(k == 5, "Class").when(k == 11, "INTERFACE").when(k == 10, "enum").otherwise("struct ")
+    return v.part_symbols(spark, d).select("p_partkey", routing.is_class_like(label).alias("class_like"))
 
 
 @query("request_response", "SELECT a.event_id AS request_id, min(b.event_id) AS response_id FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_id = a.event_id + 150 WHERE a.event_type = 'click' GROUP BY 1")
@@ -339,8 +355,9 @@ def symbol_summary(spark, d):
 def receiver_join(spark, d):
     s = v.part_symbols(spark, d)
     owners = s.groupBy("container").agg(F.count("*").alias("n"))  # pre-aggregated: one row for each receiver
-    types = s.select(F.col("container").alias("type_name")).distinct()
-    return types.join(owners, F.col("container").contains(F.col("type_name"))).groupBy("type_name").agg(F.sum("n").alias("n"))
+    types = s.select(F.col("container").alias("term")).distinct()
+    found = multi_find.find(owners.select(F.col("container").alias("path"), F.lit(0).alias("line"), F.col("container").alias("snippet")), types)
+    return found.join(owners, F.col("path") == F.col("container")).groupBy(F.col("term").alias("type_name")).agg(F.sum("n").alias("n"))
 
 
 @query("grep_binary_safe", f"WITH {v.FILES}, {v.LINES} SELECT split_part(path, '/', 2) AS lang, count(*) AS n FROM lines WHERE contains(snippet, '|') GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import split_at_lines
+from tallyglass.functions.text import split_sizes
 from tallyglass.operators import extract
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
@@ -19,16 +19,6 @@ def symbols_html(spark, d):
     return extract.listed(_pages(spark, d)).select("path", "type", "name", "start_line", "end_line", "container")
 
 
-@query("symbols_braces")
-def symbols_braces(spark, d):
-    return extract.parsed(v.files(spark, d).where("NOT path LIKE '%.py'")).select("path", "language", F.size("symbols").alias("n"))
-
-
-@query("symbols_python")
-def symbols_python(spark, d):
-    return extract.parsed(v.files(spark, d).where("path LIKE '%.py'")).select("path", F.size("symbols").alias("n"), F.col("error").isNotNull().alias("unreadable"))
-
-
 @query("definitions_html")
 def definitions_html(spark, d):
     return extract.definitions(_pages(spark, d), "title").select("path", "name", "start_line", "end_line", "code")
@@ -41,18 +31,11 @@ def file_summary_html(spark, d):
     return out.select("path", "total_lines", F.array_join(pairs, ",").alias("symbol_counts"))
 
 
-@query("ast_chunks")
-def ast_chunks(spark, d):
-    return extract.syntax_chunks(v.files(spark, d)).select("path", "start_line", "end_line", "node_type", F.length("content").alias("n"))
-
-
-@query("slices")
-def slices(spark, d):
-    spans = v.files(spark, d).withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(F.split("content", "\n", -1)))
-    return extract.sliced(spans).select("path", "label", "start", "end", "reason")
-
-
-@query("split_text")
+@query("split_text", f"""WITH RECURSIVE {v.FILES}, cut(path, part, n, rest) AS (
+  SELECT path, 0, CAST(0 AS BIGINT), content FROM files
+  UNION ALL SELECT path, part + 1, CAST(k AS BIGINT), substr(rest, k + 1) FROM (
+    SELECT path, part, rest, CASE WHEN length(rest) <= 1000 THEN length(rest) WHEN contains(substr(rest, 1, 1000), chr(10)) THEN 1001 - strpos(reverse(substr(rest, 1, 1000)), chr(10)) ELSE 1000 END AS k FROM cut WHERE rest <> ''))
+  SELECT path, part - 1 AS part, n FROM cut WHERE part > 0""")
 def split_text(spark, d):
-    parts = F.udf(lambda t: split_at_lines(t or "", 1000), "array<string>", useArrow=True)
-    return v.files(spark, d).select("path", F.posexplode(parts("content")).alias("part", "content")).select("path", "part", F.length("content").alias("n"))
+    parts = v.files(spark, d).select("path", F.posexplode(split_sizes(F.col("content"), 1000)).alias("part", "p"))
+    return parts.select("path", F.col("part").cast("long").alias("part"), F.col("p.length").cast("long").alias("n"))

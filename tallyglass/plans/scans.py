@@ -51,16 +51,14 @@ def ignore_match_walk(spark, d):
     return v.files(spark, d).where(ignore.ignored(F.col("path"), PATTERNS, walk=True)).agg(F.count("*").alias("n"))
 
 
-_RAW = ["  vendor/ ", "# note", "!keep", "", "./out", "a/b/", "*.log"]
+# inputs that both engines derive from the files by the same expression
+_RAW = "CASE doc_id % 6 WHEN 0 THEN '  ' || path || '/ ' WHEN 1 THEN '# ' || path WHEN 2 THEN '!' || path WHEN 3 THEN ' ' WHEN 4 THEN './' || path ELSE path END"
 
 
-@query("ignore_normalise", f"""SELECT raw, regexp_replace(regexp_replace({v.strip('raw')}, '/$', ''), '^\\./', '') AS pattern FROM {v.values('raw', [(r,) for r in _RAW])}
-  WHERE {v.strip('raw')} <> '' AND NOT regexp_matches({v.strip('raw')}, '^[#!]')""")
+@query("ignore_normalise", f"""WITH {v.FILES}, r AS (SELECT doc_id, {_RAW} AS raw FROM files)
+  SELECT doc_id, regexp_replace(regexp_replace({v.strip('raw')}, '/$', ''), '^\\./', '') AS pattern FROM r WHERE {v.strip('raw')} <> '' AND NOT regexp_matches({v.strip('raw')}, '^[#!]')""")
 def ignore_normalise(spark, d):
-    raw = v.literals(spark, "raw string", [(r,) for r in _RAW])
-    p = text.strip(F.col("raw"))
-    kept = raw.where((p != "") & ~p.rlike("^[#!]"))
-    return kept.select("raw", F.regexp_replace(F.regexp_replace(p, "/$", ""), r"^\./", "").alias("pattern"))
+    return v.numbered_files(spark, d).select("doc_id", ignore.normalised(F.expr(_RAW)).alias("pattern")).where("pattern IS NOT NULL")
 
 
 @query("ignore_fingerprint", "SELECT lang, sha256(array_to_string(list_sort(list_distinct(list(source))), chr(0))) AS fingerprint FROM documents GROUP BY 1")
@@ -113,28 +111,28 @@ def relative_path(spark, d):
     return v.files(spark, d).select("path", paths.relative_to(F.col("path"), "src3").alias("relative"))
 
 
-_ALIASES = [(k.upper() + " ",) for k in LANGUAGE_ALIASES] + [("cobol",)]
+@query("language_alias", f"WITH {v.FILES}, n AS (SELECT path, upper(substr({v.EXT}, 2)) || ' ' AS name FROM files) SELECT path, {sql_case(f'lower({v.strip('name')})', LANGUAGE_ALIASES)} AS language FROM n")
+def language_alias(spark, d):
+    name = F.concat(F.upper(F.expr("substring(ext, 2)")), F.lit(" "))
+    df = v.files(spark, d).select("path", paths.extension(F.col("path")).alias("ext")).withColumn("name", name)
+    return df.select("path", lookup(LANGUAGE_ALIASES, F.lower(text.strip(F.col("name")))).alias("language"))
 
 
-@query("language_alias", f"SELECT name, {sql_case(f'lower({v.strip('name')})', LANGUAGE_ALIASES)} AS language FROM {v.values('name', _ALIASES)}")
-def language_alias(spark, d):
-    df = v.literals(spark, "name string", _ALIASES)
-    return df.select("name", lookup(LANGUAGE_ALIASES, F.lower(text.strip(F.col("name")))).alias("language"))
+_CSV = "CASE doc_id % 3 WHEN 0 THEN lang || ', .' || source || ',,x' WHEN 1 THEN '' ELSE '.' || lang END"
 
 
-@query("ext_csv", "SELECT s, array_to_string(list_transform(list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: CASE WHEN starts_with(x, '.') THEN x ELSE '.' || x END), ' ') AS extensions FROM " + v.values("s", [("go, .ts,,py",), ("",), (".rs",)]))
+@query("ext_csv", f"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split({_CSV}, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: CASE WHEN starts_with(x, '.') THEN x ELSE '.' || x END), ' ') AS extensions FROM documents")
 def ext_csv(spark, d):
-    df = v.literals(spark, "s string", [("go, .ts,,py",), ("",), (".rs",)])
-    parts = F.filter(F.transform(F.split("s", ","), lambda x: F.trim(x)), lambda x: x != "")
-    return df.select("s", F.array_join(F.transform(parts, lambda x: F.when(x.startswith("."), x).otherwise(F.concat(F.lit("."), x))), " ").alias("extensions"))
+    return v.documents(spark, d).select("doc_id", F.array_join(paths.extension_list(F.expr(_CSV)), " ").alias("extensions"))
 
 
-@query("project_root", f"""WITH {v.FILES}, marks AS (SELECT * FROM (VALUES ('src1'), ('src1/en'), ('src2')) AS m(dir))
+@query("project_root", f"""WITH {v.FILES}, marks AS (SELECT DISTINCT {v.DIR} AS dir FROM files WHERE {v.EXT} = '.yaml' UNION SELECT DISTINCT split_part(path, '/', 1) FROM files WHERE {v.EXT} = '.kts')
   SELECT path, coalesce(max_by(dir, length(dir)), {v.DIR}) AS root FROM files LEFT JOIN marks ON starts_with(path, dir || '/') GROUP BY path""")
 def project_root(spark, d):
-    marks = v.literals(spark, "dir string", [("src1",), ("src1/en",), ("src2",)])
-    joined = v.files(spark, d).select("path").join(F.broadcast(marks), F.col("path").startswith(F.concat("dir", F.lit("/"))), "left")
-    return joined.groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("root")).withColumn("root", F.coalesce("root", paths.directory(F.col("path"))))
+    """A folder with a .yaml file, or the first one above a .kts file, is a root; files belong to the nearest."""
+    files = v.files(spark, d).select("path", paths.extension(F.col("path")).alias("ext"))
+    marks = files.where("ext = '.yaml'").select(paths.directory(F.col("path")).alias("dir")).union(files.where("ext = '.kts'").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")))
+    return paths.nearest_roots(files.select("path"), marks)
 
 
 @query("doc_id", f"WITH {v.FILES} SELECT path, substr(sha256(path || ':' || '1' || '-' || CAST(len(string_split(content, chr(10))) AS VARCHAR)), 1, 32) AS id FROM files")
@@ -200,29 +198,28 @@ def json_round_trip(spark, d):
     return e.select("event_id", F.try_element_at(m, key).alias("first_value"), key.alias("first_key"))
 
 
-@query("env_merge", "SELECT k, last(v ORDER BY i) AS v FROM " + v.values("i, k, v", [(1, "A", "1"), (2, "B", "2"), (3, "A", "3")]) + " GROUP BY k")
+@query("env_merge", "SELECT user_id, event_type AS k, arg_max(props, event_id) AS v FROM events GROUP BY 1, 2")
 def env_merge(spark, d):
-    df = v.literals(spark, "i int, k string, v string", [(1, "A", "1"), (2, "B", "2"), (3, "A", "3")])
-    return df.groupBy("k").agg(F.max_by("v", "i").alias("v"))
+    """The latest setting of each key of each user wins."""
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.col("event_type").alias("k")).agg(F.max_by("props", "event_id").alias("v"))
 
 
-_VERSIONS = [("a.jar", "1.18.2"), ("b.jar", "1.18.30"), ("c.jar", "1.9"), ("d.jar", "1.x")]
+_VERSION = "CASE WHEN p_partkey % 7 = 0 THEN '1.x' ELSE '1.' || CAST(p_size AS STRING) || '.' || CAST(p_partkey AS STRING) END"
 
 
-@query("version_max", "SELECT max_by(jar, list_transform(string_split(version, '.'), lambda x: CAST(x AS INT))) AS jar FROM (SELECT * FROM " + v.values("jar, version", _VERSIONS) + " WHERE regexp_matches(version, '^[0-9]+([.][0-9]+)*$'))")
+@query("version_max", f"SELECT p_brand, max_by(p_partkey, list_transform(string_split({_VERSION}, '.'), lambda x: CAST(x AS INT))) AS newest FROM part WHERE regexp_matches({_VERSION}, '^[0-9]+([.][0-9]+)*$') GROUP BY p_brand")
 def version_max(spark, d):
-    df = v.literals(spark, "jar string, version string", _VERSIONS).where(F.col("version").rlike("^[0-9]+([.][0-9]+)*$"))
-    return df.agg(F.max_by("jar", F.transform(F.split("version", "[.]"), lambda x: x.cast("int"))).alias("jar"))
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey", F.expr(_VERSION).alias("version"))
+    return parts.groupBy("p_brand").agg(F.max_by("p_partkey", ids.version_key(F.col("version"))).alias("newest")).where("newest IS NOT NULL")
 
 
-@query("duration_format", "SELECT s, CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' ELSE CAST(s // 3600 AS VARCHAR) || 'h ' || CAST(s % 3600 // 60 AS VARCHAR) || 'm' END AS shown FROM " + v.values("s", [(5,), (60,), (3599,), (3600,), (7384,)]))
+@query("duration_format", "SELECT event_id, CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' ELSE CAST(s // 3600 AS VARCHAR) || 'h ' || CAST(s % 3600 // 60 AS VARCHAR) || 'm' END AS shown FROM (SELECT event_id, event_id * 37 AS s FROM events)")
 def duration_format(spark, d):
-    s = F.col("s")
-    whole = lambda e: F.expr(e).cast("string")
-    shown = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(whole("s div 60"), F.lit("m")))
-    return v.literals(spark, "s int", [(5,), (60,), (3599,), (3600,), (7384,)]).select("s", shown.otherwise(F.concat(whole("s div 3600"), F.lit("h "), whole("s % 3600 div 60"), F.lit("m"))).alias("shown"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.duration(F.col("event_id") * 37).alias("shown"))
 
 
-@query("cap_min", "SELECT a, b, CASE WHEN a <= 0 THEN b WHEN b <= 0 THEN a ELSE least(a, b) END AS cap FROM " + v.values("a, b", [(0, 5), (5, 0), (3, 4), (-1, -1), (9, 2)]))
+@query("cap_min", "SELECT l_orderkey, l_linenumber, CASE WHEN a <= 0 THEN b WHEN b <= 0 THEN a ELSE least(a, b) END AS cap FROM (SELECT l_orderkey, l_linenumber, l_linenumber - 3 AS a, l_suppkey % 9 - 2 AS b FROM lineitem)")
 def cap_min(spark, d):
-    return v.literals(spark, "a int, b int", [(0, 5), (5, 0), (3, 4), (-1, -1), (9, 2)]).select("a", "b", F.when(F.col("a") <= 0, F.col("b")).when(F.col("b") <= 0, F.col("a")).otherwise(F.least("a", "b")).alias("cap"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    a, b = F.col("l_linenumber").cast("long") - 3, F.col("l_suppkey") % 9 - 2
+    return li.select("l_orderkey", "l_linenumber", text.least_cap(a, b).alias("cap"))

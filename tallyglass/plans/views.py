@@ -37,6 +37,11 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return src.from_documents(documents(spark, d))
 
 
+def numbered_files(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and path of the files."""
+    return files(spark, d).select(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long").alias("doc_id"), "path")
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     return src.lines(files(spark, d)).withColumn("line", F.col("line").cast("long"))
 
