@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.code_index import CodeIndex
 from tallyglass.functions.routing import BUDGET_CAP, SHARES, budget, classify, has_failure_cue, most_items
-from tallyglass.functions.text import one_line, strip
+from tallyglass.functions.text import strip
 from tallyglass.operators import extract, refs
 from tallyglass.operators.multi_find import SLICE_CHARS, find
 from tallyglass.query import CONFIDENCE
@@ -41,7 +41,7 @@ class Batch:
         self.asked = stored(plan(questions), "asked")
         self.failed: dict[str, str] = {}
         self.definitions = self._section("Definitions", self._definitions, "query_id long, path string, type string, start_line long, end_line long, n long")
-        self.references = self._section("References", self._references, "query_id long, path string, line long, snippet string, score double, reason string, rank int, refs_total long")
+        self.references = self._section("References", self._references, "query_id long, path string, line long, score double, reason string, rank int, refs_total long")
 
     def _section(self, name: str, make, schema: str) -> DataFrame:
         """A section's table; one that fails is empty, and its error is in ``status``."""
@@ -67,8 +67,9 @@ class Batch:
     def _references(self) -> DataFrame:
         """The best lines that contain a question's term: as many as its budget has, ranked by score, then place."""
         asked = self.asked.where("term <> '' AND mode IN ('symbol', 'text')")
-        hits = find(lines(self.files), asked.select("term"), self.slice_chars)
-        hits = stored(hits.select("term", "path", "line", one_line(F.col("snippet")).alias("snippet")), "term-hits")
+        # texts of lines stay behind: a hit is its place and whether the line has a bracket
+        rows = lines(self.files).select("path", F.col("line").cast("long").alias("line"), "snippet", F.col("snippet").contains("(").alias("call"))
+        hits = find(rows, asked.select("term"), self.slice_chars, carry=("path", "line", "call"))
         totals = hits.groupBy("term").agg(F.count("*").alias("refs_total"), F.min("path").alias("first"))
         # a term has one set of hits; questions differ in where the definition is and in how many they want
         declared = self.definitions.select("query_id", F.col("path").alias("declared"), F.col("start_line").alias("declared_line"))
@@ -77,15 +78,19 @@ class Batch:
         # so scores are computed once for each term and definition, not for each question
         views = keyed.groupBy("term", "definition", "declared_line", "refs_total").agg(F.max("n_refs").alias("most"))
         in_file = hits.groupBy("term", "path").agg(F.count("*").alias("in_file"))
-        scored = refs.scored(hits.join(in_file, ["term", "path"]).join(views, "term"), F.col("definition"), F.col("in_file"))
+        scored = refs.scored(hits.join(in_file, ["term", "path"]).join(views, "term"), F.col("definition"), F.col("in_file"), F.col("call"))
         own = (F.col("path") == F.col("definition")) & (F.col("line") == F.col("declared_line"))
         scored = scored.where(~F.coalesce(own, F.lit(False)))
-        rank = F.row_number().over(Window.partitionBy("term", "definition", "declared_line").orderBy(F.desc("score"), "path", "line", "snippet"))
+        rank = F.row_number().over(Window.partitionBy("term", "definition", "declared_line").orderBy(F.desc("score"), "path", "line"))
         # the constant bound is applied in each task before the shuffle, the question's own after it
         top = scored.withColumn("rank", rank).where(F.col("rank") <= MOST_REFERENCES).where(F.col("rank") <= F.col("most"))
         on = [keyed["term"] == top["term"], keyed["definition"] == top["definition"], keyed["declared_line"].eqNullSafe(top["declared_line"])]
         found = keyed.join(top.drop("refs_total"), on).where(F.col("rank") <= F.col("n_refs"))
-        return found.select("query_id", "path", "line", "snippet", "score", "reason", "rank", "refs_total")
+        return found.select("query_id", "path", "line", "score", "reason", "rank", "refs_total")
+
+    def snippets(self) -> DataFrame:
+        """``references`` with the text of each line."""
+        return self.references.join(refs.with_lines(self.references, self.files), ["path", "line"])
 
     def answers(self) -> DataFrame:
         """One row a question: mode, status, confidence, definition, and how many references of how many."""

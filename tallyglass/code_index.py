@@ -21,6 +21,7 @@ from tallyglass.operators.enclosing import enclosing
 from tallyglass.segments import SegmentLog, State
 from tallyglass.storage import expected_bytes, remove, stored
 
+postings_columns = [c.strip().split(" ")[0] for c in postings.SCHEMA.split(",")]
 CALLABLE = ("function", "method", "constructor")
 _SYMBOLS = "path string, language string, name string, type string, start_line long, end_line long, start long, end long, container string, signature string"
 TABLES = {
@@ -97,8 +98,9 @@ class CodeIndex:
             return
         name = uuid.uuid4().hex
         for table in TABLES:
-            rows = self.rows(table, state)
-            if table == "postings":
+            rows = self._postings(state) if table == "postings" else self.rows(table, state)
+            if table == "postings":  # blocks stay as they are as long as they have a live file; dead files lose their paths
+                rows = rows.join(postings.paths_of(rows).select("block").distinct(), "block", "left_semi").select(*postings_columns)
                 postings.write(rows, f"{self.path}/segments/{name}/postings", expected_bytes(rows), self.buckets)
             else:
                 self._write(name, table, rows)
@@ -120,7 +122,7 @@ class CodeIndex:
         return newest.where("NOT f.deleted").select("path", "f.digest")
 
     def rows(self, table: str, state: State | None = None) -> DataFrame:
-        """The live rows of a table: of each path those of its newest segment."""
+        """The live rows of a table (but ``postings``): of each path those of its newest segment."""
         state = state or self.log.state()
         if table == "files":
             return self._live_files(state).withColumn("deleted", F.lit(False))
@@ -128,13 +130,25 @@ class CodeIndex:
         columns = [c.strip().split(" ")[0] for c in TABLES[table].split(",")]
         if len(state.segments) < 2:
             return rows.select(*columns)
-        # what later segments changed or deleted hides earlier rows; after a compaction that is nothing
-        later = self._all("files", state).where("segment > 0").groupBy("path").agg(F.max("segment").alias("newest"))
-        return rows.join(later, "path", "left").where("newest IS NULL OR segment = newest").select(*columns)
+        return rows.join(self._later(state), "path", "left").where("newest IS NULL OR segment = newest").select(*columns)
+
+    def _postings(self, state: State | None = None) -> DataFrame:
+        """All posting rows, and of the path rows those of live files."""
+        state = state or self.log.state()
+        rows = self._all("postings", state)
+        if len(state.segments) < 2:
+            return rows.select(*postings_columns)
+        paths = rows.where(F.col("bucket") == postings.PATHS).join(self._later(state), F.col("token") == F.col("path"), "left").where("newest IS NULL OR segment = newest")
+        return rows.where(F.col("bucket") != postings.PATHS).select(*postings_columns).unionByName(paths.select(*postings_columns))
+
+    def _later(self, state: State) -> DataFrame:
+        """What later segments changed or deleted hides earlier rows; after a compaction that is nothing."""
+        return self._all("files", state).where("segment > 0").groupBy("path").agg(F.max("segment").alias("newest"))
 
     def occurrences(self, names: Sequence[str]) -> DataFrame:
         """token, path, line, col of every place of these identifiers; reads their buckets."""
-        return postings.decoded(postings.lookup(self.rows("postings"), names, self.buckets))
+        rows = self._postings()
+        return postings.named(postings.decoded(postings.lookup(rows, names, self.buckets)), postings.paths_of(rows))
 
     def references(self, names: Sequence[str], scope: str = "") -> DataFrame:
         """Occurrences but the lines that declare the name; ``scope`` is a folder or file to stay in."""

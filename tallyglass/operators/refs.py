@@ -42,10 +42,10 @@ def _reasons(*parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), " + ")
 
 
-def scored(refs: DataFrame, definition: Column, in_file: Column) -> DataFrame:
-    """``refs`` with score and reason, against a definition file, where ``in_file`` is the number of references in a row's file."""
+def scored(refs: DataFrame, definition: Column, in_file: Column, call: Column) -> DataFrame:
+    """``refs`` with score and reason, against a definition file; ``in_file`` is the number of references in a row's file, ``call`` says that its line has a bracket."""
     d, path = definition, F.col("path")
-    call, same = F.col("snippet").contains("("), path == d
+    same = path == d
     package = ~same & (paths.directory(path) == paths.directory(d))
     test = paths.is_test_file(path)
     total = (
@@ -58,7 +58,7 @@ def scored(refs: DataFrame, definition: Column, in_file: Column) -> DataFrame:
 
 def score(refs: DataFrame, definition: Column | str) -> DataFrame:
     """:func:`scored` against one definition file; files with many references are marked down."""
-    return scored(refs, F.lit(definition) if isinstance(definition, str) else definition, F.count("*").over(Window.partitionBy("path")))
+    return scored(refs, F.lit(definition) if isinstance(definition, str) else definition, F.count("*").over(Window.partitionBy("path")), F.col("snippet").contains("("))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from tallyglass.operators.enclosing import enclosing
 from tallyglass.plans import code as _code
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
-from tallyglass.storage import fresh_path
+from tallyglass.storage import fresh_path, stored
 
 _NAME = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]+"
 _REST = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]+"
@@ -26,14 +26,13 @@ def _postings(spark, d):
 
 @query("identifier_counts", f"WITH {_PLACES} SELECT token, count(*) AS n_refs, count(DISTINCT path) AS n_files FROM places GROUP BY token")
 def identifier_counts(spark, d):
-    rows = _postings(spark, d)  # headers only: the places stay unread
-    by_file = rows.groupBy("token", "path").agg(F.sum("n").alias("n"))
-    return by_file.groupBy("token").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_files"))
+    return postings.counts(_postings(spark, d))
 
 
 @query("identifier_lookup", f"WITH {_PLACES} SELECT token, path, line, col FROM places WHERE token IN ('Licensed', 'the')")
 def identifier_lookup(spark, d):
-    return postings.decoded(postings.lookup(_postings(spark, d), ["Licensed", "the"]))
+    rows = _postings(spark, d)
+    return postings.named(postings.decoded(postings.lookup(rows, ["Licensed", "the"])), postings.paths_of(rows))
 
 
 @query("identifier_refs", f"""WITH {_PLACES}, decl AS (SELECT token, path, line, col FROM places QUALIFY row_number() OVER (PARTITION BY path ORDER BY line, col) = 1),
@@ -42,8 +41,10 @@ def identifier_lookup(spark, d):
 def identifier_refs(spark, d):
     """A file declares its first identifier; references are all other places of such names."""
     rows = _postings(spark, d)
-    first = postings.decoded(rows).groupBy("path").agg(F.min(F.struct("line", "col", "token")).alias("at")).select("path", "at.*")
-    return postings.references(rows, first, first)
+    first = postings.decoded(rows).groupBy("block", "file").agg(F.min(F.struct("line", "col", "token")).alias("at")).select("block", "file", "at.*")
+    first = stored(first, "declared")  # a row for each file
+    found = postings.occurrences(rows, first).join(first, ["token", "block", "file", "line", "col"], "left_anti")
+    return postings.named(found, postings.paths_of(rows))
 
 
 _SPANS = """spans AS (SELECT path, 1 AS start_line, n AS end_line, 'file' AS kind FROM (SELECT path, len(string_split(content, chr(10))) AS n FROM files)

@@ -27,21 +27,30 @@ def plain(path, text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("abZ_9 \n.é世\U0001f600"), max_size=60), st.integers(1, 20))
 def test_postings_hold_every_place(text, stretch):
-    got = []
-    for token, n, coded in postings.identifiers(text.encode(), stretch):
-        lines, cols = postings.places(coded)
-        assert n == len(lines) == len(cols)
-        got += [(token.decode(), "p", line, col) for line, col in zip(lines.tolist(), cols.tolist(), strict=True)]
-    assert sorted(got) == sorted(plain("p", text))
+    for cut in (text, text + " x", ""):
+        parts = [(*p[:2], np.full(len(p[1]), f), *p[2:]) for f, t in enumerate((cut, text)) for p in postings.identifiers(t.encode(), stretch)]
+        if not parts:
+            continue
+        tokens, often, n_files, raw = postings.coded(*(np.concatenate([p[k] for p in parts]) for k in range(5)))
+        row, file, line, col = (x.tolist() for x in postings.places(raw))
+        names = [t.decode() for t in tokens.to_pylist()]
+        got = sorted((names[r], f, a, b) for r, f, a, b in zip(row, file, line, col, strict=True))
+        want = sorted(p for f, t in enumerate((cut, text)) for p in plain(f, t))
+        assert got == want and names == list(dict.fromkeys(names))
+        for name, n, k in zip(names, often.tolist(), n_files.tolist(), strict=True):
+            own = [p for p in want if p[0] == name]
+            assert (n, k) == (len(own), len({p[1] for p in own}))
 
 
 @given(st.lists(st.integers(0, 2**62), max_size=30))
 def test_varints(values):
     raw, ends = postings.varints(np.array(values, np.int64))
-    assert postings.unvarints(raw.tobytes()).tolist() == values and (not values or ends[-1] == len(raw))
+    back, stops = postings.unvarints(raw)
+    assert back.tolist() == values and stops.tolist() == ends.tolist()
 
 
-def test_references_are_whole_identifiers_and_a_lookup_reads_its_bucket(spark, tmp_path):
+def test_references_are_whole_identifiers_and_a_lookup_reads_its_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_FILES", 7)
     files = [("a.go", "func Foo() {\n  FooBar(Foo)\n}"), ("b.go", "Foo.x = foo_Foo + Foo9"), ("c.go", None), ("d.bin", "Foo\0"), ("e.go", "")] + [(f"h{i}.go", "the Foo\n" * 50) for i in range(40)]
     df = spark.createDataFrame(files, "path string, content string")
     rows = postings.build(df, str(tmp_path / "p"), buckets=4)
@@ -49,7 +58,7 @@ def test_references_are_whole_identifiers_and_a_lookup_reads_its_bucket(spark, t
     plan = found._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*token", plan)
     want = sorted(p for path, text in files for p in plain(path, text or "") if p[0] == "Foo")
-    assert sorted(tuple(r) for r in postings.decoded(found).collect()) == want
+    assert sorted(tuple(r) for r in postings.named(postings.decoded(found), postings.paths_of(rows)).collect()) == want
     names, declared = spark.createDataFrame([("Foo",), (None,), ("nowhere",)], "token string"), spark.createDataFrame([("a.go", 1, "Foo")], "path string, line long, token string")
     left = postings.references(rows, names, declared, on=("path", "line", "token"), buckets=4)
     assert sorted(tuple(r) for r in left.collect()) == [p for p in want if p[1:3] != ("a.go", 1)]
