@@ -1,8 +1,9 @@
 """Life of an index: build, freshness, search, status, removal.
 
-An index is a folder: ``chunks`` (Parquet, partitioned by language) and ``meta`` (one
-JSON row). A build goes to a new folder and takes the old one's place only when both
-are complete, so a failed build leaves the old index as it was.
+An index is a log that names one segment: ``chunks`` (Parquet, partitioned by language),
+``meta`` (one JSON row) and, if asked for, ``ivf`` (an inverted-file index of the vectors).
+A build writes a new segment and commits its name when all of it is there, so whatever
+fails, and whenever, the index before it stays.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from tallyglass.functions.languages import CHUNK_LANGUAGES, lookup
 from tallyglass.functions.text import describe as describe_chunk
 from tallyglass.operators.embed import Provider, embed, keyword_vector
 from tallyglass.operators.extract import syntax_chunks
-from tallyglass.operators.vector_search import top_k
+from tallyglass.operators.ivf import IvfIndex
+from tallyglass.operators.vector_search import DEFAULT_K, top_k
+from tallyglass.segments import SegmentLog, State
 from tallyglass.sources.files import walk
+from tallyglass.storage import exists
 
 META = "branch string, commit_sha string, ignore_fingerprint string, indexed_at timestamp, file_count long, chunk_count long"
 
@@ -29,38 +33,44 @@ META = "branch string, commit_sha string, ignore_fingerprint string, indexed_at
 class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = SegmentLog(spark, self.path)
+
+    def _root(self) -> str | None:
+        """The folder of the segment that counts, or none where nothing is indexed."""
+        segments = self.log.state().segments
+        return f"{self.path}/segments/{segments[-1]}" if segments else None
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def exists(self) -> bool:
-        fs, p = self._fs(f"{self.path}/meta")
-        return fs.exists(p)
+        return self._root() is not None
 
     def meta(self) -> DataFrame:
         """One row, or none where nothing is indexed."""
-        if not self.exists():
-            return self.spark.createDataFrame([], META)
-        return self.spark.read.schema(META).json(f"{self.path}/meta")
+        root = self._root()
+        return self.spark.createDataFrame([], META) if root is None else self.spark.read.schema(META).json(f"{root}/meta")
 
     def chunks(self) -> DataFrame:
-        if not self.exists():
+        root = self._root()
+        if root is None:
             raise FileNotFoundError(f"no index at {self.path}; build it first")
-        return self.spark.read.parquet(f"{self.path}/chunks")
+        return self.spark.read.parquet(f"{root}/chunks")
 
     def stale(self, commit: str, fingerprint: str) -> bool:
         row = self.meta().select(is_stale(F.lit(True), F.col("commit_sha"), F.col("ignore_fingerprint"), F.lit(commit), F.lit(fingerprint))).first()
         return True if row is None else bool(row[0])
 
     def build(
-        self, files: DataFrame, commit: str = "", branch: str = "", patterns: Sequence[str] = (), provider: Callable[[], Provider] | None = None, force: bool = False, now: dt.datetime | None = None
+        self, files: DataFrame, commit: str = "", branch: str = "", patterns: Sequence[str] = (), provider: Callable[[], Provider] | None = None, force: bool = False, now: dt.datetime | None = None, ivf: bool = False
     ) -> bool:
-        """Chunk, embed and store ``files``; False if the index is up to date and ``force`` isn't set."""
+        """Chunk, embed and store ``files``; False if the index is up to date and ``force`` isn't set. ``ivf`` adds inverted lists of the vectors."""
         fingerprint = ignore.fingerprint(patterns)
         if not force and not self.stale(commit, fingerprint):
             return False
-        target = f"{self.path}-{uuid.uuid4().hex}"
+        state, name = self.log.state(), uuid.uuid4().hex
+        target = f"{self.path}/segments/{name}"
         chunks = syntax_chunks(walk(files, patterns))
         chunks = chunks.withColumn("id", ids.chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"))).withColumn("content", ids.content_cut(F.col("content")))
         language = lookup(CHUNK_LANGUAGES, paths.extension(F.col("path")), "other")
@@ -71,10 +81,10 @@ class Index:
         at = now or dt.datetime.now(dt.timezone.utc)
         meta = done.select(F.lit(branch).alias("branch"), F.lit(commit).alias("commit_sha"), F.lit(fingerprint).alias("ignore_fingerprint"), F.lit(at).alias("indexed_at"), "file_count", "chunk_count")
         meta.coalesce(1).write.json(f"{target}/meta")
-        self.clear()
-        fs, source = self._fs(target)
-        if not fs.rename(source, self._fs(self.path)[1]):
-            raise OSError(f"{target} can't take the place of {self.path}")
+        if ivf:
+            IvfIndex(self.spark, f"{target}/ivf").build(self.spark.read.parquet(f"{target}/chunks").select("id", "vector"))
+        self.log.commit(State(state.version, [name], []))
+        self.log.vacuum()
         return True
 
     def append(self, chunks: DataFrame) -> None:
@@ -82,18 +92,29 @@ class Index:
         missing = set(self.chunks().columns) - set(chunks.columns)
         if missing:
             raise ValueError(f"columns are missing: {sorted(missing)}")
-        chunks.write.mode("append").partitionBy("language").parquet(f"{self.path}/chunks")
+        root = self._root()
+        chunks.write.mode("append").partitionBy("language").parquet(f"{root}/chunks")
+        if exists(self.spark, f"{root}/ivf"):
+            IvfIndex(self.spark, f"{root}/ivf").append(chunks.select("id", "vector"))
 
     def clear(self) -> bool:
         fs, p = self._fs(self.path)
         return bool(fs.exists(p) and fs.delete(p, True))
 
-    def search(self, query: Sequence[float], k: int = 10, languages: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
-        """Ranked hits: top k by cosine, then without ignored paths, so that fewer than k can come back."""
+    def search(self, query: Sequence[float], k: int = 10, languages: Sequence[str] = (), patterns: Sequence[str] = (), n_probes: int = 0) -> DataFrame:
+        """Ranked hits: top k by cosine, then without ignored paths, so that fewer than k can come back.
+
+        With ``n_probes``, and without ``languages``, only so many inverted lists are read (the index was built with ``ivf``).
+        """
         rows = self.chunks()
         if languages:
             rows = rows.where(F.col("language").isin(*languages))  # prunes partitions
-        hits = top_k(rows, query, k)
+        if n_probes and not languages:
+            asked = self.spark.createDataFrame([("", [float(x) for x in query])], "id string, vector array<double>")
+            near = IvfIndex(self.spark, f"{self._root()}/ivf").search(asked, k if k > 0 else DEFAULT_K, n_probes).select("id", "score")
+            hits = rows.join(F.broadcast(near), "id")  # k rows at most
+        else:
+            hits = top_k(rows, query, k)
         if patterns:
             hits = hits.where(~ignore.ignored(F.col("path"), patterns))
         from pyspark.sql import Window

@@ -86,3 +86,17 @@ def test_text_ids(spark, tmp_path):
 def test_quantiser_keeps_empty_centres():
     centres = fit(np.array([[1.0, 0.0]] * 5 + [[0.0, 1.0]]), 4)
     assert centres.shape == (4, 2) and np.allclose(np.linalg.norm(centres, axis=1), 1)
+
+
+def test_an_index_with_inverted_lists(spark, tmp_path):
+    from tallyglass.index import Index
+
+    rows = [(f"pkg/f{i}.go", f"package p\n\nfunc F{i}() {{ error index search {'auth ' * (i % 7)} }}\n") for i in range(30)]
+    files = spark.createDataFrame([(p, c, len(c)) for p, c in rows], "path string, content string, bytes long")
+    index = Index(spark, str(tmp_path / "index"))
+    assert index.build(files, commit="a", ivf=True)
+    vector = index.chunks().where("path = 'pkg/f3.go'").first().vector
+    exact = [(r["path"], r["score"]) for r in index.search(vector, 5).collect()]
+    assert [(r["path"], r["score"]) for r in index.search(vector, 5, n_probes=99).collect()] == exact
+    before = index.log.state()
+    assert index.build(files.limit(3), commit="b") and index.log.state().segments != before.segments and index.meta().first().file_count == 3

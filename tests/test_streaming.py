@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from tallyglass.operators import diagnostics
 from tallyglass.streaming import events as st
 
@@ -43,3 +45,35 @@ def test_incremental_index(spark, tmp_path):
     q = st.index_files(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_every_subscriber_takes_every_batch_once(spark, tmp_path):
+    from tallyglass.streaming.fanout import FanOut
+
+    source, got, trouble = tmp_path / "in", {"a": [], "b": [], "late": []}, [True]
+    schema = "event_id long, kind string"
+    for i in range(3):
+        spark.createDataFrame([(i * 10 + k, "x") for k in range(4)], schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    def take(name):
+        def run(rows, batch):
+            got[name].append((batch, sorted(r["event_id"] for r in rows.collect())))
+
+        return run
+
+    def sometimes(rows, batch):
+        if batch == 1 and trouble:
+            trouble.clear()
+            raise OSError("away")
+        take("late")(rows, batch)
+
+    def play():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        out = FanOut(spark, str(tmp_path / "fan"), {"a": take("a"), "late": sometimes, "b": take("b")})
+        stream.writeStream.foreachBatch(out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="late"):
+        play()
+    play()
+    assert got["a"] == got["b"] == sorted(got["late"]) and [b for b, _ in got["a"]] == [0, 1, 2]
+    assert sorted(e for _, rows in got["a"] for e in rows) == [i * 10 + k for i in range(3) for k in range(4)]
