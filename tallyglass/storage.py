@@ -45,6 +45,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def expected_bytes(df: DataFrame) -> int:
-    """What the optimiser expects ``df`` to fill: a tuning figure, on which no result depends."""
-    return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 56)
+def expected_bytes(df: DataFrame) -> int | None:
+    """What the optimiser expects ``df`` to fill, none where it has no statistics: a tuning figure, on which no result depends."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 56 else None
