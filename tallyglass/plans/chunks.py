@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions import index_state
-from tallyglass.operators import chunk, embed
+from tallyglass.operators import chunk, embed, hashed
 from tallyglass.operators.ivf import MAX_LISTS, IvfIndex
 from tallyglass.operators.vector_search import cosine, similarity_join, top_k
 from tallyglass.plans import views as v
@@ -84,6 +84,28 @@ def embed_keywords(spark, d):
     return out.select("path", F.col("start_line").cast("long"), F.array_join(F.transform("v", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("vector"))
 
 
+_HASHED = f"""tok AS (SELECT path || ':' || start_line AS id, regexp_extract_all(translate(content, '{hashed._UPPER}', '{hashed._LOWER}'), '[a-z0-9_]+') AS w FROM kept),
+  parts AS (SELECT id, p // {hashed.PART_WORDS} AS part, w[p + 1:p + {hashed.PART_WORDS}] AS w FROM (SELECT *, unnest(range(0, greatest(len(w), 1), {hashed.PART_WORDS})) AS p FROM tok)),
+  terms AS (SELECT id, part, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS t FROM parts),
+  coded AS (SELECT id, part, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {hashed.CODES} AS code FROM terms),
+  dfs AS (SELECT code, count(*) AS df FROM (SELECT DISTINCT id, part, code FROM coded) GROUP BY code),
+  weights AS (SELECT code, CAST(round((1 + ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df))) * {hashed.SCALE}) AS BIGINT) AS weight FROM dfs, (SELECT count(*) AS n FROM parts)),
+  sums AS (SELECT id, part, code % {hashed.DIM} AS place, CAST(sum(CASE WHEN (code // {hashed.DIM}) % 2 = 0 THEN weight ELSE -weight END) AS DOUBLE) AS x FROM coded JOIN weights USING (code) GROUP BY ALL),
+  norms AS (SELECT id, part, sqrt(sum(x * x)) AS norm FROM sums GROUP BY ALL),
+  means AS (SELECT id, place, sum(x / norm) AS x FROM sums JOIN norms USING (id, part) WHERE norm > 0 GROUP BY ALL),
+  sizes AS (SELECT id, count(*) AS n FROM parts GROUP BY id)"""
+
+
+@query("embed_hashed", f"""WITH {v.FILES}, {_windows(80, 10)}, {_HASHED},
+  places AS (SELECT id, n, unnest(range(0, {hashed.DIM})) AS place FROM sizes)
+  SELECT id, array_to_string(list(CAST(CAST(round(coalesce(x, 0) / n * 10000) AS BIGINT) AS VARCHAR) ORDER BY place), ',') AS vector
+  FROM places LEFT JOIN means USING (id, place) GROUP BY id""")
+def embed_hashed(spark, d):
+    texts = chunk.windows(v.files(spark, d)).select(F.concat("path", F.lit(":"), F.col("start_line").cast("string")).alias("id"), "content")
+    out = hashed.embed_hashed(texts)
+    return out.select("id", F.array_join(F.transform("vector", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("vector"))
+
+
 @query("vector_mean", """SELECT label, array_to_string(list(CAST(m AS VARCHAR) ORDER BY pos), ',') AS mean FROM (
   SELECT label, pos, CAST(round(avg(x) * 1000000) AS BIGINT) AS m FROM (SELECT label, unnest(range(0, 64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1""")
 def vector_mean(spark, d):

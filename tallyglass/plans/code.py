@@ -9,6 +9,8 @@ from tallyglass.functions import paths, routing, symbols, text
 from tallyglass.operators import callers, diagnostics, implements, multi_find, outline, refs
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
+from tallyglass.storage import fresh_path
+from tallyglass.streaming import debounce
 
 TERM = "ation"
 _REFS = f"{v.FILES}, {v.LINES}, refs AS (SELECT DISTINCT path, line, {v.squeeze('snippet')} AS snippet FROM lines WHERE contains(snippet, '{TERM}'))"
@@ -240,15 +242,31 @@ def diag_report(spark, d):
     return check_report(_report(spark, d)).select("target_id", F.sha2("report", 256).alias("report"), "n")
 
 
-@query("diag_settle", f"""WITH RECURSIVE {v.DIAGNOSTICS}, g AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM diags), s AS (SELECT *, CASE WHEN t - lag(t) OVER w IS NULL OR t - lag(t) OVER w > 36000 THEN 1 ELSE 0 END AS fresh FROM g WINDOW w AS (PARTITION BY uri ORDER BY ts, event_id)),
+_SETTLED = f"""WITH RECURSIVE {v.DIAGNOSTICS}, g AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM diags), s AS (SELECT *, CASE WHEN t - lag(t) OVER w IS NULL OR t - lag(t) OVER w > 36000 THEN 1 ELSE 0 END AS fresh FROM g WINDOW w AS (PARTITION BY uri ORDER BY ts, event_id)),
   r AS (SELECT *, sum(fresh) OVER (PARTITION BY uri ORDER BY ts, event_id) AS run FROM s),
   b AS (SELECT uri, run, min(t) AS s FROM r GROUP BY uri, run UNION ALL SELECT b.uri, b.run, min(r.t) AS s FROM b JOIN r ON r.uri = b.uri AND r.run = b.run AND r.t - b.s >= 72000 GROUP BY b.uri, b.run, b.s),
   c AS (SELECT r.*, (SELECT max(b.s) FROM b WHERE b.uri = r.uri AND b.run = r.run AND b.s <= r.t) AS cut FROM r)
-  SELECT uri, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max_by(event_id, (ts, event_id)) AS event_id FROM c GROUP BY uri, run, cut""")
+  SELECT uri, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max_by(event_id, (ts, event_id)) AS event_id FROM c GROUP BY uri, run, cut"""
+
+
+@query("diag_settle", _SETTLED)
 def diag_settle(spark, d):
     return diagnostics.settle(v.diagnostics(spark, d), 36000, 72000)
 
 
+@query("diag_settle_stream", _SETTLED)
+def diag_settle_stream(spark, d):
+    """The same bursts from a stream: the table as one batch, then the end of time, which closes all of them."""
+    path, table = fresh_path(spark, "settled"), f"{d}/events.parquet"
+    # a stream takes a table of one file only as a pattern
+    events = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").alias("uri"), "ts", "event_id")
+    end = spark.createDataFrame([(None,)], "uri long").select("uri", F.lit("2200-01-01").cast(events.schema["ts"].dataType).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
+    end.write.parquet(f"{path}/end")
+    closing = spark.readStream.schema(end.schema).parquet(f"{path}/end")
+    debounce.replay(events.withColumn("event_id", F.col("event_id").cast("long")).withColumn("uri", F.col("uri").cast("long")).unionByName(closing), path, 36000, 72000)
+    return spark.read.schema("uri long, first_ts timestamp, last_ts timestamp, n_events long, event_id long").parquet(f"{path}/bursts")
+
+
 @query("idle_sessions", f"""WITH {v.DIAGNOSTICS}, s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM diags WINDOW w AS (PARTITION BY uri ORDER BY ts)),
   r AS (SELECT *, sum(fresh) OVER (PARTITION BY uri ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s)
   SELECT uri, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM r GROUP BY uri, run""")
