@@ -16,6 +16,8 @@ from tallyglass.storage import stored
 
 CODES, DIM = 1 << 18, 64
 PART_WORDS = 256
+#: The number of a pair of words is that of the first times this, plus that of the second.
+PAIR = 1_000_003
 #: Weights are whole millionths, so that sums don't depend on their order.
 SCALE = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,10 +29,14 @@ def words(text: Column) -> Column:
 
 
 def codes(tokens: Column) -> Column:
-    """The codes of the words and of the pairs of neighbours, repeats included."""
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b))
-    number = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")
-    return F.transform(F.concat(tokens, pairs), lambda t: (number(t) % CODES).cast("int"))
+    """The codes of the words and of the pairs of neighbours, repeats included; a word is hashed once."""
+    numbers = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+
+    def both(n: Column) -> Column:
+        pairs = F.zip_with(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, 2, F.size(n)), lambda a, b: a * PAIR + b)
+        return F.transform(F.concat(n, pairs), lambda x: (x % CODES).cast("int"))
+
+    return F.transform(F.array(numbers), both)[0]  # binds the numbers to a variable
 
 
 def parts(texts: DataFrame, key: str, text: str, part_words: int = PART_WORDS) -> DataFrame:
@@ -54,7 +60,7 @@ def embed_hashed(texts: DataFrame, key: str = "id", text: str = "content", part_
 
     Each part's vector has norm 1, so the mean of several has at most 1.
     """
-    cut = parts(texts, key, text, part_words)
+    cut = stored(parts(texts, key, text, part_words), "parts")  # read twice
     placed = cut.select(key, "part", F.explode_outer("codes").alias("code")).join(F.broadcast(weights(cut)), "code", "left")
     sign = F.when(F.floor(F.col("code") / DIM) % 2 == 0, F.col("weight")).otherwise(-F.col("weight"))
     sums = placed.groupBy(key, "part", F.coalesce(F.col("code") % DIM, F.lit(-1)).alias("place")).agg(F.sum(sign).alias("x"))

@@ -86,8 +86,8 @@ def embed_keywords(spark, d):
 
 _HASHED = f"""tok AS (SELECT path || ':' || start_line AS id, regexp_extract_all(translate(content, '{hashed._UPPER}', '{hashed._LOWER}'), '[a-z0-9_]+') AS w FROM kept),
   parts AS (SELECT id, p // {hashed.PART_WORDS} AS part, w[p + 1:p + {hashed.PART_WORDS}] AS w FROM (SELECT *, unnest(range(0, greatest(len(w), 1), {hashed.PART_WORDS})) AS p FROM tok)),
-  terms AS (SELECT id, part, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS t FROM parts),
-  coded AS (SELECT id, part, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {hashed.CODES} AS code FROM terms),
+  numbered AS (SELECT id, part, list_transform(w, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS n FROM parts),
+  coded AS (SELECT id, part, unnest(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] * {hashed.PAIR} + n[i + 1]))) % {hashed.CODES} AS code FROM numbered),
   dfs AS (SELECT code, count(*) AS df FROM (SELECT DISTINCT id, part, code FROM coded) GROUP BY code),
   weights AS (SELECT code, CAST(round((1 + ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df))) * {hashed.SCALE}) AS BIGINT) AS weight FROM dfs, (SELECT count(*) AS n FROM parts)),
   sums AS (SELECT id, part, code % {hashed.DIM} AS place, CAST(sum(CASE WHEN (code // {hashed.DIM}) % 2 = 0 THEN weight ELSE -weight END) AS DOUBLE) AS x FROM coded JOIN weights USING (code) GROUP BY ALL),

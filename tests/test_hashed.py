@@ -11,8 +11,8 @@ def _brute(texts, part_words):
     for key, text in texts:
         w = re.findall("[a-z0-9_]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         cut[key] = [w[i : i + part_words] for i in range(0, max(len(w), 1), part_words)]
-    code = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % hashed.CODES
-    coded = {k: [[code(t) for t in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]] for w in own] for k, own in cut.items()}
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    coded = {k: [[x % hashed.CODES for x in [*map(number, w), *(number(a) * hashed.PAIR + number(b) for a, b in zip(w, w[1:]))]] for w in own] for k, own in cut.items()}
     n, df = sum(map(len, coded.values())), {}
     for own in coded.values():
         for part in own:
