@@ -5,9 +5,12 @@ each language and source, a quantile sketch of each statistic over the documents
 pass the base rules gives quantiles, and a document fails if a statistic lies far
 beyond its group's. The sketches are histograms over buckets of equal ratio (2 % wide,
 so quantiles are within 1 % of their value and ranks are exact): they are merged by
-adding counts, and don't depend on the order or the layout of the rows. A source with
-too few documents is judged by the merged sketch of its language, and a language with
-too few by that of all.
+adding counts, and don't depend on the order or the layout of the rows.
+
+A pair of language and source is judged by its own counts, to which its language's
+sketch is added with the weight of ``PRIOR`` documents; to a language's, likewise, that
+of all documents. So each document moves its group's limits, at every size, and a group
+of few documents is mostly judged by the level above.
 
 Only bucket counts are shuffled for the thresholds, at most some 1,500 a group and
 statistic; a group that holds most rows is counted partition by partition.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,22 +35,26 @@ REPEAT_WIDTH = 8
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
-#: Statistic -> (expression, factor of the tail, least upper limit, least lower limit or None for no lower limit).
-#: The upper limit is the median, four times the distance from there to the third quartile, and ``factor`` times that to
-#: the 99th percentile, but at least the least limit, which keeps groups that hardly know a statistic from failing at its
-#: first occurrence. Junk lies beyond a small share of its own tail in symbols; repeated passages are common in good texts,
-#: so that only what is far beyond the tail fails. With a lower limit, the rule is that of quartiles on both sides.
+#: Statistic -> (expression, factor of the tail, whether there is a lower limit).
+#: The upper limit is the median, four times the distance from there to the third quartile, and ``factor`` times that to the
+#: tail, the 99th percentile. With a lower limit, the rule lies ``factor`` times the distance of the quartiles beyond both of them. Either distance is at least ``LEAST_SHARE`` of that
+#: among all documents, so that groups that hardly know a statistic don't fail at its first occurrence; what fewer than 1 % of all documents
+#: have is no tail to judge by, and fails nowhere. Junk lies beyond a
+#: small share of its own tail in symbols; repeated lines are common in good texts, so that only what is far beyond the tail
+#: fails. Repeated passages have no adaptive rule: the base rule cuts them far below any tail of theirs.
 RULES = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", 0.2, 0.02, None),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 3.0, 0.28, None),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 3.0, 0.35, None),
-    "word_length": ("word_chars / greatest(n_words, 1)", 4.0, 1.0, 1.0),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", 0.2, False),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 3.0, False),
+    "word_length": ("word_chars / greatest(n_words, 1)", 4.0, True),
 }
 QUANTILES = (0.25, 0.5, 0.75, 0.99)
+#: Weights are sums of fractions: ranks that differ by less are equal.
+SAME = 1e-6
+LEAST_SHARE = 0.5
 #: Buckets of the sketches: bucket b holds the values from RATIO**(b - 1) to RATIO**b; those below LEAST are zero.
 RATIO, LEAST, ZERO = 1.02, 1e-9, -100_000
-#: A group of fewer documents that pass the base rules takes the thresholds of the level above.
-LEAST_GROUP = 100
+#: The sketch of the level above counts as so many documents.
+PRIOR = 100
 
 
 def measure(text: bytes | None) -> tuple[int, ...]:
@@ -100,50 +107,78 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
     return rated.groupBy("lang", "source", "v.rule", "v.bucket").agg(F.count("*").alias("n"))
 
 
-def _limits(counts: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, rows, and low and high limits of each rule, from sketches that are merged by ``by``."""
-    merged = counts.groupBy(*by, "rule", "bucket").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy(*by, "rule")  # a few hundred buckets each
-    below = merged.withColumn("up_to", F.sum("n").over(of.orderBy("bucket"))).withColumn("rows", F.sum("n").over(of))
+def blended(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """lang, source, rule, bucket, weight: the sketch of each pair, with that of its language as so many documents, and in that all's.
+
+    The rows of null language and source with ``overall`` true are those of all documents. A group's sketch has every bucket
+    of the level above, so its size is bounded by that of all, whatever the number of documents.
+    """
+    share = lambda rows, by: rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "rule"))).drop("n")
+    whole = counts.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))  # some thousands of rows at most
+    of_all = share(whole, [])
+
+    def above(groups: DataFrame, own: DataFrame, parent: DataFrame, by: list[str]) -> DataFrame:
+        """The parent's shares for each group, as ``prior`` documents, and the group's own counts."""
+        given = groups.join(parent, [F.col(f"g_{c}").eqNullSafe(F.col(c)) for c in by] or F.lit(True)).drop(*by)
+        names = [c for c in groups.columns]
+        mine = own.select(*[F.col(c[2:]).alias(c) for c in names], "rule", "bucket", F.col("n").cast("double").alias("n"), F.lit(0.0).alias("p"))
+        both = mine.unionByName(given.select(*names, "rule", "bucket", F.lit(0.0).alias("n"), (F.col("share") * prior).alias("p")))
+        # one of each kind a bucket, so the sums are the same in any order
+        return both.groupBy(*names, "rule", "bucket").agg((F.sum("n") + F.sum("p")).alias("n")).withColumnsRenamed({c: c[2:] for c in names})
+
+    by_lang = counts.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
+    langs = above(counts.select(F.col("lang").alias("g_lang")).distinct(), by_lang, F.broadcast(of_all), [])
+    pairs = above(counts.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct(), counts, share(langs, ["lang"]), ["lang"])
+    out = pairs.select("lang", "source", F.lit(False).alias("overall"), "rule", "bucket", F.col("n").alias("weight"))
+    none = F.lit(None).cast("string")
+    return out.unionByName(whole.select(none.alias("lang"), none.alias("source"), F.lit(True).alias("overall"), "rule", "bucket", F.col("n").cast("double").alias("weight")))
+
+
+def _quantiles(sketches: DataFrame) -> DataFrame:
+    """lang, source, overall, and the quantiles of each rule."""
+    group = ["lang", "source", "overall"]
+    of = Window.partitionBy(*group, "rule")  # a few hundred buckets each
+    below = sketches.withColumn("up_to", F.sum("weight").over(of.orderBy("bucket"))).withColumn("total", F.max("up_to").over(of))
     value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(RATIO), F.col("bucket")) * (2 / (1 + RATIO)))
-    reached = lambda rule, q: F.min(F.when((F.col("rule") == rule) & (F.col("up_to") >= F.col("rows") * q), value))
-    out = below.groupBy(*by).agg(F.max("rows").alias("rows"), *[reached(rule, q).alias(f"{rule}_{k}") for rule in RULES for k, q in enumerate(QUANTILES)])
-    limits = []
-    for name, (_, factor, top, bottom) in RULES.items():
-        q1, q2, q3, tail = (F.col(f"{name}_{k}") for k in range(4))
-        if bottom is None:
-            low, high = F.lit(float("-inf")), F.greatest(F.lit(top), q2 + 4 * (q3 - q2) + factor * (tail - q2))
-        else:
-            low, high = q1 - F.greatest(F.lit(bottom), factor * (q3 - q1)), q3 + F.greatest(F.lit(top), factor * (q3 - q1))
-        limits += [low.alias(f"low_{name}"), high.alias(f"high_{name}")]
-    return out.select(*by, "rows", *limits)
+    reached = lambda rule, q: F.min(F.when((F.col("rule") == rule) & (F.col("up_to") >= F.col("total") * q - SAME), value))
+    return below.groupBy(*group).agg(*[reached(rule, q).alias(f"{rule}_{k}") for rule in RULES for k, q in enumerate(QUANTILES)])
 
 
-def thresholds(rows: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    """lang, source and the limits of each pair that occurs among rows that pass the base rules.
+def _reach(name: str) -> Column:
+    """How far beyond its median, or its quartiles, a group lets a statistic go."""
+    _, factor, both = RULES[name]
+    q1, q2, q3, tail = (F.col(f"{name}_{k}") for k in range(4))
+    if both:
+        return factor * (q3 - q1)
+    return F.when(F.col("overall") & (tail <= 0), F.lit(float("inf"))).otherwise(4 * (q3 - q2) + factor * (tail - q2))
 
-    Limits come from the pair's own sketches if it has ``least_group`` rows, else from its language's merged
-    sketches, else from those of all rows.
-    """
+
+def thresholds(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """lang, source and the limits of each pair that occurs among rows that pass the base rules."""
     counts = stored(bucket_counts(rows), "sketches")
-    langs, everything = _limits(counts, ["lang"]), _limits(counts.withColumn("one", F.lit(1)), ["one"]).drop("one")
-    limits = [f"{side}_{n}" for n in RULES for side in ("low", "high")]
-    own = _limits(counts, ["lang", "source"]).alias("p").join(langs.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")), "left")
-    own = own.join(F.broadcast(everything).alias("a"), F.lit(True), "left")  # one row
-    pick = lambda c: F.when(F.col("p.rows") >= least_group, F.col(f"p.{c}")).when(F.col("l.rows") >= least_group, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    return own.select(F.col("p.lang").alias("lang"), F.col("p.source").alias("source"), *[pick(c).alias(c) for c in limits])
+    known = stored(_quantiles(blended(counts, prior)).withColumns({f"reach_{n}": _reach(n) for n in RULES}), "quantiles")
+    least = known.where("overall").select(*[(F.col(f"reach_{n}") * LEAST_SHARE).alias(f"least_{n}") for n in RULES])
+    own = known.where("NOT overall").join(F.broadcast(least), F.lit(True))  # one row
+    limits = []
+    for name, (*_, both) in RULES.items():
+        reach = F.greatest(f"reach_{name}", f"least_{name}")
+        low = F.col(f"{name}_0") - reach if both else F.lit(float("-inf"))
+        limits += [low.alias(f"low_{name}"), (F.col(f"{name}_{2 if both else 1}") + reach).alias(f"high_{name}")]
+    return own.select("lang", "source", *limits)
 
 
-def verdicts(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def verdicts(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """doc_id, the measures, base_failed, kept and ``failed`` (names of the adaptive rules that failed) for each row.
 
+    ``prior`` is the weight of a group's level above, in documents.
+
     * A null or empty text has no words and fails the base rules.
     * Null languages and sources are groups of their own; repeated rows count as often as they occur.
     * A row that fails the base rules isn't judged by the adaptive ones and isn't kept.
     * An empty table gives no rows; other columns are ignored; equal tables give equal verdicts, however they are laid out.
     """
     rows = stored(measured(docs), "measures")
-    limits = thresholds(rows, least_group).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    limits = thresholds(rows, prior).withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     failing = []
     for n, (expr, *_) in RULES.items():

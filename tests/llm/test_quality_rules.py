@@ -39,18 +39,15 @@ def test_empty_and_all_failing(spark):
     assert [(r.base_failed, r.kept) for r in out] == [(True, False)] * 2
 
 
-def _brute_verdicts(rows, least_group):
-    """kept by row, from sorted lists of the sketches' values."""
+def _brute_verdicts(rows, prior):
+    """kept by row, from weighted lists of the sketches' values."""
     import math
 
     measures = {i: dict(zip(qr.MEASURES, qr.measure(t.encode() if t else None))) for i, t, _, _ in rows}
     failed = {i: qr.brute(t)[5] for i, t, _, _ in rows}
 
     def stats(m):
-        return {
-            "symbols": m["n_symbols"] / max(m["word_chars"], 1), "repeats": m["n_repeat_words"] / max(m["n_words"], 1),
-            "dup_lines": m["n_dup_lines"] / max(m["n_lines"], 1), "word_length": m["word_chars"] / max(m["n_words"], 1),
-        }
+        return {"symbols": m["n_symbols"] / max(m["word_chars"], 1), "dup_lines": m["n_dup_lines"] / max(m["n_lines"], 1), "word_length": m["word_chars"] / max(m["n_words"], 1)}
 
     def sketched(x):
         if x < qr.LEAST:
@@ -59,26 +56,55 @@ def _brute_verdicts(rows, least_group):
         assert abs(value - x) <= 0.0101 * x
         return value
 
-    def limits(ids):
+    def weighed(ids, name, above=None):
+        """value -> weight of a group, with the level above as ``prior`` documents."""
         out = {}
-        for name, (_, factor, top, bottom) in qr.RULES.items():
-            xs = sorted(stats(measures[i])[name] for i in ids)
-            q1, q2, q3, tail = (sketched(xs[max(0, math.ceil(q * len(xs)) - 1)]) for q in qr.QUANTILES)
-            if bottom is None:
-                out[name] = (-math.inf, max(top, q2 + 4 * (q3 - q2) + factor * (tail - q2)))
-            else:
-                out[name] = (q1 - max(bottom, factor * (q3 - q1)), q3 + max(top, factor * (q3 - q1)))
+        for i in ids:
+            x = sketched(stats(measures[i])[name])
+            out[x] = out.get(x, 0) + 1
+        if above is not None:
+            total = sum(above.values())
+            for x, w in above.items():
+                out[x] = out.get(x, 0) + prior * w / total
         return out
 
+    def quantiles(group):
+        total, found = sum(group.values()), []
+        for q in qr.QUANTILES:
+            up_to = 0
+            for x in sorted(group):
+                up_to += group[x]
+                if up_to >= total * q - qr.SAME:
+                    break
+            found.append(x)
+        return found
+
+    def reach(name, qs, overall):
+        _, factor, both = qr.RULES[name]
+        q1, q2, q3, tail = qs
+        if both:
+            return factor * (q3 - q1)
+        return math.inf if overall and tail <= 0 else 4 * (q3 - q2) + factor * (tail - q2)
+
     good = [r for r in rows if not failed[r[0]]]
+
+    def limits(lang, source):
+        out = {}
+        for name, (*_, both) in qr.RULES.items():
+            of_all = weighed([r[0] for r in good], name)
+            of_lang = weighed([r[0] for r in good if r[2] == lang], name, of_all)
+            qs = quantiles(weighed([r[0] for r in good if r[2:] == (lang, source)], name, of_lang))
+            far = max(reach(name, qs, False), qr.LEAST_SHARE * reach(name, quantiles(of_all), True))
+            out[name] = (qs[0] - far, qs[2] + far) if both else (-math.inf, qs[1] + far)
+        return out
+
+    known = {pair: limits(*pair) for pair in {r[2:] for r in good}}
     kept, near = {}, set()
     for i, _, lang, source in rows:
         if failed[i]:
             kept[i] = False
             continue
-        own, of_lang = [r[0] for r in good if r[2:] == (lang, source)], [r[0] for r in good if r[2] == lang]
-        by = own if len(own) >= least_group else of_lang if len(of_lang) >= least_group else [r[0] for r in good]
-        x, lim = stats(measures[i]), limits(by)
+        x, lim = stats(measures[i]), known[lang, source]
         kept[i] = all(lim[k][0] <= x[k] <= lim[k][1] for k in x)
         if any(math.isfinite(e) and abs(x[k] - e) <= 1e-9 * abs(e) for k in x for e in lim[k]):  # rounding
             near.add(i)
@@ -95,8 +121,8 @@ def test_verdicts_match_exact_quantiles_and_are_the_same_in_any_layout(spark):
         rows.append((k, " ".join(w + junk for w in _clean(rnd, rnd.randint(5, 90)).split()) + noise, lang, source))
     schema = "doc_id long, text string, lang string, source string"
     frame = spark.createDataFrame(rows, schema)
-    first = {r.doc_id: r for r in qr.verdicts(frame.repartition(3), least_group=40).collect()}
-    again = {r.doc_id: r for r in qr.verdicts(frame.repartition(7, "text"), least_group=40).collect()}
+    first = {r.doc_id: r for r in qr.verdicts(frame.repartition(3), prior=40).collect()}
+    again = {r.doc_id: r for r in qr.verdicts(frame.repartition(7, "text"), prior=40).collect()}
     assert first == again
     kept, near = _brute_verdicts(rows, 40)
     assert len(near) < 5 and not all(kept.values()) and any(kept.values())
@@ -110,8 +136,30 @@ def test_repeats_are_counted_on_words_not_on_hashes():
     assert qr.measure(text.encode())[4] == qr.brute(text)[4] == 0
 
 
-def test_limits_differ_between_groups(spark):
-    rows = qr.measured(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
-    limits = qr.thresholds(rows).collect()
-    for name in ("symbols", "repeats", "dup_lines", "word_length"):
-        assert len({r[f"high_{name}"] for r in limits}) > 3, name
+def test_limits_differ_between_groups_of_every_size(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        rows = qr.measured(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        limits = qr.thresholds(rows).collect()
+        for name in ("symbols", "word_length"):
+            assert len({r[f"high_{name}"] for r in limits}) > 2, (sf, name)
+
+
+def test_each_document_moves_its_group(spark):
+    rnd = random.Random(3)
+    base = [(k, _clean(rnd, 60), "aa", f"s{k % 3}") for k in range(90)]
+    wide = [(100 + k, " ".join(w * 4 for w in _clean(rnd, 60).split()), "aa", "s9") for k in range(30)]  # long words, in a small group
+    schema = "doc_id long, text string, lang string, source string"
+    few, many = (qr.thresholds(qr.measured(spark.createDataFrame([*base, *wide[:n]], schema))) for n in (3, 30))
+    high = lambda t: {r.source: r.high_word_length for r in t.collect()}
+    assert high(many)["s9"] > high(few)["s9"] >= high(few)["s0"]
+
+
+def test_what_hardly_any_document_has_fails_nowhere(spark):
+    rnd = random.Random(4)
+    rows = [(k, _clean(rnd, 60) + (" #" if k == 5 else ""), "aa", "s") for k in range(300)]
+    schema = "doc_id long, text string, lang string, source string"
+    out = {r.doc_id: r.failed for r in qr.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert "symbols" not in out[5]
+    rows += [(300 + k, " ".join(w + "##" for w in _clean(rnd, 60).split()), "aa", f"t{k}") for k in range(8)]  # now there is a tail
+    out = {r.doc_id: r.failed for r in qr.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert "symbols" not in out[5] and all("symbols" in out[300 + k] for k in range(8))
