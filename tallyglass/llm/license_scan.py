@@ -56,6 +56,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by-sa-name": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "cc0-name": ("SPDX-License-Identifier: CC0-1.0", "Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "reserved": ("All rights reserved.", "All rights are reserved."),
 }
 
 #: Rules in order: (licence, sequence of identifiers). Full texts come before notices that only name a licence.
@@ -89,13 +90,16 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("cc-by-name",)),
     ("CC0-1.0", ("cc0-name",)),
     ("Unlicense", ("public-domain",)),
+    ("All-Rights-Reserved", ("reserved",)),
 )
+#: Rules that hold only where no other does: reserved rights beside a licence belong to its copyright line.
+ONLY_ALONE = frozenset({"All-Rights-Reserved"})
 #: Other sentences that may stand between two of a rule.
 MAX_GAP = 3
 
 _WORD = re.compile(r"[0-9a-z]+(?:[.+-][0-9a-z]+)*|[^\x00-\x7f]+")
 _CUT = re.compile(r"(?<=[.!?;:])[ \t]+|[\r\n]+")
-_TRIGGER = re.compile(r"licen[sc]e|permission|redistribut|notice|waive|public[^0-9a-z]+domain|warrant|free[^0-9a-z]+software|software[^0-9a-z]+is[^0-9a-z]+provided|endorse", re.I)
+_TRIGGER = re.compile(r"licen[sc]e|permission|redistribut|notice|waive|public[^0-9a-z]+domain|warrant|free[^0-9a-z]+software|rights[^0-9a-z]+(?:are[^0-9a-z]+)?reserved|software[^0-9a-z]+is[^0-9a-z]+provided|endorse", re.I)
 
 
 def normalise(sentence: str) -> str:
@@ -107,15 +111,19 @@ for _id, _forms in SENTENCES.items():
     for _form in _forms:
         _KNOWN[normalise(_form)] = _id
 #: First words of known sentences, and the words that a sentence may have: both are exact filters.
-_FIRST = {k.split(" ", 1)[0] for k in _KNOWN}
+_FIRST = {k.split(" ", 1)[0] for k in _KNOWN} | {"copyright"}
 _LONGEST = max(map(len, _KNOWN))
 
 #: The endorsement clause with the name of any holder.
 _ENDORSE = re.compile(r"neither the name of (?:\S+ ){1,20}nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission")
+#: Reserved rights of any named holder, in one sentence with the copyright.
+_RESERVED = re.compile(r"copyright (?:\S+ ){1,40}all rights reserved[.]?")
 
 
 def _known(sentence: str) -> str | None:
     """The identifier of a normalised sentence."""
+    if sentence.startswith("copyright ") and _RESERVED.fullmatch(sentence):
+        return "reserved"
     if sentence.startswith("neither the name of ") and _ENDORSE.fullmatch(sentence):
         return "bsd-endorse"
     return _KNOWN.get(sentence)
@@ -161,7 +169,7 @@ def match(sequence: list[tuple[int, str]]) -> list[str]:
     names = {name for _, name in sequence}
     out = []
     for licence, rule in RULES:
-        if not names.issuperset(rule):
+        if not names.issuperset(rule) or (licence in ONLY_ALONE and out):
             continue
         for start, (_, name) in enumerate(sequence):
             if name != rule[0] or not free[start]:
@@ -175,7 +183,7 @@ def match(sequence: list[tuple[int, str]]) -> list[str]:
                 if at == len(sequence) or sequence[at][0] > reach:
                     break
                 used.append(at)
-            if len(used) == len(rule):
+            if len(used) == len(rule) and not (licence in ONLY_ALONE and out):
                 for u in used:
                     free[u] = False
                 out.append(licence)
@@ -200,7 +208,11 @@ def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order) and licences (by rule, then place) for each row of ``docs``.
 
-    A null or empty text has none; repeated rows get equal results; other columns are ignored.
+    * A null or empty text has none; a text without any of the words that licence sentences have isn't cut at all.
+    * A known sentence may be wrapped over any number of lines; of sentences that begin at one place the longest is taken.
+    * Rules that could take one identifier: the first in order has it, and of its places the earliest.
+    * A text of any length is scanned whole, in time that grows with its length.
+    * Repeated rows get equal results; an empty table gives no rows; other columns are ignored.
     """
     return doc_columns(docs).withColumn("__s", _scan("text")).select("doc_id", "__s.*")
 

@@ -34,13 +34,16 @@ def test_query_finds_the_planted_lines(spark):
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
         "Released under the MIT License.": "MIT",
         "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "All rights reserved.": "All-Rights-Reserved",
     }
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = {r.doc_id: r for r in ls.op4(spark, SF).collect()}
     assert len(out) == len(texts)
     for i, text in texts.items():
         lines = [known[x] for x in re.split(r"\n", text) if x in known]
-        assert out[i].licences == ",".join(sorted(set(lines))) and out[i].n_sentences == len(lines)
+        named = set(lines) if set(lines) <= ls.ONLY_ALONE else set(lines) - ls.ONLY_ALONE
+        assert out[i].licences == ",".join(sorted(named)) and out[i].n_sentences == len(lines)
+    assert any("All-Rights-Reserved" in r.licences for r in out.values())
 
 
 def test_edges(spark):
@@ -69,6 +72,16 @@ def test_more_families_and_named_holders():
         assert ls.match(ls.recognise(text)) == [name]
 
 
+def test_reserved_rights_stand_only_alone():
+    s = {k: v[0] for k, v in ls.SENTENCES.items()}
+    for text in ("All rights reserved.", "Copyright (c) 2020 Some Body, Inc. All Rights Reserved.", "// Copyright 2021-2023 Some Body - all rights reserved", "All\nrights\nreserved"):
+        assert ls.match(ls.recognise(text)) == ["All-Rights-Reserved"], text
+    for text in ("All rights are hers, and reserved is he.", "He reserved all rights", "copyright"):
+        assert ls.match(ls.recognise(text)) == [], text
+    bsd = "\n".join(["Copyright (c) 2020 Some Body. All rights reserved.", s["bsd-redistribution"], s["bsd-source"], s["bsd-binary"]])
+    assert ls.match(ls.recognise(bsd)) == ["BSD-2-Clause"]
+
+
 def _brute_match(sequence):
     """The rules by trying every choice of places, the earliest first."""
     free, out = [True] * len(sequence), []
@@ -83,6 +96,8 @@ def _brute_match(sequence):
 
     for licence, rule in ls.RULES:
         for start in range(len(sequence)):
+            if licence in ls.ONLY_ALONE and out:
+                break
             if free[start] and sequence[start][1] == rule[0] and (used := follow(rule, [start])):
                 for u in used:
                     free[u] = False
