@@ -1,17 +1,25 @@
 """A real embedder that needs no model: hashed word n-grams, weighted by inverse document frequency.
 
 Words and pairs of words are hashed to ``CODES`` codes; a code has a place of the vector and a sign. Its weight is the inverse
-document frequency over all parts, so the table of weights has ``CODES`` rows at most however large the corpus is, and is
-broadcast. Everything is built-in functions: counts are combined before each shuffle, and only (part, place) sums travel.
+document frequency over all parts, so the table of weights has ``CODES`` entries however large the corpus is, and is broadcast.
+Frequencies are counted task by task before they are shuffled; vectors need no shuffle but for texts of several parts.
 
 Oversized texts are cut into parts of ``PART_WORDS`` words, which are embedded alone; a text's vector is the mean of its parts'.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyglass.operators.embed import mean_vectors
 from tallyglass.storage import stored
 
 CODES, DIM = 1 << 18, 64
@@ -20,39 +28,79 @@ PART_WORDS = 256
 PAIR = 1_000_003
 #: Weights are whole millionths, so that sums don't depend on their order.
 SCALE = 1_000_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+#: Words whose numbers a task keeps at hand.
+KEPT_WORDS = 1 << 18
+_WORD = re.compile(rb"[a-z0-9_]+")
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters, digits and underscores; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit("[a-z0-9_]+"), F.lit(0)), F.array().cast("array<string>"))
 
+class _Numbers(dict):
+    """Word -> the first 32 bits of its MD5."""
 
-def codes(tokens: Column) -> Column:
-    """The codes of the words and of the pairs of neighbours, repeats included; a word is hashed once."""
-    numbers = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        number = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big")
+        return number
 
-    def both(n: Column) -> Column:
-        pairs = F.zip_with(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, 2, F.size(n)), lambda a, b: a * PAIR + b)
-        return F.transform(F.concat(n, pairs), lambda x: (x % CODES).cast("int"))
 
-    return F.transform(F.array(numbers), both)[0]  # binds the numbers to a variable
+def text_codes(text: str | None, part_words: int, numbers: _Numbers) -> list[np.ndarray]:
+    """The codes of each part's words and pairs of neighbours, repeats included; words are lower-cased runs of ASCII letters, digits
+    and underscores. A text without words has one part without codes."""
+    words = _WORD.findall(text.encode().lower()) if text else []
+    out = []
+    for i in range(0, max(len(words), 1), part_words):
+        own = words[i : i + part_words]
+        n = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
+        out.append((np.concatenate((n, n[:-1] * PAIR + n[1:])) % CODES).astype(np.int32))
+    return out
 
 
 def parts(texts: DataFrame, key: str, text: str, part_words: int = PART_WORDS) -> DataFrame:
-    """key, part (from 0), codes; a text without words has one part without codes."""
-    bound = texts.select(key, words(F.col(text)).alias("w"))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(part_words)), lambda i: F.slice(F.col("w"), i + 1, F.lit(part_words)))
-    return bound.select(key, F.posexplode(cut).alias("part", "w")).select(key, "part", codes(F.col("w")).alias("codes"))
+    """key, parts (their number), part (from 0), codes."""
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers = _Numbers()
+        for column in batches:
+            found = [text_codes(t.as_py(), part_words, numbers) for t in column]
+            flat = [c for own in found for c in own]
+            inner = pa.ListArray.from_arrays(np.cumsum([0, *map(len, flat)], dtype=np.int32), np.concatenate(flat) if flat else np.zeros(0, np.int32))
+            yield pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), inner)
+
+    found = texts.select(key, coded(text).alias("found"))
+    return found.select(key, F.size("found").alias("parts"), F.posexplode("found").alias("part", "codes"))
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the value of each entry of a column of lists."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CODES + 1, np.int64)
+    for batch in batches:
+        row, code = _flat(batch.column(0))
+        place = np.sort(row * CODES + code)
+        first = place[np.diff(place, prepend=-1) > 0]  # each code once a row
+        counts[:CODES] += np.bincount(first % CODES, minlength=CODES)
+        counts[CODES] += batch.num_rows
+    code = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(counts[code])], ["code", "n"])
+
+
+def frequencies(all_parts: DataFrame) -> DataFrame:
+    """code, n: the parts that have a code, and under the code ``CODES`` the parts; so many rows at most, also from each task."""
+    return all_parts.select("codes").mapInArrow(_counted, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def weights(all_parts: DataFrame) -> DataFrame:
-    """code, weight: the whole millionths of 1 + ln((1 + parts) / (1 + parts with the code)); ``CODES`` rows at most."""
-    each = F.explode(F.concat(F.array_distinct("codes"), F.array(F.lit(-1))))  # -1 counts the parts themselves
-    counted = stored(all_parts.select(each.alias("code")).groupBy("code").agg(F.count("*").alias("df")), "code-counts")
-    total = counted.where("code = -1").first()  # one number
-    ratio = F.lit(1.0 + (total["df"] if total else 0)) / (F.lit(1.0) + F.col("df"))
-    return counted.where("code >= 0").select("code", F.round((F.lit(1.0) + F.log(ratio)) * SCALE).cast("long").alias("weight"))
+def weights(counts: DataFrame) -> np.ndarray:
+    """For each code the whole millionths of 1 + ln((1 + parts) / (1 + parts with the code)), negative where its sign is."""
+    rows = counts.toPandas()  # CODES + 1 rows at most
+    n = np.zeros(CODES + 1, np.int64)
+    n[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    weight = np.round((1 + np.log((1.0 + n[CODES]) / (1.0 + n[:CODES]))) * SCALE)
+    return np.where(np.arange(CODES) // DIM % 2 == 0, weight, -weight)
 
 
 def embed_hashed(texts: DataFrame, key: str = "id", text: str = "content", part_words: int = PART_WORDS) -> DataFrame:
@@ -61,12 +109,16 @@ def embed_hashed(texts: DataFrame, key: str = "id", text: str = "content", part_
     Each part's vector has norm 1, so the mean of several has at most 1.
     """
     cut = stored(parts(texts, key, text, part_words), "parts")  # read twice
-    placed = cut.select(key, "part", F.explode_outer("codes").alias("code")).join(F.broadcast(weights(cut)), "code", "left")
-    sign = F.when(F.floor(F.col("code") / DIM) % 2 == 0, F.col("weight")).otherwise(-F.col("weight"))
-    sums = placed.groupBy(key, "part", F.coalesce(F.col("code") % DIM, F.lit(-1)).alias("place")).agg(F.sum(sign).alias("x"))
-    by_part = sums.groupBy(key, "part").agg(F.collect_list(F.struct("place", "x")).alias("xs"), F.sqrt(F.sum(F.col("x").cast("double") * F.col("x"))).alias("norm"))
-    normed = by_part.select(key, "part", "norm", F.explode("xs").alias("p")).withColumn("x", F.when(F.col("norm") > 0, F.col("p.x") / F.col("norm")).otherwise(0.0))
-    means = normed.groupBy(key, F.col("p.place").alias("place")).agg(F.sum("x").alias("x"), F.max("part").alias("last"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n"))
-    whole = means.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"), (F.max("last") + 1).alias("n"))
-    return whole.select(key, vector.alias("vector"))
+    weight = texts.sparkSession.sparkContext.broadcast(weights(frequencies(cut)))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def vector(codes: pa.Array) -> pa.Array:
+        row, code = _flat(codes)
+        sums = np.bincount(row * DIM + code % DIM, weights=weight.value[code], minlength=len(codes) * DIM).reshape(-1, DIM)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        values = np.divide(sums, norms, out=np.zeros(sums.shape), where=norms > 0)
+        return pa.ListArray.from_arrays(np.arange(0, len(codes) * DIM + 1, DIM, dtype=np.int32), values.ravel())
+
+    embedded = cut.select(key, "part", "parts", vector("codes").alias("vector"))
+    alone = embedded.where("parts = 1").select(key, "vector")
+    return alone.unionByName(mean_vectors(embedded.where("parts > 1"), key))

@@ -84,7 +84,7 @@ def embed_keywords(spark, d):
     return out.select("path", F.col("start_line").cast("long"), F.array_join(F.transform("v", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("vector"))
 
 
-_HASHED = f"""tok AS (SELECT path || ':' || start_line AS id, regexp_extract_all(translate(content, '{hashed._UPPER}', '{hashed._LOWER}'), '[a-z0-9_]+') AS w FROM kept),
+_HASHED = f"""tok AS (SELECT path || ':' || start_line AS id, regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+') AS w FROM kept),
   parts AS (SELECT id, p // {hashed.PART_WORDS} AS part, w[p + 1:p + {hashed.PART_WORDS}] AS w FROM (SELECT *, unnest(range(0, greatest(len(w), 1), {hashed.PART_WORDS})) AS p FROM tok)),
   numbered AS (SELECT id, part, list_transform(w, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS n FROM parts),
   coded AS (SELECT id, part, unnest(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] * {hashed.PAIR} + n[i + 1]))) % {hashed.CODES} AS code FROM numbered),
