@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.operators.embed import mean_vectors
-from tallyglass.storage import stored
+from tallyglass.storage import small_batches, stored
 
 CODES, DIM = 1 << 18, 64
 PART_WORDS = 256
@@ -29,7 +29,9 @@ PAIR = 1_000_003
 #: Weights are whole millionths, so that sums don't depend on their order.
 SCALE = 1_000_000
 #: Words whose numbers a task keeps at hand.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 16
+#: Rows that a task works on at a time, and bytes of text that it is given at a time.
+ROWS, BATCH_BYTES = 1024, 4 << 20
 _WORD = re.compile(rb"[a-z0-9_]+")
 
 
@@ -79,7 +81,7 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(CODES + 1, np.int64)
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         row, code = _flat(batch.column(0))
         place = np.sort(row * CODES + code)
         first = place[np.diff(place, prepend=-1) > 0]  # each code once a row
@@ -108,16 +110,20 @@ def embed_hashed(texts: DataFrame, key: str = "id", text: str = "content", part_
 
     Each part's vector has norm 1, so the mean of several has at most 1.
     """
-    cut = stored(parts(texts, key, text, part_words), "parts")  # read twice
+    with small_batches(texts.sparkSession, BATCH_BYTES):
+        cut = stored(parts(texts, key, text, part_words), "parts")  # read twice
     weight = texts.sparkSession.sparkContext.broadcast(weights(frequencies(cut)))
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def vector(codes: pa.Array) -> pa.Array:
+    def of_rows(codes: pa.Array) -> np.ndarray:
         row, code = _flat(codes)
         sums = np.bincount(row * DIM + code % DIM, weights=weight.value[code], minlength=len(codes) * DIM).reshape(-1, DIM)
         norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        values = np.divide(sums, norms, out=np.zeros(sums.shape), where=norms > 0)
-        return pa.ListArray.from_arrays(np.arange(0, len(codes) * DIM + 1, DIM, dtype=np.int32), values.ravel())
+        return np.divide(sums, norms, out=np.zeros(sums.shape), where=norms > 0).ravel()
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def vector(codes: pa.Array) -> pa.Array:
+        values = [of_rows(codes.slice(i, ROWS)) for i in range(0, len(codes), ROWS)]
+        return pa.ListArray.from_arrays(np.arange(0, len(codes) * DIM + 1, DIM, dtype=np.int32), np.concatenate(values) if values else np.zeros(0))
 
     embedded = cut.select(key, "part", "parts", vector("codes").alias("vector"))
     alone = embedded.where("parts = 1").select(key, "vector")
