@@ -72,8 +72,7 @@ class CodeIndex:
     def _segment(self, fresh: DataFrame, changes: DataFrame) -> str:
         name = uuid.uuid4().hex
         held: list[str] = []
-        parsed = extract.parsed(fresh).select("path", "language", F.explode("symbols").alias("s")).select("path", "language", "s.*")
-        symbols = self._write(name, "symbols", parsed.dropDuplicates(["path", "start", "end", "name"]))
+        symbols = self._write(name, "symbols", extract.exploded(fresh).dropDuplicates(["path", "start", "end", "name"]))
         found = stored(related(fresh), "index-related", held)  # one parse for calls, supertypes and members
         for kind in ("calls", "supers", "members"):
             self._write(name, kind, found.select("path", "language", F.explode(kind).alias("r")).select("path", "language", "r.*"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,22 +17,39 @@ from tallyglass.kernels import slices as sl
 from tallyglass.operators.chunk import resplit
 
 _SYMBOL = T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("start_line", "end_line", "start", "end")],
-     T.StructField("container", T.StringType()), T.StructField("signature", T.StringType())]
+    [T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("start_line", "end_line", "start", "end")], T.StructField("container", T.StringType())]
 )
 _PARSED = T.StructType([T.StructField("symbols", T.ArrayType(_SYMBOL)), T.StructField("error", T.StringType())])
+_KINDS = [(f, pa.string() if f in ("name", "type", "container") else pa.int64()) for f in decl.Symbol._fields]
+#: Files whose symbols a task holds as Python objects.
+ROWS = 256
+
+
+def _read(text: str | None, language: str) -> tuple[list[decl.Symbol], str | None]:
+    """The symbols of a text, or why it couldn't be read."""
+    try:
+        return decl.symbols(text or "", language), None
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [], str(e)[:200]
+
+
+def _pairs(content: pa.Array, language: pa.Array) -> Iterator[Iterator[tuple[str | None, str]]]:
+    """Texts with their languages, in groups of ``ROWS``; a group is held at a time."""
+    for i in range(0, len(content), ROWS):
+        yield zip(content.slice(i, ROWS).to_pylist(), language.slice(i, ROWS).to_pylist(), strict=True)
 
 
 @F.arrow_udf(_PARSED)
 def _parse(content: pa.Array, language: pa.Array) -> pa.Array:
-    rows = []
-    for text, lang in zip(content.to_pylist(), language.to_pylist(), strict=True):
-        try:
-            rows.append({"symbols": [s._asdict() for s in decl.symbols(text or "", lang)], "error": None})
-        except (SyntaxError, ValueError, RecursionError) as e:
-            rows.append({"symbols": [], "error": str(e)[:200]})
-    kind = pa.struct([("symbols", pa.list_(pa.struct([(f, pa.string() if f in ("name", "type", "container", "signature") else pa.int64()) for f in decl.Symbol._fields]))), ("error", pa.string())])
-    return pa.array(rows, kind)
+    parts = [pa.array([], pa.struct([("symbols", pa.list_(pa.struct(_KINDS))), ("error", pa.string())]))]
+    for pairs in _pairs(content, language):
+        found = [_read(text, lang) for text, lang in pairs]
+        flat = [s for own, _ in found for s in own]
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*flat, strict=True) if flat else [()] * len(_KINDS), _KINDS, strict=True)]
+        offsets = pa.array(np.cumsum([0, *[len(own) for own, _ in found]], dtype=np.int32))
+        symbols = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, [f for f, _ in _KINDS]))
+        parts.append(pa.StructArray.from_arrays([symbols, pa.array([e for _, e in found], pa.string())], ["symbols", "error"]))
+    return pa.concat_arrays(parts)
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -38,6 +58,17 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.withColumn("language", lang).where("language != ''").withColumn("__p", _parse("content", "language")).withColumn("symbols", F.col("__p.symbols")).withColumn("error", F.col("__p.error")).drop("__p")
 
 
+def exploded(files: DataFrame, *more: str) -> DataFrame:
+    """path, language, the columns ``more``, and each symbol with its signature: the line that it begins in, from its start.
+
+    The signature is cut from the text where it is asked for. In a file of one line each signature is the rest of the file.
+    """
+    rows = parsed(files).select("path", "language", "content", F.explode("symbols").alias("s")).select("path", "language", "content", "s.*")
+    line = F.substring_index(F.expr("substring(content, CAST(start AS INT) + 1)"), "\n", 1)
+    ends = F.when(F.col("language").isin("html", "xml"), line).when(F.col("language") == "python", F.regexp_replace(line, r"(?U)\s+\z", "")).otherwise(F.regexp_replace(line, r"\r+\z", ""))
+    return rows.select("path", "language", *more, *decl.Symbol._fields, ends.alias("signature"))
+
+
 def _admitted(kinds: dict[str, str]):
     out = F.lit(False)
     for lang, names in kinds.items():
@@ -47,7 +78,7 @@ def _admitted(kinds: dict[str, str]):
 
 def listed(files: DataFrame, symbol_type: str = "", kinds: dict[str, str] = decl.LISTED) -> DataFrame:
     """path, language and the symbols that a listing shows, once for each span."""
-    rows = parsed(files).select("path", "language", F.explode("symbols").alias("s")).select("path", "language", "s.*")
+    rows = exploded(files)
     return rows.where(_admitted(kinds)).where(symbol_type_matches(F.col("type"), symbol_type)).dropDuplicates(["path", "start", "end", "name"])
 
 
@@ -64,7 +95,7 @@ def first_matches(symbols: DataFrame) -> DataFrame:
 
 def definitions(files: DataFrame, symbol: str) -> DataFrame:
     """The first match in each file, in order of path: path, language, the symbol and its code."""
-    rows = parsed(files).select("path", "language", "content", F.explode("symbols").alias("s")).select("path", "language", "content", "s.*")
+    rows = exploded(files, "content")
     code = F.expr("substring(content, CAST(start AS INT) + 1, CAST(end - start AS INT))")
     return first_matches(rows.where(F.col("name") == symbol)).withColumn("code", code).drop("content").orderBy("path")
 
