@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +53,13 @@ def _parse(content: pa.Array, language: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts)
 
 
+_parsed_once = _parse.asNondeterministic()  # else filters that Spark derives parse every file once more
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """``files`` with language, symbols and error (null where the file could be read)."""
     lang = lookup(EXTRACT_LANGUAGES, extension(F.col("path")))
-    return files.withColumn("language", lang).where("language != ''").withColumn("__p", _parse("content", "language")).withColumn("symbols", F.col("__p.symbols")).withColumn("error", F.col("__p.error")).drop("__p")
+    return files.withColumn("language", lang).where("language != ''").withColumn("__p", _parsed_once("content", "language")).withColumn("symbols", F.col("__p.symbols")).withColumn("error", F.col("__p.error")).drop("__p")
 
 
 def exploded(files: DataFrame, *more: str) -> DataFrame:
@@ -114,13 +118,30 @@ def members(files: DataFrame, owner: str) -> DataFrame:
     return rows.select("path", "language", F.lit(owner).alias("owner"), "name", "type", F.col("start_line").alias("line"), "end_line", "signature")
 
 
+_COUNTED = T.StructType([T.StructField("counts", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("n", T.LongType())]))), T.StructField("error", T.StringType())])
+
+
+@F.arrow_udf(_COUNTED)
+def _count(content: pa.Array, language: pa.Array) -> pa.Array:
+    """How many symbols of each type a listing of the file has."""
+    rows = []
+    for pairs in _pairs(content, language):
+        for text, lang in pairs:
+            found, error = _read(text, lang)
+            kinds = decl.LISTED.get(lang, "").split()
+            spans = {(s.start, s.end, s.name): s.type for s in reversed(found) if s.type in kinds}
+            rows.append({"counts": [{"type": t, "n": n} for t, n in sorted(Counter(spans.values()).items())], "error": error})
+    return pa.array(rows, pa.struct([("counts", pa.list_(pa.struct([("type", pa.string()), ("n", pa.int64())]))), ("error", pa.string())]))
+
+
+_counted_once = _count.asNondeterministic()
+
 def summary(files: DataFrame) -> DataFrame:
-    """path, total_lines and symbols by type of each file that could be parsed."""
-    totals = parsed(files).where("error IS NULL").select("path", F.size(F.split("content", "\n", -1)).cast("long").alias("total_lines"))
-    counts = listed(files).groupBy("path", "type").agg(F.count("*").alias("n"))
-    maps = counts.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("symbol_counts"))
-    empty = F.create_map().cast("map<string,bigint>")
-    return totals.join(maps, "path", "left").withColumn("symbol_counts", F.coalesce("symbol_counts", empty))
+    """path, total_lines and symbols by type of each file that could be parsed; in one pass, without a shuffle."""
+    lang = lookup(EXTRACT_LANGUAGES, extension(F.col("path")))
+    rows = files.select("path", "content", lang.alias("language")).where("language != ''").withColumn("__c", _counted_once("content", "language"))
+    total = F.size(F.split("content", "\n", -1)).cast("long")
+    return rows.where("__c.error IS NULL").select("path", total.alias("total_lines"), F.map_from_entries("__c.counts").alias("symbol_counts"))
 
 
 _SLICES = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("code", T.StringType())]))

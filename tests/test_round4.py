@@ -16,3 +16,17 @@ def test_symbols_of_a_page_of_one_line_take_no_copies_of_it(spark):
     assert got[("a.html", "div", 0)] == page[:30] + "</div>" and got[("a.html", "p", 5)] == page[5:30] + "</div>"
     assert {got[k] for k in got if k[0] != "a.html"} == {"class A:", "def f(self):", "func F() {"}
     assert "signature" not in extract.exploded(spark.createDataFrame(files, "path string, content string")).select("name")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_summary_is_one_pass_without_a_shuffle(spark):
+    files = [("a.html", "<p><b>x</b><script>1</script>\n<br>"), ("b.html", ""), ("c.html", None), ("d.py", "def ("), ("e.txt", "<p>"), ("f.java", "class A {\n  A() {}\n  void f() {}\n}\n")]
+    df = spark.createDataFrame(files, "path string, content string")
+    found = extract.summary(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    got = {r["path"]: r["symbol_counts"] for r in found.collect()}
+    want = {p: {} for p in ("a.html", "b.html", "c.html", "f.java")}
+    for r in extract.listed(df).groupBy("path", "type").count().collect():
+        want[r["path"]][r["type"]] = r["count"]
+    assert got == want and got["a.html"] == {"element": 3, "script": 1}
+    assert extract.listed(df)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
