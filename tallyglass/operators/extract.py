@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,21 +62,21 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.withColumn("language", lang).where("language != ''").withColumn("__p", _parsed_once("content", "language")).withColumn("symbols", F.col("__p.symbols")).withColumn("error", F.col("__p.error")).drop("__p")
 
 
-def exploded(files: DataFrame, *more: str) -> DataFrame:
-    """path, language, the columns ``more``, and each symbol with its signature: the line that it begins in, from its start.
+def exploded(files: DataFrame, *more: str, kept: Column | None = None) -> DataFrame:
+    """path, language, the columns ``more``, and each symbol (or those in ``kept``) with its signature: the line that it begins in, from its start.
 
     The signature is cut from the text where it is asked for. In a file of one line each signature is the rest of the file.
     """
-    rows = parsed(files).select("path", "language", "content", F.explode("symbols").alias("s")).select("path", "language", "content", "s.*")
+    rows = parsed(files).select("path", "language", "content", F.explode("symbols" if kept is None else kept).alias("s")).select("path", "language", "content", "s.*")
     line = F.substring_index(F.expr("substring(content, CAST(start AS INT) + 1)"), "\n", 1)
     ends = F.when(F.col("language").isin("html", "xml"), line).when(F.col("language") == "python", F.regexp_replace(line, r"(?U)\s+\z", "")).otherwise(F.regexp_replace(line, r"\r+\z", ""))
     return rows.select("path", "language", *more, *decl.Symbol._fields, ends.alias("signature"))
 
 
-def _admitted(kinds: dict[str, str]):
-    out = F.lit(False)
+def _admitted(kinds: dict[str, str], kind: Column | None = None) -> Column:
+    kind, out = F.col("type") if kind is None else kind, F.lit(False)
     for lang, names in kinds.items():
-        out = out | ((F.col("language") == lang) & F.col("type").isin(names.split()))
+        out = out | ((F.col("language") == lang) & kind.isin(names.split()))
     return out
 
 
@@ -99,9 +99,11 @@ def first_matches(symbols: DataFrame) -> DataFrame:
 
 def definitions(files: DataFrame, symbol: str) -> DataFrame:
     """The first match in each file, in order of path: path, language, the symbol and its code."""
-    rows = exploded(files, "content")
+    # symbols are in order of start, so a file's first match is known before it is a row; texts stay behind when rows are ordered
+    matches = F.filter("symbols", lambda s: (s["name"] == symbol) & _admitted(decl.EXTRACTED, s["type"]))
     code = F.expr("substring(content, CAST(start AS INT) + 1, CAST(end - start AS INT))")
-    return first_matches(rows.where(F.col("name") == symbol)).withColumn("code", code).drop("content").orderBy("path")
+    rows = exploded(files, "content", kept=F.slice(matches, 1, 1)).withColumn("code", code).drop("content")
+    return first_matches(rows).orderBy("path")
 
 
 def extract(files: DataFrame, symbol: str) -> DataFrame:

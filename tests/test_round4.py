@@ -30,3 +30,13 @@ def test_a_summary_is_one_pass_without_a_shuffle(spark):
         want[r["path"]][r["type"]] = r["count"]
     assert got == want and got["a.html"] == {"element": 3, "script": 1}
     assert extract.listed(df)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_definitions_are_ordered_without_their_files(spark):
+    files = [("b.html", "<p>x<div><div>é</div></div>"), ("a.html", "<div a>\n<div></div>"), ("c.html", None), ("d.html", "<p>")]
+    df = spark.createDataFrame(files, "path string, content string")
+    found = extract.definitions(df, "div")
+    assert [(r["path"], r["start"], r["code"], r["signature"]) for r in found.collect()] == [("a.html", 0, "<div a>\n<div></div>", "<div a>"), ("b.html", 4, "<div><div>é</div></div>", "<div><div>é</div></div>")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("content#") and extract.definitions(df, "none").collect() == []
+    assert extract.definitions(spark.createDataFrame(files[:1] * 2, "path string, content string"), "div").count() == 1
