@@ -46,6 +46,18 @@ def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is planned and run inside go as soon as it is done, not when the driver collects its garbage; the session's setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     """Remove stored tables (missing ones are ignored)."""
     for path in paths:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from tallyglass.operators import extract
+from tallyglass.operators.enclosing import enclosing
 
 
 def test_symbols_of_a_page_of_one_line_take_no_copies_of_it(spark):
@@ -40,3 +41,15 @@ def test_definitions_are_ordered_without_their_files(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("content#") and extract.definitions(df, "none").collect() == []
     assert extract.definitions(spark.createDataFrame(files[:1] * 2, "path string, content string"), "div").count() == 1
+
+
+def test_places_and_spans_are_shuffled_once(spark):
+    rows = [("x", 5, 5, "a"), ("x", 1, 1030, "b"), ("x", 1000, 1030, "c"), (None, 1, 9, "n"), ("y", -5, 3, "d")]
+    spans = spark.createDataFrame(rows, "path string, start_line int, end_line int, kind string")
+    points = spark.createDataFrame([("x", 5), ("x", 5), ("x", 1024), ("x", 1031), ("y", -5), ("y", None), (None, 5)], "path string, line long")
+    want = {("x", 5, 5, 5, "a"), ("x", 1024, 1000, 1030, "c"), ("y", -5, -5, 3, "d")}
+    assert {tuple(r) for r in enclosing(points, spans, carry=["kind"]).collect()} == want
+    short = enclosing(points, spans.where("kind <> 'b'"), carry=["kind"])
+    assert {tuple(r) for r in short.collect()} == want
+    plan = short._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[-1].split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 2
