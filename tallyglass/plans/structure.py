@@ -10,7 +10,7 @@ from tallyglass.operators.enclosing import enclosing
 from tallyglass.plans import code as _code
 from tallyglass.plans import views as v
 from tallyglass.plans.registry import query
-from tallyglass.storage import fresh_path, stored
+from tallyglass.storage import fresh_path
 
 _NAME = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]+"
 _REST = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]+"
@@ -40,11 +40,8 @@ def identifier_lookup(spark, d):
   SELECT token, path, line, col FROM found ANTI JOIN decl USING (token, path, line, col)""")
 def identifier_refs(spark, d):
     """A file declares its first identifier; references are all other places of such names."""
-    rows = _postings(spark, d)
-    first = postings.decoded(rows).groupBy("block", "file").agg(F.min(F.struct("line", "col", "token")).alias("at")).select("block", "file", "at.*")
-    first = stored(first, "declared")  # a row for each file
-    found = postings.occurrences(rows, first).join(first, ["token", "block", "file", "line", "col"], "left_anti")
-    return postings.named(found, postings.paths_of(rows))
+    files = v.files(spark, d)
+    return postings.scan(files, postings.firsts(files)).where("nth > 0").select("token", "path", "line", "col")
 
 
 _SPANS = """spans AS (SELECT path, 1 AS start_line, n AS end_line, 'file' AS kind FROM (SELECT path, len(string_split(content, chr(10))) AS n FROM files)

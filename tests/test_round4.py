@@ -2,8 +2,9 @@
 
 import pyarrow as pa
 
-from tallyglass.operators import extract
+from tallyglass.operators import extract, postings
 from tallyglass.operators.enclosing import enclosing
+from tests.test_structure import plain
 
 
 def test_symbols_of_a_page_of_one_line_take_no_copies_of_it(spark):
@@ -53,3 +54,22 @@ def test_places_and_spans_are_shuffled_once(spark):
     assert {tuple(r) for r in short.collect()} == want
     plan = short._jdf.queryExecution().executedPlan().toString().split("== Final Plan ==")[-1].split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_references_of_many_names_shuffle_no_place(spark, monkeypatch):
+    files = [("a.go", "1 Foo(Bar) Foo\nBar"), ("b.go", "Bar é_世 Foo"), ("c.go", "é_世\n" * 3000 + "x Foo"), ("d.bin", "Bar\0"), ("e.go", None), ("f.go", "9 .")]
+    df = spark.createDataFrame(files, "path string, content string")
+    assert sorted(r[0] for r in postings.firsts(df).collect()) == ["Bar", "Foo", "é_世"]
+    want = [p for path, text in files for p in plain(path, text or "")]
+    seen = set()
+    want = sorted(p for p in want if p[0] in ("Foo", "Bar", "é_世") and (p[1] in seen or seen.add(p[1])))
+    for size in (4 << 20, 3):
+        found = postings.scan(df, postings.firsts(df), slice_bytes=size)
+        assert sorted(tuple(r)[:4] for r in found.where("nth > 0").collect()) == want
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(postings, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(postings.identifiers, "__defaults__", (64,))
+    raw = pa.RecordBatch.from_pydict({"path": [p for p, _ in files], "content": [(t or "").encode() for _, t in files]})
+    got = [r for b in postings._scanner(type("B", (), {"value": {n.encode() for n in ("Foo", "Bar", "é_世")}}))(iter([raw])) for r in b.to_pylist()]
+    assert sorted((r["token"], r["path"], r["line"], r["col"]) for r in got if r["nth"]) == want
+    assert postings.scan(df, postings.firsts(df.limit(0))).collect() == []
