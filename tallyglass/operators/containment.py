@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.storage import remove, stored
+from tallyglass.storage import remove, shuffles_released, stored
 
 #: Pairs of one element that a join key holds, or so.
 KEY_PAIRS = 1 << 20
@@ -32,11 +32,19 @@ def contained(small: DataFrame, large: DataFrame, expand: bool = True) -> DataFr
     Repeats count once, nulls never; a set without elements isn't in the table and so in no pair. With ``expand`` false, the
     pairs are those of class representatives (see :func:`classes`).
     """
+    with shuffles_released(small.sparkSession):
+        return _contained(small, large, expand)
+
+
+def _contained(small: DataFrame, large: DataFrame, expand: bool) -> DataFrame:
+    """Tables go as soon as nothing reads them; candidates are shuffled as (small, large, second) alone, once."""
     spark, held = small.sparkSession, []
     a, b = (stored(df.select("set_id", "element").dropna().distinct(), "sets", held) for df in (small, large))
     a_class, b_class = (stored(classes(x), "set-classes", held) for x in (a, b))
     kept = lambda x, c: x.join(c.where("set_id = class_id").select("set_id"), "set_id", "left_semi")
-    a_rows, b_rows = kept(a, a_class), stored(kept(b, b_class), "sets", held)
+    b_rows = stored(kept(b, b_class), "sets", held)
+    remove(spark, [held.pop(1)])  # b: its representatives are all that is read from here on
+    a_rows = kept(a, a_class)
 
     often = b_rows.groupBy("element").agg(F.count("*").alias("often"))
     rated = a_rows.join(often, "element", "left")
@@ -45,18 +53,19 @@ def contained(small: DataFrame, large: DataFrame, expand: bool = True) -> DataFr
     first = rated.groupBy("set_id").agg(F.count("*").alias("n"), F.count("often").alias("known"), F.min(key).alias("first")).where("n = known").drop("known")
     first = stored(first, "set-rarest", held)
     second = rated.join(first.where("n > 1"), "set_id").where(key > F.col("first")).groupBy("set_id").agg(F.min(key)["element"].alias("second"))
-    keyed = first.join(second, "set_id", "left").select("set_id", "n", F.col("first.element").alias("element"), F.col("first.often").alias("often"), "second")
+    keyed = stored(first.join(second, "set_id", "left").select("set_id", "n", F.col("first.element").alias("element"), F.col("first.often").alias("often"), "second"), "set-keys", held)
 
-    loads = keyed.groupBy("element").agg(F.ceil(F.sum("often") / KEY_PAIRS).cast("int").alias("splits"))
+    loads = stored(keyed.groupBy("element").agg(F.ceil(F.sum("often") / KEY_PAIRS).cast("int").alias("splits")), "set-loads", held)
     left = keyed.join(loads, "element").withColumn("split", F.pmod(F.xxhash64("set_id"), F.col("splits")).cast("int"))
     right = b_rows.join(loads, "element").select("element", F.col("set_id").alias("large_id"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
-    found = left.join(right, ["element", "split"]).select(F.col("set_id").alias("small_id"), "large_id", "n", "element", "second")
+    found = lambda which: left.where(which).join(right, ["element", "split"]).select(F.col("set_id").alias("small_id"), "large_id", "second")
 
     member = b_rows.select(F.col("set_id").alias("large_id"), F.col("element").alias("second"))
-    single = found.where("n = 1").select("small_id", "large_id")
-    both = found.where("n > 1").join(member, ["large_id", "second"], "left_semi")
-    double = both.where("n = 2").select("small_id", "large_id")
-    more = both.where("n > 2").join(a_rows.select(F.col("set_id").alias("small_id"), F.col("element").alias("other")), "small_id").where("other <> element AND other <> second")
+    single = found("n = 1").select("small_id", "large_id")
+    both = stored(found("n > 1").join(member, ["large_id", "second"], "left_semi").select("small_id", "large_id"), "set-candidates", held)
+    counted = both.join(keyed.select(F.col("set_id").alias("small_id"), "n", "element", "second"), "small_id")
+    double = counted.where("n = 2").select("small_id", "large_id")
+    more = counted.where("n > 2").join(a_rows.select(F.col("set_id").alias("small_id"), F.col("element").alias("other")), "small_id").where("other <> element AND other <> second")
     more = more.join(member.withColumnRenamed("second", "other"), ["large_id", "other"], "left_semi").groupBy("small_id", "large_id", "n").agg(F.count("*").alias("held"))
     pairs = single.unionByName(double).unionByName(more.where("held = n - 2").select("small_id", "large_id"))
     if expand:

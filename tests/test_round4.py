@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from tallyglass.operators import extract, postings
+from tallyglass.operators import containment, extract, postings
 from tallyglass.operators.enclosing import enclosing
 from tests.test_structure import plain
 
@@ -73,3 +73,13 @@ def test_references_of_many_names_shuffle_no_place(spark, monkeypatch):
     got = [r for b in postings._scanner(type("B", (), {"value": {n.encode() for n in ("Foo", "Bar", "é_世")}}))(iter([raw])) for r in b.to_pylist()]
     assert sorted((r["token"], r["path"], r["line"], r["col"]) for r in got if r["nth"]) == want
     assert postings.scan(df, postings.firsts(df.limit(0))).collect() == []
+
+
+def test_containment_frees_shuffles_as_it_goes(spark, monkeypatch):
+    name, seen, stored = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], containment.stored
+    monkeypatch.setattr(containment, "stored", lambda *a: (seen.append((a[1], spark.conf.get(name))), stored(*a))[1])
+    before = spark.conf.get(name)
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (3, "a"), (3, "b"), (4, "x"), (5, None)], "set_id long, element string")
+    large = spark.createDataFrame([(7, "a"), (7, "b"), (7, "c"), (8, "a"), (8, "b"), (9, "c")], "set_id long, element string")
+    assert sorted(tuple(r) for r in containment.contained(small, large).collect()) == [(1, 7), (2, 7), (2, 8), (3, 7), (3, 8)]
+    assert {on for _, on in seen} == {"true"} and "set-candidates" in dict(seen) and spark.conf.get(name) == before
